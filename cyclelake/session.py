@@ -25,7 +25,8 @@ _DEFAULTS = {
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "cyclelake") -> SparkSession:
     """Session for tests and local runs. On a cluster, pass the cluster's own session to the library instead."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
