@@ -48,5 +48,20 @@ def clean_infinities(df: DataFrame) -> DataFrame:
 
 
 def r6(c: str | Column) -> Column:
-    """Round to 6 places: the comparison precision shared with the SQL oracle."""
-    return F.round(col(c), 6)
+    """Round to 6 places for comparison with the SQL oracle: ``floor(x·1e6 + 0.5) / 1e6`` for |x| < 1e9.
+
+    Plain IEEE arithmetic gives the same double on every engine, where ``round`` does not (Spark rounds the
+    exact binary value, other engines round x·10^6). NaN, ±inf and |x| ≥ 1e9 pass through unchanged.
+    """
+    x = col(c)
+    return F.when(F.abs(x) < F.lit(1e9), F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).otherwise(x)
+
+
+def ieee_divide(numerator: str | Column, denominator: str | Column) -> Column:
+    """n / d with IEEE results for a zero denominator (±inf, NaN for 0/0), as Polars and NumPy give them.
+
+    ANSI mode raises on division by zero, so the zero case is spelled out; NULL inputs give NULL.
+    """
+    n, d = col(numerator), col(denominator)
+    zero = (F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))))
+    return F.when(n.isNull() | d.isNull(), F.lit(None).cast("double")).when(d == 0, zero).otherwise(n / d)

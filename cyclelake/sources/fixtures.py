@@ -62,12 +62,16 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cycles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles numbered by test day instead: ``regular_cycle_number`` = days since the cell's first test + 1.
 
-    Real logs numbered this way have gaps (idle days) and jumps, which the sequence rules look for.
+    Real logs numbered this way have gaps (idle days), jumps and repeats, which the sequence rules look for.
+    ``cycle_index`` keeps the original 1..n number as a tie-breaker for rows of the same day.
     """
     cyc = cycles(spark, sf_dir)
     first = cyc.groupBy("cell_id").agg(F.min("test_date").alias("_first_date"))
     day = F.datediff(F.to_date("test_date"), F.to_date("_first_date")).cast("long") + F.lit(1)
-    return cyc.join(first, "cell_id").withColumn("regular_cycle_number", day).select(*CYCLE_COLUMNS)
+    return (cyc.join(first, "cell_id")
+            .withColumn("cycle_index", F.col("regular_cycle_number"))
+            .withColumn("regular_cycle_number", day)
+            .select(*CYCLE_COLUMNS, "cycle_index"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +137,7 @@ WITH cycle_rows AS (
          CAST(date_diff('day', CAST(min(test_date) OVER (PARTITION BY cell_id) AS DATE),
                         CAST(test_date AS DATE)) + 1 AS BIGINT) AS regular_cycle_number,
          test_date, discharge_capacity, charge_capacity, discharge_energy, voltage, temperature,
-         coulombic_efficiency
+         coulombic_efficiency, regular_cycle_number AS cycle_index
   FROM cycles
 ), cells AS (
   SELECT CAST(p_partkey AS BIGINT) AS cell_id, p_name AS cell_name, p_brand AS design_name,
