@@ -62,9 +62,14 @@ def _st(c: str, what: str) -> str:
     return f"_{c}__{what}"
 
 
-def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False) -> DataFrame:
-    """One row per cell: max, min, mean, sample std, first non-null (by cycle), value at cycle 1."""
-    cyc = F.col(CYCLE)
+def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False, key: str = CELL) -> DataFrame:
+    """One row per cell (or per ``key``): max, min, mean, sample std, first non-null (by cycle), value at cycle 1.
+
+    With the whole-table key, "first" follows (cell_id, cycle) order and the cycle-1 value is that of the
+    lowest cell id, as in a table sorted by cell and cycle.
+    """
+    cyc = F.col(CYCLE) if key == CELL else F.struct(F.col(CELL), F.col(CYCLE))
+    at_one = F.when(F.col(CYCLE) == 1, cyc)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -74,22 +79,22 @@ def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False)
             F.avg(x).alias(_st(c, "mean")),
             F.stddev_samp(x).alias(_st(c, "std")),
             F.min_by(x, F.when(x.isNotNull(), cyc)).alias(_st(c, "first")),
-            F.max(F.when(cyc == 1, x)).alias(_st(c, "c1")),
+            (F.max(F.when(F.col(CYCLE) == 1, x)) if key == CELL else F.min_by(x, at_one)).alias(_st(c, "c1")),
         ]
     if first_date:
         aggs.append(F.min("test_date").alias("_first_test_date"))
     if not aggs:
         aggs.append(F.count(F.lit(1)).alias("_rows"))
-    return cycles.groupBy(CELL).agg(*aggs)
+    return cycles.groupBy(key).agg(*aggs)
 
 
-def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]]) -> DataFrame | None:
+def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]], key: str = CELL) -> DataFrame | None:
     cols = sorted(wanted)
     if not cols:
         return None
     qs = sorted({q for v in wanted.values() for q in v})
-    qt = quantiles(cycles, [CELL], cols, qs, "nearest")
-    return qt.select(CELL, *[F.col(f"{c}_{q_name(q)}").alias(_st(c, q_name(q))) for c in cols for q in qs])
+    qt = quantiles(cycles, [key], cols, qs, "nearest")
+    return qt.select(key, *[F.col(f"{c}_{q_name(q)}").alias(_st(c, q_name(q))) for c in cols for q in qs])
 
 
 def _norm_exprs(c: str, methods: Sequence[str]) -> dict[str, Column]:
@@ -154,9 +159,20 @@ def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], tem
     return drop_halo(chunked.withColumns(cols)).drop("_pos")
 
 
-def cycle_features(cycles: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Add the features chosen in ``spec`` to a cycle table keyed by (cell_id, regular_cycle_number)."""
+GLOBAL = "_whole_table"
+
+
+def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -> DataFrame:
+    """Add the features chosen in ``spec`` to a cycle table keyed by (cell_id, regular_cycle_number).
+
+    ``by_cell=False`` is the whole-table variant (E20): statistics over all rows, attached through a one-row
+    table joined on a constant key (broadcast; its size is one row). Order-dependent features (fade rate,
+    rolling windows) stay per cell: a difference across two cells has no meaning.
+    """
     S.require_columns(cycles, [CELL, CYCLE])
+    key = CELL if by_cell else GLOBAL
+    if not by_cell:
+        cycles = cycles.withColumn(GLOBAL, F.lit(0))
     caps = S.capacity_columns(cycles)
     norms = S.normalisable_columns(cycles) if spec.normalise else []
     basics = S.basic_norm_columns(cycles) if spec.basic_norm else []
@@ -181,21 +197,25 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec) -> DataFrame:
         base = _ordered_features(cycles, spec, caps, temps)
 
     need_date = spec.cycle and has_date and "cycle_age_days" not in cycles.columns
-    stats = cell_stats(cycles, stat_cols, first_date=need_date)
-    joined = base.join(stats, CELL, "left")
-    qt = _quantile_table(cycles, want_q)
+    if need_date:  # cycle age is always per cell
+        base = base.join(cycles.groupBy(CELL).agg(F.min("test_date").alias("_first_test_date")), CELL, "left")
+    stats = cell_stats(cycles, stat_cols, key=key)
+    if not by_cell:
+        stats = F.broadcast(stats)
+    joined = base.join(stats, key, "left")
+    qt = _quantile_table(cycles, want_q, key)
     if qt is not None:
-        joined = joined.join(qt, CELL, "left")
+        joined = joined.join(F.broadcast(qt) if not by_cell else qt, key, "left")
 
     if spec.degrade and caps:
         # E15 needs the cycle-1 value before it can look for the first cycle under 80 % of it.
-        below = cycles.join(stats.select(CELL, *[_st(c, "c1") for c in caps]), CELL, "left")
-        eol = below.groupBy(CELL).agg(
+        below = cycles.join(stats.select(key, *[_st(c, "c1") for c in caps]), key, "left")
+        eol = below.groupBy(key).agg(
             F.count(F.lit(1)).alias("_cell_rows"),
             *[F.min(F.when(F.col(c) < F.lit(EOL_FRACTION) * F.col(_st(c, "c1")), F.col(CYCLE)))
               .alias(_st(c, "eol")) for c in caps],
         )
-        joined = joined.join(eol, CELL, "left")
+        joined = joined.join(F.broadcast(eol) if not by_cell else eol, key, "left")
 
     new: dict[str, Column] = {}
     if spec.cycle:
