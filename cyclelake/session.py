@@ -45,7 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local runs only) creates a
     fresh scratch folder and records it in the session so later calls agree.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="cyclelake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
