@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,18 +58,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _MATERIALISED: dict[tuple[str, str], str] = {}
 
 
-def materialise(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Write ``df`` once per (application, key) as parquet under the checkpoint folder and read it back.
+def materialise(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write ``build()`` once per (application, name, key) as parquet under the checkpoint folder; read it back.
 
     This cuts lineage (an executor lost later re-reads files instead of re-running the derivation) and
-    lets several queries share one derived table.
+    lets several queries share one derived table. ``build`` is only called the first time.
     """
-    spark = df.sparkSession
     app = spark.sparkContext.applicationId
     cache_key = (app, f"{name}:{key}")
     path = _MATERIALISED.get(cache_key)
     if path is None:
         path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-        df.write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").parquet(path)
         _MATERIALISED[cache_key] = path
     return spark.read.parquet(path)

@@ -52,11 +52,13 @@ CYCLE_COLUMNS = [
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (cell, cycle); ``regular_cycle_number`` is 1..n in (ship date, order, line) order."""
-    numbered = with_positions(
-        cycle_rows(spark, sf_dir), ["cell_id"], ["test_date", "l_orderkey", "l_linenumber"],
-        pos_col="regular_cycle_number", count_col=None,
-    ).select(*CYCLE_COLUMNS)
-    return materialise(numbered, "cycles", sf_dir)
+    def build() -> DataFrame:
+        return with_positions(
+            cycle_rows(spark, sf_dir), ["cell_id"], ["test_date", "l_orderkey", "l_linenumber"],
+            pos_col="regular_cycle_number", count_col=None,
+        ).select(*CYCLE_COLUMNS)
+
+    return materialise(spark, "cycles", sf_dir, build)
 
 
 def cycles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,20 +97,23 @@ def cells_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The roll-up is a ``groupBy`` with map-side partial aggregation, then a left join on the cell key.
     """
-    cyc = cycles(spark, sf_dir)
-    cap, cyc_no = F.col("discharge_capacity"), F.col("regular_cycle_number")
-    has_cap = F.when(cap.isNotNull(), cyc_no)
-    roll = cyc.groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("regular_cycles"),
-        F.max(cyc_no).alias("total_cycles"),
-        F.max_by(cap, has_cap).alias("last_discharge_capacity"),
-        F.min_by(cap, has_cap).alias("_first_capacity"),
-    )
-    roll = roll.withColumn(
-        "discharge_capacity_retention",
-        F.when(F.col("_first_capacity") > 0, F.col("last_discharge_capacity") / F.col("_first_capacity")),
-    ).drop("_first_capacity")
-    return materialise(cells(spark, sf_dir).join(roll, "cell_id", "left"), "cells_rollup", sf_dir)
+    def build() -> DataFrame:
+        cyc = cycles(spark, sf_dir)
+        cap, cyc_no = F.col("discharge_capacity"), F.col("regular_cycle_number")
+        has_cap = F.when(cap.isNotNull(), cyc_no)
+        roll = cyc.groupBy("cell_id").agg(
+            F.count(F.lit(1)).alias("regular_cycles"),
+            F.max(cyc_no).alias("total_cycles"),
+            F.max_by(cap, has_cap).alias("last_discharge_capacity"),
+            F.min_by(cap, has_cap).alias("_first_capacity"),
+        )
+        roll = roll.withColumn(
+            "discharge_capacity_retention",
+            F.when(F.col("_first_capacity") > 0, F.col("last_discharge_capacity") / F.col("_first_capacity")),
+        ).drop("_first_capacity")
+        return cells(spark, sf_dir).join(roll, "cell_id", "left")
+
+    return materialise(spark, "cells_rollup", sf_dir, build)
 
 
 # DuckDB text of the same tables, put in front of every oracle query.

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no unbounded source, watermark, stream window or state (real-time streaming is only a
+roadmap line in its readme), so there is nothing to rebuild here. Every operator in this package works on
+static DataFrames; none relies on driver-side state, so they can be applied inside ``foreachBatch`` by a
+caller if that is ever needed.
+"""
