@@ -9,9 +9,11 @@ Plan shape, whatever features are asked for:
   The per-cell tables have one row per cell and are joined back on ``cell_id``: AQE broadcasts them when the
   measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a shuffle
   join, whose hot-key partitions AQE's skew-join splits.
-* **Order-dependent features** (E13 ``lag``, E16-E18 row frames) use windows over ``(cell_id, chunk)``
-  with a halo of look-back rows (:func:`~cyclelake.operators.ordering.with_chunks`), never over ``cell_id``
-  alone.
+* **Order-dependent features** (E13 ``lag``, E16-E18 row frames) and quantiles split cells by size: cells up
+  to ``hot_rows`` rows use one window over the cell (bounded partitions, one shuffle); larger cells use
+  windows over ``(cell_id, chunk)`` with a halo of look-back rows
+  (:func:`~cyclelake.operators.ordering.with_chunks`) and range-partitioned ranks, so no task ever holds a
+  whole hot cell.
 
 Output schemas never depend on values (SURVEY §1): where the reference leaves a column out (reference value
 not > 0, std not > 0, no cycle 1, nothing under 80 %), the column is present and NULL.
@@ -22,12 +24,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, safe_divide
 from . import schema as S
-from .ordering import chunk_window, drop_halo, q_name, quantiles, with_block_positions, with_chunks
+from .ordering import ordered_columns, q_name, quantiles
 
 CELL = "cell_id"
 CYCLE = "regular_cycle_number"
@@ -55,6 +57,8 @@ class FeatureSpec:
     outliers: bool = False         # E19
     outlier_factor: float = OUTLIER_FACTOR
     rolling_windows: Sequence[int] = ROLLING_WINDOWS
+    hot_rows: int | None = None    # cells larger than this take the skew-safe (split) paths; None: session conf
+    chunk_rows: int | None = None  # window partition size on the split path; None: session conf
     extra: dict = field(default_factory=dict)
 
 
@@ -88,12 +92,13 @@ def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False,
     return cycles.groupBy(key).agg(*aggs)
 
 
-def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]], key: str = CELL) -> DataFrame | None:
+def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]], key: str = CELL,
+                    hot_rows: int | None = None) -> DataFrame | None:
     cols = sorted(wanted)
     if not cols:
         return None
     qs = sorted({q for v in wanted.values() for q in v})
-    qt = quantiles(cycles, [key], cols, qs, "nearest")
+    qt = quantiles(cycles, [key], cols, qs, "nearest", hot_rows)
     return qt.select(key, *[F.col(f"{c}_{q_name(q)}").alias(_st(c, q_name(q))) for c in cols for q in qs])
 
 
@@ -123,40 +128,43 @@ def _norm_exprs(c: str, methods: Sequence[str]) -> dict[str, Column]:
 
 
 def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], temps: list[str]) -> DataFrame:
-    """E13, E16, E17, E18 rolling parts: windows over (cell, chunk) with a halo of look-back rows."""
+    """E13, E16, E17, E18 rolling parts, via :func:`~cyclelake.operators.ordering.ordered_columns`: a plain
+    per-cell window for cells up to ``spec.hot_rows`` rows, halo-chunked windows for larger cells."""
     lookback = 1
     if spec.rolling:
         lookback = max(lookback, max(spec.rolling_windows) - 1)
     if spec.temperature and temps:
         lookback = max(lookback, TEMPERATURE_WINDOW - 1)
-    pos = with_block_positions(cycles, [CELL], CYCLE, count_col=None)
-    chunked = with_chunks(pos, lookback)
-    w = chunk_window([CELL])
-    cols: dict[str, Column] = {}
     cyc = F.col(CYCLE)
 
-    def rolling(x: Column, n: int) -> tuple[Column, Column]:
-        frame = w.rowsBetween(-(n - 1), 0)
-        full = F.count(x).over(frame) == n  # null until the frame holds n non-null values
-        return F.when(full, F.avg(x).over(frame)), F.when(full, F.stddev_samp(x).over(frame))
-
-    for c in caps:
-        x = F.col(c)
-        if spec.degrade:
-            cols[f"{c}_fade_rate"] = ratio(x - F.lag(x).over(w), cyc - F.lag(cyc).over(w))
-        if spec.rolling:
-            for n in spec.rolling_windows:
-                mean, std = rolling(x, n)
-                cols[f"{c}_rolling_mean_{n}"] = mean
-                cols[f"{c}_rolling_std_{n}"] = std
-    if spec.temperature:
-        for t in temps:
-            mean, std = rolling(F.col(t), TEMPERATURE_WINDOW)
-            cols[f"{t}_rolling_{TEMPERATURE_WINDOW}"] = mean
-            cols[f"{t}_std_{TEMPERATURE_WINDOW}"] = std
-    if not cols:
+    def build(w) -> dict[str, Column]:
+        cols: dict[str, Column] = {}
+
+        def rolling(x: Column, n: int) -> tuple[Column, Column]:
+            frame = w.rowsBetween(-(n - 1), 0)
+            full = F.count(x).over(frame) == n  # null until the frame holds n non-null values
+            return F.when(full, F.avg(x).over(frame)), F.when(full, F.stddev_samp(x).over(frame))
+
+        for c in caps:
+            x = F.col(c)
+            if spec.degrade:
+                cols[f"{c}_fade_rate"] = ratio(x - F.lag(x).over(w), cyc - F.lag(cyc).over(w))
+            if spec.rolling:
+                for n in spec.rolling_windows:
+                    mean, std = rolling(x, n)
+                    cols[f"{c}_rolling_mean_{n}"] = mean
+                    cols[f"{c}_rolling_std_{n}"] = std
+        if spec.temperature:
+            for t in temps:
+                mean, std = rolling(F.col(t), TEMPERATURE_WINDOW)
+                cols[f"{t}_rolling_{TEMPERATURE_WINDOW}"] = mean
+                cols[f"{t}_std_{TEMPERATURE_WINDOW}"] = std
+        return cols
+
+    if not build(Window.partitionBy(CELL).orderBy(CYCLE)):
         return cycles
-    return drop_halo(chunked.withColumns(cols)).drop("_pos")
+    return ordered_columns(cycles, [CELL], CYCLE, build, lookback, hot_rows=spec.hot_rows,
+                           chunk_rows=spec.chunk_rows)
 
 
 GLOBAL = "_whole_table"
@@ -203,7 +211,7 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -
     if not by_cell:
         stats = F.broadcast(stats)
     joined = base.join(stats, key, "left")
-    qt = _quantile_table(cycles, want_q, key)
+    qt = _quantile_table(cycles, want_q, key, spec.hot_rows)
     if qt is not None:
         joined = joined.join(F.broadcast(qt) if not by_cell else qt, key, "left")
 

@@ -1,27 +1,30 @@
-"""Skew-safe ordering primitives: positions within a group, halo-chunked windows, exact quantiles.
+"""Skew-safe ordering: positions within a group, halo-chunked windows, exact quantiles.
 
 A per-cell ``Window.partitionBy("cell_id")`` sends every row of a cell to one task; one hot cell holding a
-third of the table would then be one task. The functions here never do that:
-
-* :func:`with_positions` (any order) and :func:`with_block_positions` (integer order) number rows within each group (1, 2, ...) in a given order. Rows are range
-  partitioned on ``keys + order`` (Spark samples the data, so a hot group is split across many tasks), sorted
-  inside each partition, and numbered with ``monotonically_increasing_id``. A small table with one row per
-  (group, partition) gives the count of the group's rows in earlier partitions; that offset plus the local
-  number is the position. The small table is bounded by ``groups + partitions`` rows and joined back (AQE
-  broadcasts it when it is small, and falls back to a shuffle join on (group, partition) otherwise).
+third of the table would then be one task. So groups are split by size first (a partial aggregate gives the
+sizes): groups up to ``HOT_GROUP_ROWS`` rows use one plain window (a window partition is then bounded), and
+only larger groups take the paths below, which never put a whole group in one task:
+
+* :func:`with_positions` (any order) and :func:`with_block_positions` (integer order) number rows within a
+  group (1, 2, ...). ``with_positions`` range-partitions on ``keys + order`` (Spark samples the data, so a
+  hot group is split across many tasks), sorts inside each partition and numbers rows with
+  ``monotonically_increasing_id``; ``with_block_positions`` numbers rows inside (group, block of order
+  values) windows. Either way a small table with one row per (group, piece) supplies the count of the
+  group's rows in earlier pieces, and offset plus local number is the position.
 * :func:`with_chunks` cuts each group into chunks of ``chunk_rows`` consecutive positions and copies the
   last ``lookback`` rows of every chunk into the next one ("halo"). A window on ``(group, chunk)`` ordered by
   position then sees every row it needs for ``lag`` and ``rowsBetween(-lookback, 0)`` frames, and each window
   partition holds at most ``chunk_rows + lookback`` rows, however large the group.
-* :func:`nearest_rank_quantiles` picks exact nearest-rank quantiles of many columns at once from one
-  positions pass over a long (group, column, value) table.
+* :func:`ordered_columns` and :func:`quantiles` combine the two: plain windows for ordinary groups, the split
+  paths for hot ones, identical results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -35,6 +38,26 @@ HALO = "_halo"
 #: small enough that one window partition always fits a task.
 DEFAULT_CHUNK_ROWS = 65536
 
+#: Groups up to this many rows are ordered with a plain window over the group (one shuffle; a window
+#: partition is then bounded by this number). Larger ("hot") groups take the skew-safe paths below.
+HOT_GROUP_ROWS = 1 << 20
+
+
+def hot_group_rows(df: DataFrame, value: int | None = None) -> int:
+    """The hot-group threshold: ``value`` if given, else ``spark.cyclelake.hotGroupRows``, else the default.
+
+    Setting the conf to 0 sends every group through the split paths (used to test them on small data).
+    """
+    if value is not None:
+        return int(value)
+    return int(df.sparkSession.conf.get("spark.cyclelake.hotGroupRows", str(HOT_GROUP_ROWS)))
+
+
+def chunk_rows_for(df: DataFrame, value: int | None = None) -> int:
+    if value is not None:
+        return int(value)
+    return int(df.sparkSession.conf.get("spark.cyclelake.chunkRows", str(DEFAULT_CHUNK_ROWS)))
+
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -135,6 +158,40 @@ def chunk_window(keys: Sequence[str], pos_col: str = POS):
     return Window.partitionBy(*keys, CHUNK).orderBy(pos_col)
 
 
+def ordered_columns(df: DataFrame, keys: Sequence[str], order_col: str,
+                    build: Callable[[WindowSpec], dict[str, Column]], lookback: int,
+                    tiebreak: Sequence[str] = (), size_col: str | None = None,
+                    hot_rows: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """Add the columns ``build(window)`` returns, computed over each group's rows in ``order_col`` order.
+
+    ``build`` receives an ordered window spec and may use ``lag`` and row frames reaching ``lookback`` rows
+    back. Groups with at most ``hot_rows`` rows use ``Window.partitionBy(keys).orderBy(order)`` directly (a
+    window partition is bounded by ``hot_rows``). Larger groups are split: block positions, then windows over
+    halo chunks (:func:`with_block_positions`, :func:`with_chunks`). Both halves give identical values.
+    ``size_col`` names a column that already holds the group size; otherwise sizes come from a partial
+    aggregate joined on the keys.
+    """
+    keys = list(keys)
+    hot_rows = hot_group_rows(df, hot_rows)
+    chunk_rows = max(chunk_rows_for(df, chunk_rows), lookback + 1)
+    order = [F.col(order_col), *[F.col(t) for t in tiebreak]]
+    sized = df
+    tmp_size = size_col is None
+    if tmp_size:
+        size_col = "_group_size"
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size_col))
+        sized = df.join(sizes, keys, "inner")
+    hot = sized.filter(F.col(size_col) > hot_rows) if hot_rows > 0 else sized
+    hot = with_block_positions(hot, keys, order_col, tiebreak, count_col=None)
+    hot = drop_halo(with_chunks(hot, lookback, chunk_rows=chunk_rows).withColumns(build(chunk_window(keys))))
+    out = hot.drop(POS)
+    if hot_rows > 0:  # hot_rows <= 0: every group takes the split path
+        small = sized.filter(F.col(size_col) <= hot_rows)
+        small = small.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
+        out = small.unionByName(out)
+    return out.drop(size_col) if tmp_size else out
+
+
 def long_values(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
     """(keys..., _col, _x) with one row per non-null value of each column."""
     items = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in value_cols])
@@ -153,8 +210,29 @@ def q_name(q: float) -> str:
     return f"p{round(q * 100):02d}"
 
 
+def _ranked_values(long: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame:
+    """``_pos`` (rank by ``_x``) and group size for every row; hot groups go through :func:`with_positions`.
+
+    Group sizes come from a partial aggregate. Groups up to ``hot_rows`` values are ranked with one window;
+    only when the (small) size table shows a larger group is the range-partitioned path built for those
+    groups, so the common case costs one shuffle and no checkpoint.
+    """
+    hot_rows = hot_group_rows(long, hot_rows)
+    if hot_rows <= 0:
+        return with_positions(long, keys, ["_x"], count_col=GROUP_ROWS)
+    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
+    sized = long.join(sizes, keys, "inner")
+    small = sized.filter(F.col(GROUP_ROWS) <= hot_rows).withColumn(
+        POS, F.row_number().over(Window.partitionBy(*keys).orderBy("_x")))
+    hot_sizes = sizes.filter(F.col(GROUP_ROWS) > hot_rows)
+    if not hot_sizes.limit(1).collect():
+        return small
+    hot = long.join(hot_sizes.select(*keys), keys, "left_semi")
+    return small.unionByName(with_positions(hot, keys, ["_x"], count_col=GROUP_ROWS))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs: Sequence[float],
-              method: str = "nearest") -> DataFrame:
+              method: str = "nearest", hot_rows: int | None = None) -> DataFrame:
     """One row per group: ``{col}_{pNN}`` = exact quantile of each column over its non-null values.
 
     ``method="nearest"``: element ``round((n-1)q)`` (0-based) of the sorted values (Polars' nearest rank).
@@ -164,7 +242,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs:
     """
     keys = list(keys)
     long = long_values(df, keys, value_cols)
-    ranked = with_positions(long, [*keys, "_col"], ["_x"], count_col=GROUP_ROWS)
+    ranked = _ranked_values(long, [*keys, "_col"], hot_rows)
     n = F.col(GROUP_ROWS)
     aggs, finals = [], []
     for c in value_cols:
@@ -191,10 +269,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs:
 
 
 def nearest_rank_quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
-                           qs: Sequence[float]) -> DataFrame:
-    return quantiles(df, keys, value_cols, qs, "nearest")
+                           qs: Sequence[float], hot_rows: int | None = None) -> DataFrame:
+    return quantiles(df, keys, value_cols, qs, "nearest", hot_rows)
 
 
 def linear_quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
-                     qs: Sequence[float]) -> DataFrame:
-    return quantiles(df, keys, value_cols, qs, "linear")
+                     qs: Sequence[float], hot_rows: int | None = None) -> DataFrame:
+    return quantiles(df, keys, value_cols, qs, "linear", hot_rows)

@@ -1,7 +1,8 @@
 """Cycle-number sequences within a cell.
 
-Differences between consecutive cycle numbers come from ``lag`` over halo-chunked windows (never a window
-over a whole cell). Missing numbers are reported as ranges ``(gap_start, gap_end)`` instead of expanding
+Differences between consecutive cycle numbers come from ``lag`` via
+:func:`~cyclelake.operators.ordering.ordered_columns` (a window per cell only for cells of bounded size,
+halo-chunked windows for larger ones). Missing numbers are reported as ranges ``(gap_start, gap_end)`` instead of expanding
 ``sequence(min, max)``: a cell numbered by test day can miss thousands of numbers, and a range is one row.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import chunk_window, drop_halo, with_block_positions, with_chunks
+from .ordering import ordered_columns
 
 CELL = "cell_id"
 CYCLE = "regular_cycle_number"
@@ -18,13 +19,12 @@ CYCLE = "regular_cycle_number"
 LARGE_GAP = 100
 
 
-def cycle_steps(cycles: DataFrame, column: str = CYCLE) -> DataFrame:
+def cycle_steps(cycles: DataFrame, column: str = CYCLE, hot_rows: int | None = None) -> DataFrame:
     """(cell_id, cycle, prev_cycle, step) for every non-null cycle number, in cycle order."""
     nums = cycles.select(CELL, column).filter(F.col(column).isNotNull() & F.col(CELL).isNotNull())
-    pos = with_block_positions(nums, [CELL], column, count_col=None)
-    w = chunk_window([CELL])
-    stepped = with_chunks(pos, 1).withColumn("prev_cycle", F.lag(column).over(w))
-    return drop_halo(stepped).select(
+    stepped = ordered_columns(nums, [CELL], column, lambda w: {"prev_cycle": F.lag(column).over(w)}, 1,
+                              hot_rows=hot_rows)
+    return stepped.select(
         CELL, F.col(column).alias("cycle"), "prev_cycle", (F.col(column) - F.col("prev_cycle")).alias("step"))
 
 

@@ -8,7 +8,7 @@ from ..functions import timebins, units
 from ..functions.columns import ieee_divide, null_infinity, r6
 from ..operators import outliers as OUT
 from ..operators import summary as SM
-from ..operators.ordering import chunk_window, drop_halo, with_block_positions, with_chunks
+from ..operators.ordering import ordered_columns
 from ..sources import fixtures as fx
 from .catalog import register
 from .queries_cells import rounded
@@ -184,11 +184,12 @@ FROM raw""")
 def infinity_cleanup(spark, sf):
     """H2 on the reference's raw fade rate over day-numbered cycles: repeated days give ±inf (→ NULL) or NaN (kept)."""
     days = fx.cycles_by_day(spark, sf)
-    pos = with_block_positions(days, ["cell_id"], "regular_cycle_number", tiebreak=["cycle_index"], count_col=None)
-    w = chunk_window(["cell_id"])
     x, c = F.col("discharge_capacity"), F.col("regular_cycle_number")
-    raw = ieee_divide(x - F.lag(x).over(w), (c - F.lag(c).over(w)).cast("double"))
-    out = drop_halo(with_chunks(pos, 1).withColumn("_fade", raw))
+
+    def build(w):
+        return {"_fade": ieee_divide(x - F.lag(x).over(w), (c - F.lag(c).over(w)).cast("double"))}
+
+    out = ordered_columns(days, ["cell_id"], "regular_cycle_number", build, 1, tiebreak=["cycle_index"])
     return out.select("cell_id", "cycle_index", "regular_cycle_number", "discharge_capacity",
                       r6(null_infinity("_fade")).alias("discharge_capacity_fade_rate"))
 

@@ -119,3 +119,23 @@ def test_quick_check_duplicates_and_nulls(spark):
     df = spark.createDataFrame([(1, 1, None, 1.0, 3.7)] * 3, SCHEMA)
     r = Q.quick_check(df).first()
     assert r.duplicate_rows == 2 and r.all_null_columns == ["discharge_capacity"] and r.status == "issues_found"
+
+
+def test_hot_path_equals_plain_path(spark):
+    """Forcing every cell through the split (hot) path with tiny chunks gives the same features."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(c, i, float(rng.normal(10, 1)), None if rng.random() < 0.1 else float(rng.normal(11, 1)), 3.7)
+            for c in range(3) for i in range(1, 300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    base = FT.FeatureSpec(degrade=True, rolling=True, outliers=True, normalise=("first_cycle", "percentile_95"))
+    hot = FT.FeatureSpec(degrade=True, rolling=True, outliers=True, normalise=("first_cycle", "percentile_95"),
+                         hot_rows=0, chunk_rows=32)
+    a = FT.cycle_features(df, base).toPandas().sort_values(["cell_id", "regular_cycle_number"]).reset_index(drop=True)
+    b = FT.cycle_features(df, hot).toPandas().sort_values(["cell_id", "regular_cycle_number"]).reset_index(drop=True)
+    assert list(a.columns) == list(b.columns) and len(a) == len(b) == len(rows)
+    for c in a.columns:
+        if a[c].dtype.kind == "f":
+            assert np.allclose(a[c], b[c], equal_nan=True), c
+        else:
+            assert a[c].equals(b[c]), c

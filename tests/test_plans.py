@@ -13,15 +13,24 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_feature_pipeline_has_no_cell_only_window(spark):
-    out = PL.process_cycle_data(fx.cycles(spark, SMALL), fx.cells(spark, SMALL))
+def test_hot_path_has_no_cell_only_window(spark):
+    # hot_rows=0 sends every cell through the split path: no window may be keyed by cell_id alone
+    cfg = PL.ProcessingConfig()
+    spec = cfg.spec().__class__(**{**cfg.spec().__dict__, "hot_rows": 0})
+    from cyclelake.operators import features as FT
+    out = FT.cycle_features(fx.cycles(spark, SMALL), spec)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
     assert specs, "expected windows"
-    for spec in specs:
-        # every window over cycle rows is keyed by (cell_id, _chunk) or (cell_id, _block), never cell_id alone
-        if "regular_cycle_number" in spec:
-            assert "_chunk" in spec or "_block" in spec, spec
+    for spec_text in specs:
+        if "regular_cycle_number" in spec_text:
+            assert "_chunk" in spec_text or "_block" in spec_text, spec_text
+
+
+def test_small_cells_use_one_window_without_checkpoint(spark):
+    out = PL.process_cycle_data(fx.cycles(spark, SMALL), fx.cells(spark, SMALL))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(cell_id#" in plan.replace(" ", "") or "windowspecdefinition(cell_id" in plan
 
 
 def test_metadata_join_is_broadcast(spark):
