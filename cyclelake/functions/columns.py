@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.schema import FLOAT_TYPES
 
 
+_NTZ_EPOCH = _dt.datetime(1970, 1, 1)  # a naive datetime literal is TIMESTAMP_NTZ
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -65,3 +71,24 @@ def ieee_divide(numerator: str | Column, denominator: str | Column) -> Column:
     n, d = col(numerator), col(denominator)
     zero = (F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))))
     return F.when(n.isNull() | d.isNull(), F.lit(None).cast("double")).when(d == 0, zero).otherwise(n / d)
+
+
+def epoch_micros(c: str | Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 00:00 without any time-zone shift for wall-clock (NTZ) timestamps.
+
+    ``unix_micros(ntz.cast("timestamp"))`` would go through the session time zone and lose or gain an hour
+    across daylight-saving changes; ``timestamp_diff`` on NTZ values does not.
+    """
+    x = col(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(_NTZ_EPOCH), x)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(x).cast("long") * F.lit(86_400_000_000)
+    return F.unix_micros(x)
+
+
+def from_epoch_micros(micros: Column, dtype: T.DataType) -> Column:
+    """Inverse of :func:`epoch_micros`, giving a value of the same kind (NTZ stays NTZ)."""
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        return F.timestamp_add("MICROSECOND", micros, F.lit(_NTZ_EPOCH))
+    return F.timestamp_micros(micros)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import epoch_micros, from_epoch_micros
+
 _UNITS = {"s": 1, "min": 60, "t": 60, "h": 3600, "d": 86400}
 
 
@@ -24,9 +26,13 @@ def step_micros(bin_size: str) -> int:
 
 
 def time_bins(df: DataFrame, ts_col: str, bin_size: str = "1h") -> DataFrame:
-    """Adds ``bin_start``/``bin_end`` (timestamp_ntz); NULL for rows that fall in no bin."""
+    """Adds ``bin_start``/``bin_end`` (same kind as ``ts_col``); NULL for rows that fall in no bin.
+
+    Wall-clock (NTZ) timestamps are binned in wall-clock time, independent of the session time zone.
+    """
     step = step_micros(bin_size)
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    dtype = df.schema[ts_col].dataType
+    us = epoch_micros(ts_col, dtype)
     bounds = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
     lo = bounds.select("lo").scalar()
     hi = bounds.select("hi").scalar()
@@ -35,7 +41,7 @@ def time_bins(df: DataFrame, ts_col: str, bin_size: str = "1h") -> DataFrame:
     valid = (k >= 0) & (k < n_bins)
 
     def edge(i):
-        return F.timestamp_micros(lo + i * F.lit(step)).cast("timestamp_ntz")
+        return from_epoch_micros(lo + i * F.lit(step), dtype)
 
     return df.withColumns({
         "bin_start": F.when(valid, edge(k)),

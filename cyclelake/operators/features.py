@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, safe_divide
+from ..functions.columns import epoch_micros, ratio, safe_divide
 from . import schema as S
 from .ordering import ordered_columns, q_name, quantiles
 
@@ -228,8 +228,8 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -
     new: dict[str, Column] = {}
     if spec.cycle:
         if need_date:
-            micros = F.unix_micros(F.col("test_date").cast("timestamp")) - \
-                F.unix_micros(F.col("_first_test_date").cast("timestamp"))
+            dtype = cycles.schema["test_date"].dataType
+            micros = epoch_micros("test_date", dtype) - epoch_micros("_first_test_date", dtype)
             new["cycle_age_days"] = F.floor(micros / F.lit(86400 * 1_000_000)).cast("long")
         if "cumulative_cycles" not in cycles.columns:
             new["cumulative_cycles"] = F.col(CYCLE)

@@ -50,3 +50,13 @@ def test_split_path_matches_oracle(spark, con, name):
         spark.conf.unset("spark.cyclelake.hotGroupRows")
         spark.conf.unset("spark.cyclelake.chunkRows")
     assert ok, msg
+
+
+@pytest.mark.parametrize("name", ["time_bins", "cycle_age", "pipeline_features"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ok, msg = compare(queries()[name](spark, SMALL), oracle_sql()[name], con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert ok, msg
