@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,9 @@ from pyspark.sql import types as T
 from ..operators.schema import FLOAT_TYPES
 
 
-_NTZ_EPOCH = _dt.datetime(1970, 1, 1)  # a naive datetime literal is TIMESTAMP_NTZ
+def _ntz_epoch() -> Column:
+    """1970-01-01 00:00 as a TIMESTAMP_NTZ literal (a Python datetime literal would be zone-bound)."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 
 
 def col(c: str | Column) -> Column:
@@ -81,7 +81,7 @@ def epoch_micros(c: str | Column, dtype: T.DataType) -> Column:
     """
     x = col(c)
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit(_NTZ_EPOCH), x)
+        return F.timestamp_diff("MICROSECOND", _ntz_epoch(), x)
     if isinstance(dtype, T.DateType):
         return F.unix_date(x).cast("long") * F.lit(86_400_000_000)
     return F.unix_micros(x)
@@ -90,5 +90,5 @@ def epoch_micros(c: str | Column, dtype: T.DataType) -> Column:
 def from_epoch_micros(micros: Column, dtype: T.DataType) -> Column:
     """Inverse of :func:`epoch_micros`, giving a value of the same kind (NTZ stays NTZ)."""
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
-        return F.timestamp_add("MICROSECOND", micros, F.lit(_NTZ_EPOCH))
+        return F.timestamp_add("MICROSECOND", micros, _ntz_epoch())
     return F.timestamp_micros(micros)
