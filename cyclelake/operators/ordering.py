@@ -59,6 +59,20 @@ def chunk_rows_for(df: DataFrame, value: int | None = None) -> int:
     return int(df.sparkSession.conf.get("spark.cyclelake.chunkRows", str(DEFAULT_CHUNK_ROWS)))
 
 
+def has_hot_groups(sizes: DataFrame, size_col: str, hot_rows: int) -> bool:
+    """Whether any group of a (group, size) table is over ``hot_rows``: one small job, one row at most."""
+    return bool(sizes.filter(F.col(size_col) > hot_rows).limit(1).collect())
+
+
+def group_sizes_have_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
+    """Group sizes by ``keys`` (partial aggregate) and :func:`has_hot_groups` on them."""
+    hot_rows = hot_group_rows(df, hot_rows)
+    if hot_rows <= 0:
+        return True
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return has_hot_groups(sizes, "_n", hot_rows)
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -161,7 +175,8 @@ def chunk_window(keys: Sequence[str], pos_col: str = POS):
 def ordered_columns(df: DataFrame, keys: Sequence[str], order_col: str,
                     build: Callable[[WindowSpec], dict[str, Column]], lookback: int,
                     tiebreak: Sequence[str] = (), size_col: str | None = None,
-                    hot_rows: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+                    hot_rows: int | None = None, chunk_rows: int | None = None,
+                    known_hot: bool | None = None) -> DataFrame:
     """Add the columns ``build(window)`` returns, computed over each group's rows in ``order_col`` order.
 
     ``build`` receives an ordered window spec and may use ``lag`` and row frames reaching ``lookback`` rows
@@ -169,7 +184,7 @@ def ordered_columns(df: DataFrame, keys: Sequence[str], order_col: str,
     window partition is bounded by ``hot_rows``). Larger groups are split: block positions, then windows over
     halo chunks (:func:`with_block_positions`, :func:`with_chunks`). Both halves give identical values.
     ``size_col`` names a column that already holds the group size; otherwise sizes come from a partial
-    aggregate joined on the keys.
+    aggregate, and when ``limit(1)`` of the groups over ``hot_rows`` is empty the plain window is used alone.
     """
     keys = list(keys)
     hot_rows = hot_group_rows(df, hot_rows)
@@ -180,6 +195,11 @@ def ordered_columns(df: DataFrame, keys: Sequence[str], order_col: str,
     if tmp_size:
         size_col = "_group_size"
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size_col))
+        if hot_rows > 0 and known_hot is None:
+            known_hot = has_hot_groups(sizes, size_col, hot_rows)
+        if hot_rows > 0 and not known_hot:
+            # no hot group (checked on the small size table): one plain window, one shuffle
+            return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
         sized = df.join(sizes, keys, "inner")
     hot = sized.filter(F.col(size_col) > hot_rows) if hot_rows > 0 else sized
     hot = with_block_positions(hot, keys, order_col, tiebreak, count_col=None)
@@ -210,39 +230,46 @@ def q_name(q: float) -> str:
     return f"p{round(q * 100):02d}"
 
 
-def _ranked_values(long: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame:
+def _ranked_values(long: DataFrame, keys: list[str], hot_rows: int | None,
+                   known_hot: bool | None = None) -> DataFrame:
     """``_pos`` (rank by ``_x``) and group size for every row; hot groups go through :func:`with_positions`.
 
-    Group sizes come from a partial aggregate. Groups up to ``hot_rows`` values are ranked with one window;
-    only when the (small) size table shows a larger group is the range-partitioned path built for those
-    groups, so the common case costs one shuffle and no checkpoint.
+    Group sizes come from a partial aggregate, checked on the driver through ``limit(1)`` of the hot ones.
+    Groups up to ``hot_rows`` values are ranked with one window; only when a larger group exists is the
+    range-partitioned path built, for those groups alone, so the common case costs one shuffle and no
+    checkpoint.
     """
     hot_rows = hot_group_rows(long, hot_rows)
     if hot_rows <= 0:
         return with_positions(long, keys, ["_x"], count_col=GROUP_ROWS)
     sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
-    sized = long.join(sizes, keys, "inner")
-    small = sized.filter(F.col(GROUP_ROWS) <= hot_rows).withColumn(
-        POS, F.row_number().over(Window.partitionBy(*keys).orderBy("_x")))
     hot_sizes = sizes.filter(F.col(GROUP_ROWS) > hot_rows)
-    if not hot_sizes.limit(1).collect():
-        return small
+    group = Window.partitionBy(*keys)
+    if known_hot is None:
+        known_hot = has_hot_groups(sizes, GROUP_ROWS, hot_rows)
+    if not known_hot:
+        # no hot group: rank and size come from one window over bounded partitions, no join
+        return long.withColumns({POS: F.row_number().over(group.orderBy("_x")),
+                                 GROUP_ROWS: F.count(F.lit(1)).over(group)})
+    sized = long.join(sizes, keys, "inner")
+    small = sized.filter(F.col(GROUP_ROWS) <= hot_rows).withColumn(POS, F.row_number().over(group.orderBy("_x")))
     hot = long.join(hot_sizes.select(*keys), keys, "left_semi")
     return small.unionByName(with_positions(hot, keys, ["_x"], count_col=GROUP_ROWS))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs: Sequence[float],
-              method: str = "nearest", hot_rows: int | None = None) -> DataFrame:
+              method: str = "nearest", hot_rows: int | None = None, known_hot: bool | None = None) -> DataFrame:
     """One row per group: ``{col}_{pNN}`` = exact quantile of each column over its non-null values.
 
     ``method="nearest"``: element ``round((n-1)q)`` (0-based) of the sorted values (Polars' nearest rank).
     ``method="linear"``: ``x[lo] + (x[hi] - x[lo]) * (h - lo)`` with ``h = (n-1)q`` (NumPy's default).
     All columns and quantiles come from one positions pass over a long (group, column, value) table, so
     no group is ever gathered into one task. Groups without a non-null value of a column get NULL.
+    ``known_hot=False`` (the caller has checked that no group exceeds ``hot_rows``) skips the size check.
     """
     keys = list(keys)
     long = long_values(df, keys, value_cols)
-    ranked = _ranked_values(long, [*keys, "_col"], hot_rows)
+    ranked = _ranked_values(long, [*keys, "_col"], hot_rows, known_hot)
     n = F.col(GROUP_ROWS)
     aggs, finals = [], []
     for c in value_cols:

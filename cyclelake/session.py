@@ -31,6 +31,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # Local runs only: test-sized shuffles are a few MB, and the default 64 MB advisory size would let AQE
+    # coalesce them into one task. Cluster sessions keep their own (large) advisory size, which also sets how
+    # finely AQE splits skewed join partitions.
+    builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     builder = builder.config("spark.driver.memory", os.environ.get("CYCLELAKE_DRIVER_MEMORY", "16g"))
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
