@@ -167,6 +167,8 @@ def _compile(comp: _Compiler, rule: Rule) -> dict:
     if rule.kind == "range":
         if not exists:
             return _result(F.lit(False), F.lit(0), F.lit(0), F.lit("Column does not exist"))
+        if not S.is_numeric(df, c):  # the reference's comparison would raise: a raising rule fails
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Column '{c}' is not numeric"))
         x = F.col(c)
         lo, hi = rule.params.get("min"), rule.params.get("max")
         below = comp.count_if(x < lo) if lo is not None else F.lit(0)
@@ -199,8 +201,13 @@ def _compile(comp: _Compiler, rule: Rule) -> dict:
             return _result(F.coalesce(value, F.lit(False)), F.when(value, 0).otherwise(1), F.lit(0),
                            F.lit("Custom validation result"))
         except Exception:
-            bad = comp.count_if(~F.coalesce(pred, F.lit(False)))
-            return _result(bad == 0, bad, bad, F.format_string("%d rows fail the rule", bad))
+            pass
+        try:  # a row predicate must at least resolve against the frame
+            df.select(pred.alias("_probe")).schema
+        except Exception as e:
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Custom validation failed: {e}"[:500]))
+        bad = comp.count_if(~F.coalesce(pred, F.lit(False)))
+        return _result(bad == 0, bad, bad, F.format_string("%d rows fail the rule", bad))
     if rule.kind == "unique":
         if not exists:
             return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Column {c} not found"))
@@ -238,6 +245,8 @@ def _column_family(comp: _Compiler, rule: Rule) -> dict:
         cols = [c for c in df.columns if "efficiency" in c.lower() or "coulombic" in c.lower()]
     else:
         cols = _cols_like(df, rule.params["patterns"])
+    # only measurements: a boolean flag or a text column whose name matches is not compared with numbers
+    cols = [c for c in cols if S.is_numeric(df, c)]
     for c in cols:
         x = F.col(c)
         nonnull = comp.count_if(x.isNotNull())

@@ -11,6 +11,7 @@ from ..operators.enrich import join_metadata
 from ..operators.features import min_cycles_filter
 from ..sources import fixtures as fx
 from ..sources import tables as TB
+from ..session import written_once
 from .catalog import register
 
 CELL_COLS = ["cell_id", "cell_name", "design_name", "experiment_group", "layer_types", "test_status", "test_year",
@@ -140,3 +141,25 @@ WHERE cell_id IN (SELECT cell_id FROM cycles GROUP BY cell_id HAVING count(*) >=
 def min_cycles_kept(spark, sf):
     """Cycles of cells with at least 20 rows."""
     return rounded(min_cycles_filter(fx.cycles(spark, sf)).select(*CYCLE_COLS))
+
+
+@register("cells_result_documents", CELLS_SELECT)
+def cells_result_documents(spark, sf):
+    """A1 (+ A7 as JSON): the cell list written as saved-query result documents (one per partition), read
+    back through the envelope reader with an explicit row schema."""
+    cells = fx.cells_rollup(spark, sf).select(*CELL_COLS)
+    path = written_once(spark, "cell_documents", sf, lambda p: TB.write_query_result(cells, p))
+    return rounded(TB.read_query_result(spark, path, cells.schema, multi_line=False))
+
+
+@register("cycles_export_partitioned", f"""
+SELECT {_sql_cols(CYCLE_COLS)}, CAST(year(test_date) AS INTEGER) AS test_year
+FROM cycles WHERE year(test_date) = 1995""")
+def cycles_export_partitioned(spark, sf):
+    """Cycles exported as parquet partitioned by test year, read back with a partition filter (only the
+    1995 folder is scanned: PartitionFilters in the plan)."""
+    by_year = fx.cycles(spark, sf).withColumn("test_year", F.year("test_date"))
+    path = written_once(spark, "cycles_by_year", sf,
+                        lambda p: TB.write_table(by_year, p, partition_by=["test_year"], mode="overwrite"))
+    back = TB.read_table(spark, path).filter(F.col("test_year") == 1995)
+    return rounded(back.select(*CYCLE_COLS, "test_year"))

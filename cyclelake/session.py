@@ -62,17 +62,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _MATERIALISED: dict[tuple[str, str], str] = {}
 
 
-def materialise(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Write ``build()`` once per (application, name, key) as parquet under the checkpoint folder; read it back.
-
-    This cuts lineage (an executor lost later re-reads files instead of re-running the derivation) and
-    lets several queries share one derived table. ``build`` is only called the first time.
-    """
+def written_once(spark: SparkSession, name: str, key: str, write: Callable[[str], None]) -> str:
+    """Run ``write(path)`` once per (application, name, key) for a fresh path under the checkpoint folder and
+    return the path; later calls return the same path without writing."""
     app = spark.sparkContext.applicationId
     cache_key = (app, f"{name}:{key}")
     path = _MATERIALISED.get(cache_key)
     if path is None:
         path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-        build().write.mode("overwrite").parquet(path)
+        write(path)
         _MATERIALISED[cache_key] = path
+    return path
+
+
+def materialise(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write ``build()`` once per (application, name, key) as parquet under the checkpoint folder; read it back.
+
+    This cuts lineage (an executor lost later re-reads files instead of re-running the derivation) and
+    lets several queries share one derived table. ``build`` is only called the first time.
+    """
+    path = written_once(spark, name, key, lambda p: build().write.mode("overwrite").parquet(p))
     return spark.read.parquet(path)

@@ -23,13 +23,16 @@ MIN_REGULAR_CYCLES = 20
 MIN_TOTAL_CYCLES = 2
 
 
-def read_query_result(spark: SparkSession, path: str, rows_schema: T.StructType | None = None) -> DataFrame:
+def read_query_result(spark: SparkSession, path: str, rows_schema: T.StructType | None = None,
+                      multi_line: bool = True) -> DataFrame:
     """A1: saved-query result documents ``{"query_result": {"data": {"rows": [...]}}}`` → one row per entry.
 
     A document without ``query_result`` or ``data`` is an error; no rows gives an empty frame. Pass
     ``rows_schema`` in production (inference reads the files twice and may guess types differently).
+    ``multi_line=True`` reads one (pretty-printed) document per file, as an export produces;
+    ``multi_line=False`` reads JSON lines, one document per line, so many documents share a file.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", multi_line)
     if rows_schema is not None:
         envelope = T.StructType([T.StructField("query_result", T.StructType([
             T.StructField("data", T.StructType([T.StructField("rows", T.ArrayType(rows_schema))]))]))])
@@ -115,3 +118,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.save(path)
+
+
+def write_query_result(df: DataFrame, path: str) -> None:
+    """The inverse of :func:`read_query_result` for JSON lines: one result document per input partition.
+
+    The partition id is taken before the aggregate, so each document's rows come from one partition (a
+    partial buffer per task, merged alone): a document is bounded by a partition, never the whole table.
+    """
+    doc = df.groupBy(F.spark_partition_id().alias("_doc")).agg(
+        F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("rows"))
+    doc.select(F.struct(F.struct(F.col("rows").alias("rows")).alias("data")).alias("query_result")) \
+        .write.mode("overwrite").json(path)

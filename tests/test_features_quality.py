@@ -139,3 +139,32 @@ def test_hot_path_equals_plain_path(spark):
             assert np.allclose(a[c], b[c], equal_nan=True), c
         else:
             assert a[c].equals(b[c]), c
+
+
+def test_type_check_and_required(spark):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([(1, 1, 1.0, 1.0, 3.7)], SCHEMA)
+    res = {r.rule_name: r for r in Q.validate(df, [
+        Q.type_check("voltage", T.DoubleType()), Q.type_check("cell_id", [T.IntegerType(), T.StringType()]),
+        Q.type_check("nope", T.DoubleType()), Q.required("nope")]).collect()}
+    assert res["type:voltage"].passed and not res["type:cell_id"].passed
+    assert not res["type:nope"].passed and not res["required:nope"].passed
+
+
+def test_axis_columns(spark):
+    df = spark.createDataFrame([(1, 1, 1.0, 1.0, 3.7)], SCHEMA).withColumn("cell_name", F.lit("a"))
+    cols = S.axis_columns(df, preferred=["voltage"])
+    assert cols["numeric"][0] == "voltage" and "cell_name" not in cols["numeric"]
+    assert "cell_name" in cols["grouping"] and "cell_id" in cols["grouping"]
+
+
+def test_load_and_process_runs_lazily(spark):
+    from conftest import SMALL
+    from cyclelake.sources import fixtures as fx
+    out = PL.load_and_process(fx.cells_rollup(spark, SMALL), fx.cycles(spark, SMALL),
+                              cell_ids=fx.cells(spark, SMALL).filter("test_year = 2020").select("cell_id"))
+    rep = out["report"].first()
+    assert rep.total_rules == 9 and 0.0 <= rep.quality_score <= 1.0
+    years = {r.test_year for r in out["cycles"].select("test_year").distinct().collect()}
+    assert years == {2020}
+    out["cycles"].unpersist()

@@ -42,3 +42,10 @@ def test_filters_reach_the_scan(spark):
     cells = fx.cells(spark, SMALL).filter("nominal_capacity_ah > 45")
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "p_size" in plan
+
+
+def test_partition_filter_prunes_export(spark):
+    from __spark_entry__ import queries
+    df = queries()["cycles_export_partitioned"](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(test_year" in plan and "(test_year#" in plan
