@@ -59,9 +59,18 @@ def chunk_rows_for(df: DataFrame, value: int | None = None) -> int:
     return int(df.sparkSession.conf.get("spark.cyclelake.chunkRows", str(DEFAULT_CHUNK_ROWS)))
 
 
+_HOT_CHECKS: dict[tuple, bool] = {}
+
+
 def has_hot_groups(sizes: DataFrame, size_col: str, hot_rows: int) -> bool:
-    """Whether any group of a (group, size) table is over ``hot_rows``: one small job, one row at most."""
-    return bool(sizes.filter(F.col(size_col) > hot_rows).limit(1).collect())
+    """Whether any group of a (group, size) table is over ``hot_rows``: one small job, one row at most.
+
+    Remembered per application and plan (``semanticHash``), so queries over the same table share the check.
+    """
+    key = (sizes.sparkSession.sparkContext.applicationId, sizes.semanticHash(), size_col, hot_rows)
+    if key not in _HOT_CHECKS:
+        _HOT_CHECKS[key] = bool(sizes.filter(F.col(size_col) > hot_rows).limit(1).collect())
+    return _HOT_CHECKS[key]
 
 
 def group_sizes_have_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:

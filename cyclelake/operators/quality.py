@@ -119,7 +119,7 @@ class _Compiler:
     def __init__(self, df: DataFrame):
         self.df = df
         self.aggs: dict[str, Column] = {"__rows": F.count(F.lit(1))}
-        self.seq: dict[str, DataFrame] = {}
+        self.seq: dict[str, Column] = {}
 
     def agg(self, expr: Column) -> Column:
         name = f"__a{len(self.aggs)}"
@@ -130,9 +130,12 @@ class _Compiler:
         return self.agg(F.count_if(pred).cast("long"))
 
     def seq_value(self, column: str, field_name: str) -> Column:
+        """A field of the one-row sequence summary. Every field reads the same struct-valued scalar subquery,
+        so Spark runs the sequence pass once per column however many rules use it."""
         if column not in self.seq:
-            self.seq[column] = SEQ.sequence_summary(self.df, column)
-        return self.seq[column].select(field_name).scalar()
+            summary = SEQ.sequence_summary(self.df, column)
+            self.seq[column] = summary.select(F.struct(*summary.columns).alias("s")).scalar()
+        return self.seq[column].getField(field_name)
 
 
 def _result(passed: Column, error_count: Column, failed_rows: Column, details: Column) -> dict:
