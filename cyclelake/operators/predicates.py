@@ -7,14 +7,16 @@ reach the parquet scan as pushed filters.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schema import FILTER_COLUMNS, SEARCH_COLUMNS
+from .schema import FILTER_COLUMNS, SEARCH_COLUMNS, is_numeric
 
 CELL = "cell_id"
 PAGE_SIZE = 50
@@ -43,7 +45,7 @@ def text_search_predicate(df: DataFrame, query: str, columns=SEARCH_COLUMNS) ->
     present = [c for c in columns if c in df.columns]
     if not query or not present:
         return None
-    return reduce(lambda a, b: a | b, [F.coalesce(_text(c).contains(F.lit(query)), F.lit(False)) for c in present])
+    return reduce(lambda a, b: a | b, [_text(c).contains(F.lit(query)) for c in present])
 
 
 def search_cells(df: DataFrame, query: str) -> DataFrame:
@@ -62,6 +64,23 @@ def _lower_text(c: str) -> Column:
     return F.lower(_text(c))
 
 
+def _compare(df: DataFrame, name: str, num: Column, op: str, v: float) -> Column:
+    """``num op v``. On an integer column the bound is turned into an integer with the same meaning, so the
+    comparison stays on the column itself (no cast to double) and is pushed down to the scan."""
+    if isinstance(df.schema[name].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) \
+            and math.isfinite(v):
+        if op == ">=":
+            return num >= math.ceil(v)
+        if op == ">":
+            return num > math.floor(v)
+        if op == "<=":
+            return num <= math.floor(v)
+        if op == "<":
+            return num < math.ceil(v)
+        return (num == int(v)) if v == int(v) else F.lit(False)
+    return {">=": num >= v, "<=": num <= v, ">": num > v, "<": num < v, "=": num == v}[op]
+
+
 def parse_search(df: DataFrame, query: str) -> ParsedSearch:
     """``column:value`` pairs (AND) and free text (regex over every column), case-insensitive.
 
@@ -82,7 +101,9 @@ def parse_search(df: DataFrame, query: str) -> ParsedSearch:
         if actual is None:
             out.notes.append(f"Column '{name}' not found")
             continue
-        num = F.col(actual).try_cast("double")
+        # numeric columns are compared as they are, so the predicate reaches the scan as a pushed filter;
+        # text columns are read as numbers where they parse (NULL, so no match, where they do not)
+        num = F.col(actual) if is_numeric(df, actual) else F.col(actual).try_cast("double")
         if any(op in value for op in (">", "<", "=")):
             op = next(o for o in (">=", "<=", ">", "<", "=") if o in value)
             raw = value.replace(op, "").strip()
@@ -95,8 +116,7 @@ def parse_search(df: DataFrame, query: str) -> ParsedSearch:
                 else:
                     out.notes.append(f"Invalid numeric value in '{value}'")
                 continue
-            cmp = {">=": num >= v, "<=": num <= v, ">": num > v, "<": num < v, "=": num == v}[op]
-            preds.append(cmp)
+            preds.append(_compare(df, actual, num, op, v))
         else:
             preds.append(_lower_text(actual).contains(F.lit(value)))
         out.applied = True
@@ -105,7 +125,9 @@ def parse_search(df: DataFrame, query: str) -> ParsedSearch:
         preds.append(reduce(lambda a, b: a | b, [_lower_text(c).rlike(rest) for c in df.columns]))
         out.applied = True
     if preds:
-        out.predicate = reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in preds])
+        # plain AND: a NULL comparison drops the row in a filter and is not counted by count_if, exactly like
+        # false, and un-wrapped comparisons can be pushed down to the scan
+        out.predicate = reduce(lambda a, b: a & b, preds)
     return out
 
 

@@ -91,3 +91,12 @@ def test_stack_and_write(spark, tmp_path):
     assert set(s.columns) == {"cell_id", "x", "note"} and s.count() == 2
     TB.write_table(s, str(tmp_path / "out"), partition_by=["cell_id"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_integer_bounds_keep_their_meaning(spark):
+    from cyclelake.operators import predicates as P
+    df = spark.createDataFrame([(i,) for i in range(10)], "n long")
+    for q, expect in [("n:>=2.5", [3, 4, 5, 6, 7, 8, 9]), ("n:>2.5", [3, 4, 5, 6, 7, 8, 9]), ("n:<2.5", [0, 1, 2]),
+                      ("n:<=2.5", [0, 1, 2]), ("n:=2.5", []), ("n:=3", [3]), ("n:<-1", [])]:
+        got = sorted(r.n for r in P.apply_search(df, q)[0].collect())
+        assert got == expect, q

@@ -49,3 +49,10 @@ def test_partition_filter_prunes_export(spark):
     df = queries()["cycles_export_partitioned"](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(test_year" in plan and "(test_year#" in plan
+
+
+def test_search_comparisons_are_pushed_down(spark):
+    from __spark_entry__ import queries
+    df = queries()["cells_search_ops"](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(test_year,2021)" in plan and "LessThan(nominal_capacity_ah,30.0)" in plan
