@@ -53,6 +53,10 @@ def test_partition_filter_prunes_export(spark):
 
 def test_search_comparisons_are_pushed_down(spark):
     from __spark_entry__ import queries
-    df = queries()["cells_search_ops"](spark, SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        df = queries()["cells_search_ops"](spark, SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(test_year,2021)" in plan and "LessThan(nominal_capacity_ah,30.0)" in plan
