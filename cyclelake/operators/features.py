@@ -57,6 +57,7 @@ class FeatureSpec:
     outliers: bool = False         # E19
     outlier_factor: float = OUTLIER_FACTOR
     rolling_windows: Sequence[int] = ROLLING_WINDOWS
+    min_cycles: int | None = None  # B14 applied on the result: cells with fewer rows are dropped
     hot_rows: int | None = None    # cells larger than this take the skew-safe (split) paths; None: session conf
     chunk_rows: int | None = None  # window partition size on the split path; None: session conf
     extra: dict = field(default_factory=dict)
@@ -87,8 +88,7 @@ def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False,
         ]
     if first_date:
         aggs.append(F.min("test_date").alias("_first_test_date"))
-    if not aggs:
-        aggs.append(F.count(F.lit(1)).alias("_rows"))
+    aggs.append(F.count(F.lit(1)).alias("_rows"))
     return cycles.groupBy(key).agg(*aggs)
 
 
@@ -264,6 +264,10 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -
             new[f"{c}_outlier"] = (F.col(c) < q1 - k * iqr) | (F.col(c) > q3 + k * iqr)
 
     out = joined.withColumns(new) if new else joined
+    if spec.min_cycles and by_cell:
+        # B14 on the result: per-cell features depend only on the cell's own rows, so dropping short cells
+        # afterwards equals dropping them first, and reuses the per-cell count instead of a semi join
+        out = out.filter(F.col("_rows") >= spec.min_cycles)
     helpers = [c for c in out.columns if c.startswith("_")]
     return out.drop(*helpers)
 

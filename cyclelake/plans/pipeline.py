@@ -9,7 +9,7 @@ which share the feature table through one ``persist`` (recomputed from lineage i
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -60,9 +60,12 @@ def process_cycle_data(cycles: DataFrame, cells: DataFrame | None = None, config
     """J1 (``group_by_cell=False``: E20, whole-table statistics)."""
     config = config or ProcessingConfig()
     data = clean_cycles(cycles)
-    if group_by_cell:
-        data = FT.min_cycles_filter(data, config.min_cycles_required, config.keep_all_if_no_cell_qualifies)
-    out = FT.cycle_features(data, config.spec(), by_cell=group_by_cell)
+    spec = config.spec()
+    if group_by_cell and config.keep_all_if_no_cell_qualifies:
+        data = FT.min_cycles_filter(data, config.min_cycles_required, True)
+    elif group_by_cell:
+        spec = replace(spec, min_cycles=config.min_cycles_required)
+    out = FT.cycle_features(data, spec, by_cell=group_by_cell)
     if cells is not None:
         out = join_metadata(out, cells)
     return clean_infinities(out)
