@@ -67,13 +67,16 @@ def cycles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     Real logs numbered this way have gaps (idle days), jumps and repeats, which the sequence rules look for.
     ``cycle_index`` keeps the original 1..n number as a tie-breaker for rows of the same day.
     """
-    cyc = cycles(spark, sf_dir)
-    first = cyc.groupBy("cell_id").agg(F.min("test_date").alias("_first_date"))
-    day = F.datediff(F.to_date("test_date"), F.to_date("_first_date")).cast("long") + F.lit(1)
-    return (cyc.join(first, "cell_id")
-            .withColumn("cycle_index", F.col("regular_cycle_number"))
-            .withColumn("regular_cycle_number", day)
-            .select(*CYCLE_COLUMNS, "cycle_index"))
+    def build() -> DataFrame:
+        cyc = cycles(spark, sf_dir)
+        first = cyc.groupBy("cell_id").agg(F.min("test_date").alias("_first_date"))
+        day = F.datediff(F.to_date("test_date"), F.to_date("_first_date")).cast("long") + F.lit(1)
+        return (cyc.join(first, "cell_id")
+                .withColumn("cycle_index", F.col("regular_cycle_number"))
+                .withColumn("regular_cycle_number", day)
+                .select(*CYCLE_COLUMNS, "cycle_index"))
+
+    return materialise(spark, "cycles_by_day", sf_dir, build)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
