@@ -266,19 +266,55 @@ def _ranked_values(long: DataFrame, keys: list[str], hot_rows: int | None,
     return small.unionByName(with_positions(hot, keys, ["_x"], count_col=GROUP_ROWS))
 
 
+def _bounded_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str], qs: Sequence[float],
+                       method: str) -> DataFrame:
+    """Quantiles when every group is known to hold at most ``hot_rows`` rows: one aggregate that sorts each
+    group's values (``sort_array(collect_list)``, bounded by the group size) and picks by index. No explode,
+    no window, no join."""
+    arrays = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_arr_{i}")
+              for i, c in enumerate(value_cols)]
+    grouped = df.groupBy(*keys).agg(*arrays) if keys else df.agg(*arrays)
+    finals = []
+    for i, c in enumerate(value_cols):
+        arr = F.col(f"_arr_{i}")
+        n = F.size(arr).cast("long")
+        for q in qs:
+            name = f"{c}_{q_name(q)}"
+            if method == "nearest":
+                idx = F.greatest(nearest_rank_index(n, q), F.lit(1)).cast("int")
+                finals.append(F.when(n > 0, F.try_element_at(arr, idx))
+                              .alias(name))
+            elif method == "linear":
+                h = (n - F.lit(1)).cast("double") * F.lit(float(q))
+                lo = F.floor(h).cast("long")
+                a = F.try_element_at(arr, F.greatest(lo + 1, F.lit(1)).cast("int"))
+                b = F.try_element_at(arr, F.greatest(F.ceil(h).cast("long") + 1, F.lit(1)).cast("int"))
+                finals.append(F.when(n > 0, a + (b - a) * (h - lo)).alias(name))
+            else:
+                raise ValueError(f"unknown quantile method: {method}")
+    return grouped.select(*keys, *finals)
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs: Sequence[float],
               method: str = "nearest", hot_rows: int | None = None, known_hot: bool | None = None) -> DataFrame:
     """One row per group: ``{col}_{pNN}`` = exact quantile of each column over its non-null values.
 
     ``method="nearest"``: element ``round((n-1)q)`` (0-based) of the sorted values (Polars' nearest rank).
     ``method="linear"``: ``x[lo] + (x[hi] - x[lo]) * (h - lo)`` with ``h = (n-1)q`` (NumPy's default).
-    All columns and quantiles come from one positions pass over a long (group, column, value) table, so
-    no group is ever gathered into one task. Groups without a non-null value of a column get NULL.
-    ``known_hot=False`` (the caller has checked that no group exceeds ``hot_rows``) skips the size check.
+    When no group exceeds ``hot_rows`` rows (one small size check, or ``known_hot=False`` from the caller),
+    each group's values are sorted inside one aggregate (bounded by ``hot_rows``). Otherwise all columns and
+    quantiles come from one positions pass over a long (group, column, value) table, where hot groups are
+    ranked through range partitions, so no hot group is ever gathered into one task. Groups without a
+    non-null value of a column get NULL.
     """
     keys = list(keys)
+    hot_rows = hot_group_rows(df, hot_rows)
+    if known_hot is None:
+        known_hot = group_sizes_have_hot(df, keys, hot_rows)
+    if not known_hot:
+        return _bounded_quantiles(df, keys, value_cols, qs, method)
     long = long_values(df, keys, value_cols)
-    ranked = _ranked_values(long, [*keys, "_col"], hot_rows, known_hot)
+    ranked = _ranked_values(long, [*keys, "_col"], hot_rows)
     n = F.col(GROUP_ROWS)
     aggs, finals = [], []
     for c in value_cols:

@@ -64,3 +64,15 @@ def test_quantiles_match_numpy(spark):
     assert np.isclose(lin["x_p99"], np.percentile(clean, 99))
     near = O.quantiles(df, ["cell_id"], ["x"], [0.95], "nearest").first()
     assert near["x_p95"] == clean[int(round((len(clean) - 1) * 0.95))]
+
+
+def test_quantile_paths_agree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, float(rng.normal())) for c in range(4) for _ in range(int(rng.integers(1, 300)))]
+    rows += [(9, None)]  # a group without values
+    df = spark.createDataFrame(rows, "cell_id long, x double")
+    for method in ("nearest", "linear"):
+        a = O.quantiles(df, ["cell_id"], ["x"], [0.25, 0.95], method).orderBy("cell_id").collect()
+        b = O.quantiles(df, ["cell_id"], ["x"], [0.25, 0.95], method, hot_rows=0).orderBy("cell_id").collect()
+        a = [r for r in a if r.x_p25 is not None]
+        assert [tuple(r) for r in a] == [tuple(r) for r in b], method
