@@ -39,10 +39,12 @@ SPLIT_PATH = ["rolling_stats_20", "norm_p95", "fade_rate", "missing_cycles", "ou
               "pipeline_global", "infinity_cleanup", "temperature_features"]
 
 
+@pytest.mark.parametrize("hot_rows", ["0", "30"])
 @pytest.mark.parametrize("name", SPLIT_PATH)
-def test_split_path_matches_oracle(spark, con, name):
-    """Every group forced through the skew-safe paths (tiny chunks: many halo borders) gives the same rows."""
-    spark.conf.set("spark.cyclelake.hotGroupRows", "0")
+def test_split_path_matches_oracle(spark, con, name, hot_rows):
+    """Groups forced through the skew-safe paths (tiny chunks: many halo borders) give the same rows: all
+    groups (threshold 0), or the larger half of them next to plain windows for the rest (threshold 30)."""
+    spark.conf.set("spark.cyclelake.hotGroupRows", hot_rows)
     spark.conf.set("spark.cyclelake.chunkRows", "4")
     try:
         ok, msg = compare(queries()[name](spark, SMALL), oracle_sql()[name], con)
