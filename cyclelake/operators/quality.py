@@ -109,8 +109,8 @@ def cycle_data_rules(df: DataFrame) -> list[Rule]:
 
 
 # ------------------------------------------------------------------ compilation
-def _cols_like(df: DataFrame, patterns: Sequence[str], extra: Callable[[str], bool] = lambda n: False) -> list[str]:
-    return [c for c in df.columns if any(p.lower() in c.lower() for p in patterns) or extra(c)]
+def _cols_like(df: DataFrame, patterns: Sequence[str]) -> list[str]:
+    return [c for c in df.columns if any(p.lower() in c.lower() for p in patterns)]
 
 
 class _Compiler:

@@ -9,7 +9,7 @@ which share the feature table through one ``persist`` (recomputed from lineage i
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -34,7 +34,6 @@ class ProcessingConfig:
     outlier_detection: bool = True
     outlier_threshold: float = FT.OUTLIER_FACTOR
     keep_all_if_no_cell_qualifies: bool = False  # quirk Q4, off by default
-    extra: dict = field(default_factory=dict)
 
     def spec(self) -> FT.FeatureSpec:
         methods = tuple(m for m in self.normalization_methods if m in FT.NORM_METHODS)

@@ -98,6 +98,16 @@ def cycles_for_cells(cycles: DataFrame, ids: DataFrame | Sequence[int], cells: D
     return chosen
 
 
+def sorted_cycles(cycles: DataFrame) -> DataFrame:
+    """cells in id order, cycles in ``regular_cycle_number`` (else ``cycle_number``) order.
+
+    Operators never need this (order lives in their window specs); it is the final ``orderBy`` a caller asks
+    for, a range-partitioned sort.
+    """
+    order = [CELL] + [c for c in ("regular_cycle_number", "cycle_number") if c in cycles.columns][:1]
+    return cycles.orderBy(*order)
+
+
 def stack(frames: Iterable[DataFrame]) -> DataFrame:
     """G1: stack frames by column name; columns missing from some frames become NULL (Q9)."""
     frames = list(frames)
