@@ -2,9 +2,9 @@
 
 The cell table has one row per cell, far fewer rows than the cycle table, but its size still grows with the
 data, so it is not hinted as broadcast blindly: :func:`join_metadata` broadcasts it only when a size check
-passes (rows × row width under ``spark.sql.autoBroadcastJoinThreshold``, bounded by the scan's size
-estimate) and otherwise leaves the choice to AQE, which broadcasts at run time when the shuffled side turns
-out small and splits hot-cell partitions when it does not.
+passes (counted rows × schema row width under ``spark.sql.autoBroadcastJoinThreshold``) and otherwise leaves
+the choice to AQE, which broadcasts at run time when the shuffled side turns out small and splits hot-cell
+partitions when it does not.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CELL = "cell_id"
 
@@ -32,20 +33,39 @@ def _broadcast_threshold(df: DataFrame) -> int:
         return 10 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a plan (from file sizes and projections); None when unavailable."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - depends on the JVM bridge
-        return None
+_SIZE_CHECKS: dict[tuple, int] = {}
+
+
+def _row_width(df: DataFrame) -> int:
+    """A generous bytes-per-row figure from the schema (strings counted as 32 bytes)."""
+    width = 8
+    for f in df.schema.fields:
+        t = f.dataType
+        if isinstance(t, (T.BooleanType, T.ByteType)):
+            width += 1
+        elif isinstance(t, (T.ShortType, T.IntegerType, T.FloatType, T.DateType)):
+            width += 4
+        elif isinstance(t, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
+            width += 8
+        elif isinstance(t, T.StringType):
+            width += 32
+        else:
+            width += 64
+    return width
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Rows × schema width. The row count is one ``count()`` job, remembered per application and plan."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _SIZE_CHECKS:
+        _SIZE_CHECKS[key] = df.count()
+    return _SIZE_CHECKS[key] * _row_width(df)
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``broadcast(df)`` when its estimated size is under the broadcast threshold, else ``df`` unchanged."""
-    size = estimated_bytes(df)
-    limit = _broadcast_threshold(df)
-    if size is not None and 0 <= size <= limit:
+    """``broadcast(df)`` when its checked size is under the broadcast threshold, else ``df`` unchanged
+    (AQE may still broadcast it at run time from the measured shuffle size)."""
+    if estimated_bytes(df) <= _broadcast_threshold(df):
         return F.broadcast(df)
     return df
 
