@@ -167,6 +167,29 @@ def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], tem
                            chunk_rows=spec.chunk_rows, known_hot=known_hot)
 
 
+def _end_of_life(cycles: DataFrame, stats: DataFrame, caps: Sequence[str], key: str = CELL) -> DataFrame:
+    """Per ``key``: row count and, per column, the lowest cycle under 80 % of the cycle-1 value.
+
+    Two partial aggregates: the cycle-1 value (in ``stats``) must be known before rows can be compared with it.
+    """
+    below = cycles.join(stats.select(key, *[_st(c, "c1") for c in caps]), key, "left")
+    return below.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_cell_rows"),
+        *[F.min(F.when(F.col(c) < F.lit(EOL_FRACTION) * F.col(_st(c, "c1")), F.col(CYCLE)))
+          .alias(_st(c, "eol")) for c in caps],
+    )
+
+
+def cycles_to_80pct(cycles: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """E15 as a per-cell table ``(cell_id, {x}_cycles_to_80pct)``: no windows, two partial aggregates."""
+    caps = list(cols) if cols is not None else S.capacity_columns(cycles)
+    stats = cell_stats(cycles, caps)
+    eol = _end_of_life(cycles, stats, caps).join(stats.select(CELL, *[_st(c, "c1") for c in caps]), CELL)
+    return eol.select(CELL, *[
+        F.when((F.col(_st(c, "c1")) > 0) & (F.col("_cell_rows") > 1), F.col(_st(c, "eol")))
+        .alias(f"{c}_cycles_to_80pct") for c in caps])
+
+
 GLOBAL = "_whole_table"
 
 
@@ -221,12 +244,7 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -
 
     if spec.degrade and caps:
         # E15 needs the cycle-1 value before it can look for the first cycle under 80 % of it.
-        below = cycles.join(stats.select(key, *[_st(c, "c1") for c in caps]), key, "left")
-        eol = below.groupBy(key).agg(
-            F.count(F.lit(1)).alias("_cell_rows"),
-            *[F.min(F.when(F.col(c) < F.lit(EOL_FRACTION) * F.col(_st(c, "c1")), F.col(CYCLE)))
-              .alias(_st(c, "eol")) for c in caps],
-        )
+        eol = _end_of_life(cycles, stats, caps, key)
         joined = joined.join(F.broadcast(eol) if not by_cell else eol, key, "left")
 
     new: dict[str, Column] = {}

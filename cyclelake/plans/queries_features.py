@@ -181,10 +181,8 @@ SELECT c1.cell_id, """ + ", ".join(
 FROM c1 JOIN eol USING (cell_id)
 """)
 def cycles_to_80pct(spark, sf):
-    """E15 as a per-cell table: the feature repeats one value on every row of a cell."""
-    df = _features(spark, sf, FT.FeatureSpec(degrade=True))
-    outs = [f"{c}_cycles_to_80pct" for c in CAPS]
-    return df.groupBy("cell_id").agg(*[F.max(c).alias(c) for c in outs])
+    """E15 as a per-cell table (the feature repeats this value on every row of a cell)."""
+    return FT.cycles_to_80pct(fx.cycles(spark, sf), CAPS)
 
 
 # ---------------------------------------------------------------- E16-E18
