@@ -15,8 +15,9 @@ only larger groups take the paths below, which never put a whole group in one ta
   last ``lookback`` rows of every chunk into the next one ("halo"). A window on ``(group, chunk)`` ordered by
   position then sees every row it needs for ``lag`` and ``rowsBetween(-lookback, 0)`` frames, and each window
   partition holds at most ``chunk_rows + lookback`` rows, however large the group.
-* :func:`ordered_columns` and :func:`quantiles` combine the two: plain windows for ordinary groups, the split
-  paths for hot ones, identical results.
+* :func:`ordered_columns` and :func:`quantiles` combine them: ordinary groups get a plain window (ordered
+  columns) or one sorting aggregate bounded by the group size (quantiles), hot groups get the split paths,
+  and the results are identical.
 """
 
 from __future__ import annotations
