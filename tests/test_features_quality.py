@@ -168,3 +168,18 @@ def test_load_and_process_runs_lazily(spark):
     years = {r.test_year for r in out["cycles"].select("test_year").distinct().collect()}
     assert years == {2020}
     out["cycles"].unpersist()
+
+
+def test_rule_details_text(spark):
+    rows = [(0, 1, -1.0, 2000.0, 6.0), (1, 2, 1.0, 1.0, 3.0), (1, 3, 1.0, None, 0.5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    res = {r.rule_name: r.details for r in Q.validate_battery_data(df).collect()}
+    assert res["range:cell_id"] == "1 values below 1"
+    assert res["capacity_columns"] == ("discharge_capacity: 1 negative values; "
+                                       "charge_capacity: 1 unreasonably large values (>1000)")
+    assert res["voltage_columns"] == "voltage: 1 values below 1.0V; voltage: 1 values above 5.0V"
+    assert res["cycle_numbers:regular_cycle_number"] == "Cycle numbers look valid"
+    assert res["cycle_numbers:cycle_number"] == "Column cycle_number not found"
+    pat = {r.rule_name: r.details for r in Q.validate(df.withColumn("s", F.lit("ab")),
+                                                       [Q.pattern_check("s", "^a")]).collect()}
+    assert pat["pattern:s"] == "Pattern matches: 3/3"
