@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import packing, quality, tokencount, tokenfile
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), "word", end_id=2)
 
 
+@register("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    return tokencount.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@register("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.verdicts(documents(spark, sf_dir), labels).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 @register("op9_token_file")
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written and read back."""
