@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, tokencount, tokenfile
+from . import langid, packing, quality, tokencount, tokenfile
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+@register("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text; learnt without the held-out third."""
+    docs = documents(spark, sf_dir)
+    predicted = langid.predict(docs, langid.train(docs, ~langid.held_out()))
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @register("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of every document."""
