@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, tokencount, tokenfile
+from . import langid, mixing, packing, quality, sharding, tokencount, tokenfile
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), "word", end_id=2)
 
 
+@register("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near-equal bytes; equal texts stay together."""
+    placed = sharding.assign(documents(spark, sf_dir), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 @register("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
@@ -54,6 +62,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@register("op7_source_mixing")
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document, and when its first copy is due."""
+    return mixing.plan(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["due"].alias("first_due"))
+
+
 @register("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of every document."""
