@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, mixing, packing, quality, sharding, tokencount, tokenfile
+from . import embedding_dedup, langid, minhash_dedup, mixing, packing, quality, sharding, tokencount, tokenfile
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+@register("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a shingle similarity of 0.75."""
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 @register("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text; learnt without the held-out third."""
