@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -69,26 +70,45 @@ class PieceEncoder:
             odd = pc.or_(odd, pc.match_substring(pieces, s))
         return odd.to_numpy(zero_copy_only=False)
 
+    def _learn(self, token: str) -> bytes:
+        """Ids of one word of the vocabulary's pattern, as the bytes of unsigned 32-bit integers."""
+        if token.isascii() and token.lstrip(" ").isalpha():
+            spelt = token.replace(" ", self.letters[32])
+        else:
+            spelt = token.encode().decode("latin-1").translate(self.letters)
+        got = self.tokens[token] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+        return got
+
     def _table(self, pieces: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each piece's ids begin in a flat table, how many they are, and the table."""
-        odd = self._odd(pieces)
-        glue = f"\n{MARK}\n" if self.kind == "byte" else f" {MARK} "
-        text = "".join(lead + x + glue for x in pieces.filter(pa.array(~odd)).to_pylist())
-        found = self.find(self.normalizer.normalize_str(text) if self.normalizer else text)
         if len(self.tokens) > self.max_tokens:
             self.tokens = {MARK: self.tokens[MARK]}
-        for token in set(found).difference(self.tokens):
-            spelt = token.encode().decode("latin-1").translate(self.letters)
-            self.tokens[token] = np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
-        table = np.frombuffer(b"".join(map(self.tokens.__getitem__, found)), "<u4")
-        marks, beside = np.flatnonzero(table == MARK_ID), int(self.kind == "byte")  # line feeds beside a mark
         begin, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        begin[~odd] = np.concatenate([[0], marks + 1 + beside])[:-1]
-        length[~odd] = marks - beside - begin[~odd]
-        alone = [self.library.encode(lead + x, add_special_tokens=False).ids for x in pieces.filter(pa.array(odd)).to_pylist()]
+        # pieces of ASCII letters only are one word each
+        plain = pc.match_substring_regex(pieces, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        own = pieces.filter(pa.array(plain))
+        own = (pc.ascii_lower(own) if self.kind == "word" else own).to_pylist()
+        get, learn = self.tokens.get, self._learn
+        ids = [get(x) or learn(x) for x in ([lead + x for x in own] if lead else own)]
+        length[plain] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin[plain] = np.cumsum(length[plain]) - length[plain]
+        tables = [np.frombuffer(b"".join(ids), "<u4")]
+        # the others are cut by the pattern, all in one text with marks between them
+        odd = self._odd(pieces)
+        mixed = ~(plain | odd)
+        glue = f"\n{MARK}\n" if self.kind == "byte" else f" {MARK} "
+        text = "".join([lead + x + glue for x in pieces.filter(pa.array(mixed)).to_pylist()])
+        found = self.find(self.normalizer.normalize_str(text) if self.normalizer else text)
+        tables.append(np.frombuffer(b"".join([get(x) or learn(x) for x in found]), "<u4"))
+        marks, beside = np.flatnonzero(tables[1] == MARK_ID), int(self.kind == "byte")  # line feeds beside a mark
+        start = np.concatenate([[0], marks + 1 + beside])[:-1]
+        begin[mixed] = start + len(tables[0])
+        length[mixed] = marks - beside - start
+        alone = [self.library.encode(lead + x, add_special_tokens=False).ids
+                 for x in pieces.filter(pa.array(odd)).to_pylist()]
         length[odd] = list(map(len, alone))
-        begin[odd] = len(table) + np.cumsum(length[odd]) - length[odd]
-        return begin, length, np.concatenate([table, np.array([i for x in alone for i in x], "<u4")])
+        begin[odd] = sum(map(len, tables)) + np.cumsum(length[odd]) - length[odd]
+        return begin, length, np.concatenate([*tables, np.array([i for x in alone for i in x], "<u4")])
 
     def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all texts and, per text, the index of its first piece."""
