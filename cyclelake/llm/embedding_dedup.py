@@ -9,7 +9,7 @@ returns link counts per class and a spanning forest of its links, never the pair
 
 Defined results: a vector whose label is null, that is null or empty, zero, or has a null or non-finite component
 links with nothing; vectors of different lengths don't link; rows of one id are one node (and each other's links are
-counted per row); a null id links with nothing and has no component (not kept); an empty table gives an empty table.
+counted per row); a null id links with nothing and has no component (it is kept); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -143,4 +143,4 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     component = F.coalesce("component_id", "node")
     return out.select(F.col("node").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"),
-                      F.coalesce(F.col("node") == component, F.lit(False)).alias("kept"))
+                      F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))

@@ -14,7 +14,7 @@
 
 Defined results: A-Z are lower-cased, words are runs of other than ASCII white space; fewer than five words form one
 shingle; a text without words (or null) has no shingles and links with nothing; rows of equal ids are one node; a null
-id links with nothing and has no component (kept is false for it); other columns are not read; an empty table gives
+id links with nothing and has no component (it is kept); other columns are not read; an empty table gives
 an empty table.
 """
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ship, stored, text_slices
@@ -313,4 +314,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         known, "digest", "left")
     component = F.coalesce("component_id", "node")
     return out.select(F.col("node").alias(id_col), "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("node") == component, F.lit(False)).alias("kept"))
+                      F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with one row left of each component, unchanged; rows without an id all stay.
+
+    Of rows that share a kept id, the one whose text has the least hash stays.
+    """
+    found = near_duplicates(df, id_col, text_col)
+    kept = stored(found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct(),
+                  "minhash-kept")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    order = W.partitionBy("_id").orderBy(F.xxhash64(f"_row.{text_col}"))
+    one = rows.join(kept, "_id", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return one.select("_row.*").unionByName(df.where(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, minhash_dedup, mixing, packing, quality, sharding, tokencount, tokenfile
+from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding, tokencount, tokenfile
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "tokens")
     tokenfile.write(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), "byte", end_id=0)
     return tokenfile.documents(spark, path, with_ids=False)
+
+
+@register("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts and notices found in every whole text."""
+    return license_scan.scan(documents(spark, sf_dir))
