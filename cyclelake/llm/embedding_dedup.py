@@ -76,7 +76,7 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(least: float):
-    """Arrow function over block pairs: rows (node, other, count) with a link count, or one link of the forest."""
+    """Arrow function over block pairs: rows (digest, node, other, links): a class's count, or a link of the forest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, "_pair"):
@@ -84,7 +84,7 @@ def _compared(least: float):
             same, rank = table.column("_same").to_numpy(), table.column("table").to_numpy()
             copies = table.column("copies").to_numpy()
             keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            raw = table.column("vector").to_pylist()
+            raw, digest = table.column("vector").to_pylist(), table.column("digest").to_pylist()
             out: list[tuple] = []
             for a, b in zip(starts, np.append(starts[1:], len(node))):
                 if b - a < 2:
@@ -100,10 +100,11 @@ def _compared(least: float):
                 again = earlier.any(axis=1)
                 near[x[again], y[again]] = False
                 counts = near @ copies[a:b]
-                out += [(int(node[a + i]), None, int(counts[i])) for i in np.flatnonzero(counts)]
-                out += [(int(node[a + i]), int(node[a + j]), 0) for i, j in _forest(near)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
-                                             [pa.array([], pa.int64())] * 3, ["node", "other", "links"])
+                out += [(digest[a + i], int(node[a + i]), None, int(counts[i])) for i in np.flatnonzero(counts)]
+                out += [(None, int(node[a + i]), int(node[a + j]), 0) for i, j in _forest(near)]
+            types, names = [pa.binary(), *[pa.int64()] * 3], ["digest", "node", "other", "links"]
+            columns = zip(*out) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return rows
 
@@ -126,16 +127,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     crowd = stored(bands.join(full, bucket), "embed-members").join(classes.select("digest", "copies", "vector", "keys"), "digest")
     blocks = F.ceil(F.col("_in") / F.lit(block)).cast("int")
     pairs = pair_blocks(crowd, [F.col(c) for c in bucket], blocks, F.xxhash64("digest"))
-    sent = pairs.select("_pair", "_side", "_same", "table", "node", "copies", "keys", "vector")
+    sent = pairs.select("_pair", "_side", "_same", "table", "digest", "node", "copies", "keys", "vector")
     met = stored(sent.repartition("_pair").sortWithinPartitions("_pair")
-                 .mapInArrow(_compared(least), "node long, other long, links long"), "embed-links")
-    counts = met.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("near"))
+                 .mapInArrow(_compared(least), "digest binary, node long, other long, links long"), "embed-links")
+    counts = met.where("other IS NULL").groupBy("digest").agg(F.sum("links").alias("near"))
     repeated = base.where("digest IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     first = classes.select("digest", F.col("node").alias("rep"), "copies")
     same = hashed.select("node", "digest").join(repeated, "node").join(first, "digest").select(
         F.col("node").alias("a"), F.col("rep").alias("b"))
     group = components(met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).union(same))
-    known = stored(first.join(counts.withColumnRenamed("node", "rep"), "rep", "left")
+    known = stored(first.join(counts, "digest", "left")
                    .join(group.withColumnRenamed("node", "rep"), "rep", "left")
                    .select("digest", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"),
                            F.coalesce("component", "rep").alias("component_id")), "embed-known")
