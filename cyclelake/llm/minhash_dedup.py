@@ -280,7 +280,8 @@ class _Candidates:
         own = F.when(F.col("main"), F.pmod(salt, main_blocks)).otherwise(F.pmod(salt, rest_blocks)).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.when(F.col("main"), rest_blocks).otherwise(main_blocks) - 1))
         across = met.withColumns({"_own": own, "_j": other})
-        i, j = (F.when(F.col("main"), a).otherwise(b) for a, b in (("_own", "_j"), ("_j", "_own")))
+        i = F.when(F.col("main"), F.col("_j")).otherwise(F.col("_own"))
+        j = F.when(F.col("main"), F.col("_own")).otherwise(F.col("_j"))
         across = across.withColumns({"_pair": F.xxhash64("key", F.lit("main"), i, j), "_side": F.col("main").cast("int"),
                                      "_same": F.lit(False)})
         columns = ["_pair", "_side", "_same", "main", "node", "component"]
