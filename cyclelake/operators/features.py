@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros, ratio, safe_divide
 from . import schema as S
-from .ordering import group_sizes_have_hot, ordered_columns, q_name, quantiles
+from .ordering import ordered_columns, q_name, quantiles
 
 CELL = "cell_id"
 CYCLE = "regular_cycle_number"
@@ -92,12 +92,12 @@ def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False,
 
 
 def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]], key: str = CELL,
-                    hot_rows: int | None = None, known_hot: bool | None = None) -> DataFrame | None:
+                    hot_rows: int | None = None) -> DataFrame | None:
     cols = sorted(wanted)
     if not cols:
         return None
     qs = sorted({q for v in wanted.values() for q in v})
-    qt = quantiles(cycles, [key], cols, qs, "nearest", hot_rows, known_hot)
+    qt = quantiles(cycles, [key], cols, qs, "nearest", hot_rows)
     return qt.select(key, *[F.col(f"{c}_{q_name(q)}").alias(_st(c, q_name(q))) for c in cols for q in qs])
 
 
@@ -126,8 +126,7 @@ def _norm_exprs(c: str, methods: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], temps: list[str],
-                      known_hot: bool | None = None) -> DataFrame:
+def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], temps: list[str]) -> DataFrame:
     """E13, E16, E17, E18 rolling parts, via :func:`~cyclelake.operators.ordering.ordered_columns`: a plain
     per-cell window for cells up to ``spec.hot_rows`` rows, halo-chunked windows for larger cells."""
     lookback = 1
@@ -164,7 +163,7 @@ def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], tem
     if not build(Window.partitionBy(CELL).orderBy(CYCLE)):
         return cycles
     return ordered_columns(cycles, [CELL], CYCLE, build, lookback, hot_rows=spec.hot_rows,
-                           chunk_rows=spec.chunk_rows, known_hot=known_hot)
+                           chunk_rows=spec.chunk_rows)
 
 
 def _end_of_life(cycles: DataFrame, stats: DataFrame, caps: Sequence[str], key: str = CELL) -> DataFrame:
@@ -223,22 +222,19 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -
         for c in caps:
             want_q.setdefault(c, set()).update({0.25, 0.75})
 
-    # One size check for the whole plan: a (cell, column) group is never larger than its cell, so when no
-    # cell is hot, neither the ordered features nor the per-cell quantiles need their split paths.
-    ordered = spec.degrade or spec.rolling or (spec.temperature and temps)
-    cell_hot = group_sizes_have_hot(cycles, [CELL], spec.hot_rows) if (ordered or want_q) else None
     base = cycles
-    if ordered:
-        base = _ordered_features(cycles, spec, caps, temps, known_hot=cell_hot)
+    if spec.degrade or spec.rolling or (spec.temperature and temps):
+        base = _ordered_features(cycles, spec, caps, temps)
 
     need_date = spec.cycle and has_date and "cycle_age_days" not in cycles.columns
-    if need_date:  # cycle age is always per cell
+    # cycle age is always per cell; otherwise the first date comes with the statistics
+    stats = cell_stats(cycles, stat_cols, first_date=need_date and by_cell, key=key)
+    if need_date and not by_cell:
         base = base.join(cycles.groupBy(CELL).agg(F.min("test_date").alias("_first_test_date")), CELL, "left")
-    stats = cell_stats(cycles, stat_cols, key=key)
     if not by_cell:
         stats = F.broadcast(stats)
     joined = base.join(stats, key, "left")
-    qt = _quantile_table(cycles, want_q, key, spec.hot_rows, known_hot=cell_hot if by_cell else None)
+    qt = _quantile_table(cycles, want_q, key, spec.hot_rows)
     if qt is not None:
         joined = joined.join(F.broadcast(qt) if not by_cell else qt, key, "left")
 

@@ -1,23 +1,24 @@
 """Skew-safe ordering: positions within a group, halo-chunked windows, exact quantiles.
 
 A per-cell ``Window.partitionBy("cell_id")`` sends every row of a cell to one task; one hot cell holding a
-third of the table would then be one task. So groups are split by size first (a partial aggregate gives the
-sizes): groups up to ``HOT_GROUP_ROWS`` rows use one plain window (a window partition is then bounded), and
-only larger groups take the paths below, which never put a whole group in one task:
-
-* :func:`with_positions` (any order) and :func:`with_block_positions` (integer order) number rows within a
-  group (1, 2, ...). ``with_positions`` range-partitions on ``keys + order`` (Spark samples the data, so a
-  hot group is split across many tasks), sorts inside each partition and numbers rows with
-  ``monotonically_increasing_id``; ``with_block_positions`` numbers rows inside (group, block of order
-  values) windows. Either way a small table with one row per (group, piece) supplies the count of the
-  group's rows in earlier pieces, and offset plus local number is the position.
+third of the table would then be one task. So groups are split by size (one small job gives the answer whether any
+group is over ``HOT_GROUP_ROWS``; nothing about sizes is remembered between calls). Groups up to that size use one
+plain window, whose partitions are then bounded; larger groups take these paths, which never put a whole group in
+one task:
+
+* :func:`with_positions` (any order) numbers rows within a group through range partitions.
+* :func:`with_block_positions` (integer order) numbers rows within a group (1, 2, ...). Rows are cut into blocks of order values, a
+  crowded block further by value and row hash, and windows run inside (group, block, part); a table with one row per
+  part supplies the number of the group's rows in earlier parts.
 * :func:`with_chunks` cuts each group into chunks of ``chunk_rows`` consecutive positions and copies the
   last ``lookback`` rows of every chunk into the next one ("halo"). A window on ``(group, chunk)`` ordered by
   position then sees every row it needs for ``lag`` and ``rowsBetween(-lookback, 0)`` frames, and each window
   partition holds at most ``chunk_rows + lookback`` rows, however large the group.
-* :func:`ordered_columns` and :func:`quantiles` combine them: ordinary groups get a plain window (ordered
-  columns) or one sorting aggregate bounded by the group size (quantiles), hot groups get the split paths,
-  and the results are identical.
+* :func:`quantiles` sorts the values of small groups inside one aggregate. For larger groups a mergeable sketch
+  brackets each rank, and only the values inside the bracket are counted and ranked, once per distinct value.
+
+No path loses rows: NULL keys form a group as in a window, NULL order values come first, and rows that tie in order
+are ordered by the hash of the whole row, so repeated runs agree and both paths give identical results.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ POS = "_pos"
 GROUP_ROWS = "_group_rows"
 CHUNK = "_chunk"
 HALO = "_halo"
+TIE = "_tie"
 
 #: Rows per window partition in chunked windows. Large enough that the halo copy is negligible,
 #: small enough that one window partition always fits a task.
@@ -43,15 +45,22 @@ DEFAULT_CHUNK_ROWS = 65536
 #: partition is then bounded by this number). Larger ("hot") groups take the skew-safe paths below.
 HOT_GROUP_ROWS = 1 << 20
 
+#: Groups up to this many rows have their values gathered for exact quantiles. The aggregate may hold 128 groups
+#: at once, so this is lower than the window's bound, which can spill.
+GATHER_ROWS = 1 << 14
+
+#: The sketch's rank error is at most rows / SKETCH_ACCURACY; brackets are twice as wide.
+SKETCH_ACCURACY = 10000
+
 
-def hot_group_rows(df: DataFrame, value: int | None = None) -> int:
+def hot_group_rows(df: DataFrame, value: int | None = None, default: int = HOT_GROUP_ROWS) -> int:
     """The hot-group threshold: ``value`` if given, else ``spark.cyclelake.hotGroupRows``, else the default.
 
     Setting the conf to 0 sends every group through the split paths (used to test them on small data).
     """
     if value is not None:
         return int(value)
-    return int(df.sparkSession.conf.get("spark.cyclelake.hotGroupRows", str(HOT_GROUP_ROWS)))
+    return int(df.sparkSession.conf.get("spark.cyclelake.hotGroupRows", str(default)))
 
 
 def chunk_rows_for(df: DataFrame, value: int | None = None) -> int:
@@ -60,97 +69,82 @@ def chunk_rows_for(df: DataFrame, value: int | None = None) -> int:
     return int(df.sparkSession.conf.get("spark.cyclelake.chunkRows", str(DEFAULT_CHUNK_ROWS)))
 
 
-_HOT_CHECKS: dict[tuple, bool] = {}
-
-
-def has_hot_groups(sizes: DataFrame, size_col: str, hot_rows: int) -> bool:
-    """Whether any group of a (group, size) table is over ``hot_rows``: one small job, one row at most.
-
-    Remembered per application and plan (``semanticHash``), so queries over the same table share the check.
-    """
-    key = (sizes.sparkSession.sparkContext.applicationId, sizes.semanticHash(), size_col, hot_rows)
-    if key not in _HOT_CHECKS:
-        _HOT_CHECKS[key] = bool(sizes.filter(F.col(size_col) > hot_rows).limit(1).collect())
-    return _HOT_CHECKS[key]
+def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> list[Column]:
+    """Null-safe equality of ``left``'s and ``right``'s columns, for joins that keep NULL groups."""
+    return [left[a].eqNullSafe(right[b]) for a, b in pairs.items()]
 
 
 def group_sizes_have_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
-    """Group sizes by ``keys`` (partial aggregate) and :func:`has_hot_groups` on them."""
+    """Whether any ``keys`` group is over ``hot_rows``: a partial aggregate, and one row at most comes back."""
     hot_rows = hot_group_rows(df, hot_rows)
     if hot_rows <= 0:
         return True
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return has_hot_groups(sizes, "_n", hot_rows)
-
+    return bool(sizes.filter(F.col("_n") > hot_rows).limit(1).collect())
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def with_tie(df: DataFrame) -> DataFrame:
+    """Add the hash of the whole row, which orders rows that tie."""
+    return df.withColumn(TIE, F.xxhash64(*df.columns))
 
-def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   pos_col: str = POS, count_col: str | None = GROUP_ROWS) -> DataFrame:
-    """Add ``pos_col`` = 1-based position of the row within its ``keys`` group, ascending by ``order``.
 
-    For any sortable ``order`` (doubles, timestamps, several columns). ``order`` should make rows unique
-    within a group when the exact position of tied rows matters; tied rows get distinct consecutive positions
-    in an unspecified order. Group keys and order values must not be null. ``count_col`` (optional) receives
-    the size of the group.
+def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], pos_col: str = POS,
+                   count_col: str | None = GROUP_ROWS) -> DataFrame:
+    """Add ``pos_col``: the 1-based position of the row in its group by any sortable ``order``, ties by row hash.
 
-    The range exchange's bounds come from sampling, and two exchanges of the same data would sample
-    differently; so the range-partitioned, locally numbered rows are checkpointed (reliably, to
-    ``spark.checkpoint.dir``) and both the per-partition counts and the rows are read from that one copy.
+    Rows are range-partitioned by keys, order and hash (Spark samples the data, so neither a hot group nor a frequent
+    value stays in one task) and numbered inside each partition. Partition counts and rows must come from one
+    exchange, as two would sample differently; the rows are therefore checkpointed, lazily, to
+    ``spark.checkpoint.dir``. ``count_col`` (optional) receives the group's size.
     """
     keys = list(keys)
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    key_cols = [F.col(k) for k in keys]
-    ranged = (
-        df.repartitionByRange(_partitions(df), *key_cols, *order_cols)
-        .sortWithinPartitions(*key_cols, *order_cols)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_mono", F.monotonically_increasing_id())
-    )
     checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True)
-    return _attach_offsets(ranged, keys, "_part", "_mono", pos_col, count_col)
+    rows = with_tie(df)
+    sort = [*[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order], F.col(TIE)]
+    ranged = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumns(
+        {"_piece": F.spark_partition_id(), "_line": F.monotonically_increasing_id()}).checkpoint(eager=False)
+    counts = ranged.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(*[F.col(c).alias(f"_p_{c}") for c in (*keys, "_piece")], "_first",
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"),
+                          *([F.sum("_n").over(group).alias(count_col)] if count_col else []))
+    out = ranged.join(ahead, same_keys(ranged, ahead, {c: f"_p_{c}" for c in (*keys, "_piece")}))
+    out = out.withColumn(pos_col, F.col("_ahead") + F.col("_line") - F.col("_first") + F.lit(1))
+    return out.drop("_piece", "_line", TIE, *[c for c in ahead.columns if c != count_col])
 
 
 def with_block_positions(df: DataFrame, keys: Sequence[str], order_col: str, tiebreak: Sequence[str] = (),
-                         pos_col: str = POS, count_col: str | None = GROUP_ROWS,
-                         block_width: int = 4096) -> DataFrame:
-    """Same result as :func:`with_positions` for an integer ``order_col`` (cycle numbers), without sampling.
+                         pos_col: str = POS, block_width: int = 4096) -> DataFrame:
+    """Add ``pos_col``: the 1-based position of the row in its group by (``order_col``, row hash), NULLs first.
 
-    Rows are cut into blocks of ``block_width`` consecutive order values; a window numbers rows inside each
-    (group, block) and a small per-(group, block) count table supplies the offsets. When (group, order value)
-    is a key, as a cycle number is within its cell, no window partition exceeds ``block_width`` rows.
+    ``order_col`` holds integers. Blocks are ``block_width`` consecutive values; a block with more rows than values
+    (repeated numbers) is cut by value and then by the hash, so a window holds about ``block_width`` rows even when
+    one value is frequent. (Rows equal in every column hash alike and stay together; with ``tiebreak`` columns, which
+    order ties before the hash does, the rows of one value stay together.)
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", F.floor(F.col(order_col) / F.lit(block_width)))
-    local = Window.partitionBy(*keys, "_block").orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
-    blocked = blocked.withColumn("_local", F.row_number().over(local))
-    return _attach_offsets(blocked, keys, "_block", None, pos_col, count_col)
-
-
-def _attach_offsets(rows: DataFrame, keys: list[str], piece: str, mono: str | None,
-                    pos_col: str, count_col: str | None) -> DataFrame:
-    """pos = rows of the same group in earlier pieces + position inside the piece.
-
-    The per-(group, piece) table has at most groups + pieces rows; the window over it is per group and holds
-    one row per piece, and it is joined back on (group, piece).
-    """
-    aggs = [F.count(F.lit(1)).alias("_piece_rows")]
-    if mono:
-        aggs.append(F.min(mono).alias("_first_mono"))
-    pieces = rows.groupBy(*keys, piece).agg(*aggs)
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    earlier = by_key.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_offset", F.coalesce(F.sum("_piece_rows").over(earlier), F.lit(0)))
-    if count_col:
-        pieces = pieces.withColumn(count_col, F.sum("_piece_rows").over(by_key))
-    out = rows.join(pieces, [*keys, piece], "inner")
-    inside = (F.col(mono) - F.col("_first_mono") + F.lit(1)) if mono else F.col("_local")
-    out = out.withColumn(pos_col, F.col("_offset") + inside)
-    drop = [piece, "_piece_rows", "_offset", "_first_mono", "_local"] + ([mono] if mono else [])
-    return out.drop(*[c for c in drop if c in out.columns])
+    block = F.coalesce(F.floor(F.col(order_col) / F.lit(block_width)), F.lit(-(1 << 62)))
+    rows = (df if TIE in df.columns else with_tie(df)).withColumn("_block", block)
+    held = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_held")).filter(F.col("_held") > block_width)
+    held = held.select(*[F.col(c).alias(f"_h_{c}") for c in (*keys, "_block")], "_held")
+    rows = rows.join(held, same_keys(rows, held, {c: f"_h_{c}" for c in (*keys, "_block")}), "left")
+    parts = F.ceil(F.col("_held") / F.lit(block_width))
+    value = F.coalesce(F.col(order_col) - F.col("_block") * F.lit(block_width), F.lit(0))
+    spread = F.floor(F.shiftrightunsigned(F.col(TIE).bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53)) * parts)
+    spread = F.lit(0) if tiebreak else spread
+    rows = rows.withColumn("_part", F.when(F.col("_held").isNull(), F.lit(0)).otherwise(value * parts + spread).cast("long"))
+    rows = rows.drop(*held.columns)
+    piece = [*keys, "_block", "_part"]
+    inside = Window.partitionBy(*piece).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak], F.col(TIE))
+    rows = rows.withColumn("_local", F.row_number().over(inside))
+    counts = rows.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(*[F.col(c).alias(f"_p_{c}") for c in piece],
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
+    out = rows.join(ahead, same_keys(rows, ahead, {c: f"_p_{c}" for c in piece}))
+    out = out.withColumn(pos_col, F.col("_ahead") + F.col("_local"))
+    return out.drop("_block", "_part", "_local", *ahead.columns, *([TIE] if TIE not in df.columns else []))
 
 
 def with_chunks(df: DataFrame, lookback: int, pos_col: str = POS,
@@ -184,51 +178,33 @@ def chunk_window(keys: Sequence[str], pos_col: str = POS):
 
 def ordered_columns(df: DataFrame, keys: Sequence[str], order_col: str,
                     build: Callable[[WindowSpec], dict[str, Column]], lookback: int,
-                    tiebreak: Sequence[str] = (), size_col: str | None = None,
-                    hot_rows: int | None = None, chunk_rows: int | None = None,
+                    tiebreak: Sequence[str] = (), hot_rows: int | None = None, chunk_rows: int | None = None,
                     known_hot: bool | None = None) -> DataFrame:
     """Add the columns ``build(window)`` returns, computed over each group's rows in ``order_col`` order.
 
     ``build`` receives an ordered window spec and may use ``lag`` and row frames reaching ``lookback`` rows
-    back. Groups with at most ``hot_rows`` rows use ``Window.partitionBy(keys).orderBy(order)`` directly (a
-    window partition is bounded by ``hot_rows``). Larger groups are split: block positions, then windows over
-    halo chunks (:func:`with_block_positions`, :func:`with_chunks`). Both halves give identical values.
-    ``size_col`` names a column that already holds the group size; otherwise sizes come from a partial
-    aggregate, and when ``limit(1)`` of the groups over ``hot_rows`` is empty the plain window is used alone.
+    back. Ties in ``order_col`` follow ``tiebreak``, then the hash of the whole row. Groups with at most ``hot_rows`` rows use
+    ``Window.partitionBy(keys)`` directly. Larger groups are split: block positions, then windows over halo chunks
+    (:func:`with_block_positions`, :func:`with_chunks`). Both halves give identical values and keep every row.
+    Without a hot group (``known_hot`` or one small job) the plain window is used alone.
     """
     keys = list(keys)
     hot_rows = hot_group_rows(df, hot_rows)
     chunk_rows = max(chunk_rows_for(df, chunk_rows), lookback + 1)
-    order = [F.col(order_col), *[F.col(t) for t in tiebreak]]
-    sized = df
-    tmp_size = size_col is None
-    if tmp_size:
-        size_col = "_group_size"
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size_col))
-        if hot_rows > 0 and known_hot is None:
-            known_hot = has_hot_groups(sizes, size_col, hot_rows)
-        if hot_rows > 0 and not known_hot:
-            # no hot group (checked on the small size table): one plain window, one shuffle
-            return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
-        sized = df.join(sizes, keys, "inner")
-    hot = sized.filter(F.col(size_col) > hot_rows) if hot_rows > 0 else sized
-    hot = with_block_positions(hot, keys, order_col, tiebreak, count_col=None)
+    plain = Window.partitionBy(*keys).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak], F.col(TIE))
+    rows = with_tie(df)
+    if known_hot is None:
+        known_hot = group_sizes_have_hot(df, keys, hot_rows)
+    if not known_hot:
+        return rows.withColumns(build(plain)).drop(TIE)
+    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    big = big.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = same_keys(rows, big, {k: f"_hot_{k}" for k in keys})
+    hot = with_block_positions(rows.join(big, same, "left_semi"), keys, order_col, tiebreak)
     hot = drop_halo(with_chunks(hot, lookback, chunk_rows=chunk_rows).withColumns(build(chunk_window(keys))))
-    out = hot.drop(POS)
-    if hot_rows > 0:  # hot_rows <= 0: every group takes the split path
-        small = sized.filter(F.col(size_col) <= hot_rows)
-        small = small.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
-        out = small.unionByName(out)
-    return out.drop(size_col) if tmp_size else out
-
-
-def long_values(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
-    """(keys..., _col, _x) with one row per non-null value of each column."""
-    items = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in value_cols])
-    return (
-        df.select(*keys, F.inline(items))
-        .filter(F.col("_x").isNotNull())
-    )
+    if hot_rows <= 0:
+        return hot.drop(POS, TIE)
+    return rows.join(big, same, "left_anti").withColumns(build(plain)).unionByName(hot.drop(POS)).drop(TIE)
 
 
 def nearest_rank_index(n: Column, q: float) -> Column:
@@ -240,38 +216,20 @@ def q_name(q: float) -> str:
     return f"p{round(q * 100):02d}"
 
 
-def _ranked_values(long: DataFrame, keys: list[str], hot_rows: int | None,
-                   known_hot: bool | None = None) -> DataFrame:
-    """``_pos`` (rank by ``_x``) and group size for every row; hot groups go through :func:`with_positions`.
+def _wanted(n: Column, q: float, method: str) -> tuple[Column, Column, Column]:
+    """1-based places of the two values a quantile lies between, and how far it lies towards the second."""
+    if method == "nearest":
+        place = nearest_rank_index(n, q)
+        return place, place, F.lit(0.0)
+    if method == "linear":
+        h = (n - F.lit(1)).cast("double") * F.lit(float(q))
+        return F.floor(h).cast("long") + 1, F.ceil(h).cast("long") + 1, h - F.floor(h)
+    raise ValueError(f"unknown quantile method: {method}")
 
-    Group sizes come from a partial aggregate, checked on the driver through ``limit(1)`` of the hot ones.
-    Groups up to ``hot_rows`` values are ranked with one window; only when a larger group exists is the
-    range-partitioned path built, for those groups alone, so the common case costs one shuffle and no
-    checkpoint.
-    """
-    hot_rows = hot_group_rows(long, hot_rows)
-    if hot_rows <= 0:
-        return with_positions(long, keys, ["_x"], count_col=GROUP_ROWS)
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
-    hot_sizes = sizes.filter(F.col(GROUP_ROWS) > hot_rows)
-    group = Window.partitionBy(*keys)
-    if known_hot is None:
-        known_hot = has_hot_groups(sizes, GROUP_ROWS, hot_rows)
-    if not known_hot:
-        # no hot group: rank and size come from one window over bounded partitions, no join
-        return long.withColumns({POS: F.row_number().over(group.orderBy("_x")),
-                                 GROUP_ROWS: F.count(F.lit(1)).over(group)})
-    sized = long.join(sizes, keys, "inner")
-    small = sized.filter(F.col(GROUP_ROWS) <= hot_rows).withColumn(POS, F.row_number().over(group.orderBy("_x")))
-    hot = long.join(hot_sizes.select(*keys), keys, "left_semi")
-    return small.unionByName(with_positions(hot, keys, ["_x"], count_col=GROUP_ROWS))
-
-
-def _bounded_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str], qs: Sequence[float],
-                       method: str) -> DataFrame:
-    """Quantiles when every group is known to hold at most ``hot_rows`` rows: one aggregate that sorts each
-    group's values (``sort_array(collect_list)``, bounded by the group size) and picks by index. No explode,
-    no window, no join."""
+
+def _gathered_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str], qs: Sequence[float],
+                        method: str) -> DataFrame:
+    """Quantiles of groups of at most ``GATHER_ROWS`` rows: one aggregate sorts each group's values."""
     arrays = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_arr_{i}")
               for i, c in enumerate(value_cols)]
     grouped = df.groupBy(*keys).agg(*arrays) if keys else df.agg(*arrays)
@@ -280,65 +238,89 @@ def _bounded_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str]
         arr = F.col(f"_arr_{i}")
         n = F.size(arr).cast("long")
         for q in qs:
-            name = f"{c}_{q_name(q)}"
-            if method == "nearest":
-                idx = F.greatest(nearest_rank_index(n, q), F.lit(1)).cast("int")
-                finals.append(F.when(n > 0, F.try_element_at(arr, idx))
-                              .alias(name))
-            elif method == "linear":
-                h = (n - F.lit(1)).cast("double") * F.lit(float(q))
-                lo = F.floor(h).cast("long")
-                a = F.try_element_at(arr, F.greatest(lo + 1, F.lit(1)).cast("int"))
-                b = F.try_element_at(arr, F.greatest(F.ceil(h).cast("long") + 1, F.lit(1)).cast("int"))
-                finals.append(F.when(n > 0, a + (b - a) * (h - lo)).alias(name))
-            else:
-                raise ValueError(f"unknown quantile method: {method}")
+            low, high, share = _wanted(n, q, method)
+            a, b = (F.try_element_at(arr, F.greatest(x, F.lit(1)).cast("int")) for x in (low, high))
+            finals.append(F.when(n > 0, a if method == "nearest" else a + (b - a) * share).alias(f"{c}_{q_name(q)}"))
     return grouped.select(*keys, *finals)
 
 
+def _bracketed_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str], qs: Sequence[float],
+                         method: str) -> DataFrame:
+    """Exact quantiles of groups of any size.
+
+    1. Per group and column, a mergeable sketch gives values below and above each wanted rank, and the count.
+    2. One pass counts the values below each bracket and, per distinct value, those inside.
+    3. A running count over a bracket's distinct values (about 4 / ``SKETCH_ACCURACY`` of the group, or one value if
+       it is frequent) finds the ranks.
+    """
+    margin = 2.0 / SKETCH_ACCURACY
+    ends = [min(1.0, max(0.0, q + d)) for q in qs for d in (-margin, margin)]
+    aggs = []
+    for i, c in enumerate(value_cols):
+        x = F.col(c).cast("double")
+        aggs += [F.percentile_approx(x, ends, SKETCH_ACCURACY).alias(f"_ends_{i}"), F.count(x).alias(f"_n_{i}")]
+    sketch = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    sketch = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(x) for i in range(len(value_cols))
+                                                                         for x in (f"_ends_{i}", f"_n_{i}")])
+    match = same_keys(df, sketch, {k: f"_k_{k}" for k in keys})
+    # without keys the sketch is one row
+    rows = df.join(sketch, match) if keys else df.join(F.broadcast(sketch), F.lit(True))
+    places = []
+    for i, c in enumerate(value_cols):
+        x = F.col(c).cast("double")
+        for j in range(len(qs)):
+            low, high = F.get(f"_ends_{i}", F.lit(2 * j)), F.get(f"_ends_{i}", F.lit(2 * j + 1))
+            # the margin must reach past the neighbouring ranks; a group too small for that is its own bracket
+            whole = F.col(f"_n_{i}") * F.lit(margin) < 4
+            # a value below the bracket counts under the key NULL
+            places.append(F.when(x.isNotNull() & (whole | (x <= high)), F.struct(
+                F.lit(i).alias("_col"), F.lit(j).alias("_q"), F.when(whole | (x >= low), x).alias("_x"),
+                F.col(f"_n_{i}").alias("_all"))))
+    near = rows.select(*keys, F.inline(F.filter(F.array(*places), lambda p: p.isNotNull())))
+    counts = near.groupBy(*keys, "_col", "_q", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
+    upto = Window.partitionBy(*keys, "_col", "_q").orderBy(F.col("_x").asc_nulls_first())
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    hits, finals = [], []
+    for i, c in enumerate(value_cols):
+        for j, q in enumerate(qs):
+            low, high, share = _wanted(F.col("_all"), q, method)
+            own, name = (F.col("_col") == i) & (F.col("_q") == j), f"{c}_{q_name(q)}"
+            for end, place in (("lo", low), ("hi", high)):
+                inside = own & (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
+                hits.append(F.max(F.when(inside, F.col("_x"))).alias(f"_{name}_{end}"))
+            hits.append(F.max(F.when(own, share)).alias(f"_{name}_t"))
+            a, b, t = (F.col(f"_{name}_{e}") for e in ("lo", "hi", "t"))
+            finals.append((a if method == "nearest" else a + (b - a) * t).alias(name))
+    found = counts.groupBy(*keys).agg(*hits) if keys else counts.agg(*hits)
+    if not keys:
+        return found.select(*finals)
+    # groups without any value have no counts; they keep a row of NULLs
+    found = found.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *finals)
+    groups = df.select(*keys).distinct()
+    return groups.join(found, same_keys(groups, found, {k: f"_f_{k}" for k in keys}), "left").select(
+        *keys, *[f"{c}_{q_name(q)}" for c in value_cols for q in qs])
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs: Sequence[float],
-              method: str = "nearest", hot_rows: int | None = None, known_hot: bool | None = None) -> DataFrame:
+              method: str = "nearest", hot_rows: int | None = None) -> DataFrame:
     """One row per group: ``{col}_{pNN}`` = exact quantile of each column over its non-null values.
 
-    ``method="nearest"``: element ``round((n-1)q)`` (0-based) of the sorted values (Polars' nearest rank).
+    ``method="nearest"``: element ``round((n-1)q)`` (0-based) of the sorted values (nearest rank).
     ``method="linear"``: ``x[lo] + (x[hi] - x[lo]) * (h - lo)`` with ``h = (n-1)q`` (NumPy's default).
-    When no group exceeds ``hot_rows`` rows (one small size check, or ``known_hot=False`` from the caller),
-    each group's values are sorted inside one aggregate (bounded by ``hot_rows``). Otherwise all columns and
-    quantiles come from one positions pass over a long (group, column, value) table, where hot groups are
-    ranked through range partitions, so no hot group is ever gathered into one task. Groups without a
-    non-null value of a column get NULL.
+    Groups of at most ``hot_rows`` (default ``GATHER_ROWS``) rows are sorted inside one aggregate; larger ones, and
+    only those, are ranked through brackets. Groups without a non-null value of a column get NULL on either path.
     """
-    keys = list(keys)
-    hot_rows = hot_group_rows(df, hot_rows)
-    if known_hot is None:
-        known_hot = group_sizes_have_hot(df, keys, hot_rows)
-    if not known_hot:
-        return _bounded_quantiles(df, keys, value_cols, qs, method)
-    long = long_values(df, keys, value_cols)
-    ranked = _ranked_values(long, [*keys, "_col"], hot_rows)
-    n = F.col(GROUP_ROWS)
-    aggs, finals = [], []
-    for c in value_cols:
-        is_c = F.col("_col") == F.lit(c)
-        for q in qs:
-            name = f"{c}_{q_name(q)}"
-            if method == "nearest":
-                hit = is_c & (F.col(POS) == nearest_rank_index(n, q))
-                aggs.append(F.max(F.when(hit, F.col("_x"))).alias(name))
-                finals.append(F.col(name))
-            elif method == "linear":
-                h = (n - F.lit(1)).cast("double") * F.lit(float(q))
-                lo = F.floor(h).cast("long")
-                aggs.append(F.max(F.when(is_c & (F.col(POS) == lo + 1), F.col("_x"))).alias(f"_{name}_lo"))
-                aggs.append(F.max(F.when(is_c & (F.col(POS) == F.ceil(h).cast("long") + 1),
-                                         F.col("_x"))).alias(f"_{name}_hi"))
-                aggs.append(F.max(F.when(is_c, h - lo)).alias(f"_{name}_t"))
-                a, b, t = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_t")
-                finals.append((a + (b - a) * t).alias(name))
-            else:
-                raise ValueError(f"unknown quantile method: {method}")
-    agg = ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
-    return agg.select(*keys, *finals)
+    keys, qs = list(keys), list(qs)
+    hot_rows = hot_group_rows(df, hot_rows, GATHER_ROWS)
+    if not group_sizes_have_hot(df, keys, hot_rows):
+        return _gathered_quantiles(df, keys, value_cols, qs, method)
+    if not keys or hot_rows <= 0:
+        return _bracketed_quantiles(df, keys, value_cols, qs, method)
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    big = big.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = same_keys(df, big, {k: f"_hot_{k}" for k in keys})
+    return _gathered_quantiles(df.join(big, same, "left_anti"), keys, value_cols, qs, method).unionByName(
+        _bracketed_quantiles(df.join(big, same, "left_semi"), keys, value_cols, qs, method))
 
 
 def nearest_rank_quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],

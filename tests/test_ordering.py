@@ -28,7 +28,7 @@ def test_positions_with_a_hot_key(spark):
 def test_block_positions_match_row_number(spark):
     rows = [(c, i * 3 + (c % 2), float(i)) for c in range(5) for i in range(1, 5000, 7)]
     df = _frame(spark, rows)
-    got = O.with_block_positions(df, ["cell_id"], "regular_cycle_number", block_width=64, count_col=None)
+    got = O.with_block_positions(df, ["cell_id"], "regular_cycle_number", block_width=64)
     ref = df.withColumn("rn", F.row_number().over(
         Window.partitionBy("cell_id").orderBy("regular_cycle_number")))
     diff = got.join(ref, ["cell_id", "regular_cycle_number"]).filter(F.col("_pos") != F.col("rn")).count()
@@ -39,7 +39,7 @@ def test_chunked_rolling_equals_plain_window(spark):
     rng = np.random.default_rng(2)
     rows = [(c, i, None if rng.random() < 0.1 else float(rng.normal())) for c in range(3) for i in range(1, 400)]
     df = _frame(spark, rows)
-    pos = O.with_block_positions(df, ["cell_id"], "regular_cycle_number", count_col=None)
+    pos = O.with_block_positions(df, ["cell_id"], "regular_cycle_number")
     chunked = O.with_chunks(pos, 4, chunk_rows=16)   # tiny chunks: many chunk borders
     w = O.chunk_window(["cell_id"]).rowsBetween(-4, 0)
     got = O.drop_halo(chunked.withColumn("m", F.avg("x").over(w)).withColumn("l", F.lag("x").over(
@@ -70,9 +70,59 @@ def test_quantile_paths_agree(spark):
     rng = np.random.default_rng(4)
     rows = [(c, float(rng.normal())) for c in range(4) for _ in range(int(rng.integers(1, 300)))]
     rows += [(9, None)]  # a group without values
+    rows += [(None, float(v)) for v in range(50)]  # a NULL group
+    rows += [(7, 1.0)] * 900 + [(7, float(v)) for v in range(100)]  # one value fills most of a group
     df = spark.createDataFrame(rows, "cell_id long, x double")
     for method in ("nearest", "linear"):
-        a = O.quantiles(df, ["cell_id"], ["x"], [0.25, 0.95], method).orderBy("cell_id").collect()
-        b = O.quantiles(df, ["cell_id"], ["x"], [0.25, 0.95], method, hot_rows=0).orderBy("cell_id").collect()
-        a = [r for r in a if r.x_p25 is not None]
-        assert [tuple(r) for r in a] == [tuple(r) for r in b], method
+        a, b, c = ([tuple(r) for r in O.quantiles(df, ["cell_id"], ["x"], [0.25, 0.95], method, hot_rows=h)
+                    .orderBy("cell_id").collect()] for h in (1000000, 0, 100))
+        assert a == b == c, method
+
+
+def _null_rows():
+    rng = np.random.default_rng(5)
+    rows = [(c, int(n), float(rng.normal())) for c in (None, 1, 2) for n in rng.integers(1, 40, 120)]  # repeats
+    return rows + [(c, None, float(rng.normal())) for c in (None, 1, 3) for _ in range(20)]
+
+
+def test_split_paths_keep_null_keys_null_orders_and_repeats(spark):
+    df = _frame(spark, _null_rows())
+
+    def build(w):
+        return {"prev": F.lag("x").over(w), "mean": F.round(F.avg("x").over(w.rowsBetween(-3, 0)), 9)}
+
+    results = []
+    for hot in (10 ** 6, 130, 0):
+        got = O.ordered_columns(df, ["cell_id"], "regular_cycle_number", build, 3, hot_rows=hot, chunk_rows=8)
+        results.append(sorted(map(repr, got.select("cell_id", "regular_cycle_number", "x", "prev", "mean").collect())))
+        shuffled = O.ordered_columns(df.repartition(5), ["cell_id"], "regular_cycle_number", build, 3, hot_rows=hot,
+                                     chunk_rows=8)
+        assert sorted(map(repr, shuffled.select("cell_id", "regular_cycle_number", "x", "prev", "mean").collect())) == results[-1]
+    assert len(results[0]) == len(_null_rows()) and results[0] == results[1] == results[2]
+
+
+def test_a_frequent_value_is_spread_over_windows(spark):
+    df = _frame(spark, [(1, 5, float(i)) for i in range(2000)] + [(1, n, 0.0) for n in range(100)])
+    pos = O.with_block_positions(df, ["cell_id"], "regular_cycle_number", block_width=64)
+    assert sorted(r["_pos"] for r in pos.collect()) == list(range(1, 2101))
+    got = pos.orderBy("_pos").collect()
+    assert [r["regular_cycle_number"] for r in got] == sorted(r["regular_cycle_number"] for r in got)
+
+
+def test_sizes_are_not_remembered(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("1 AS k", "id AS v").write.parquet(path)
+    assert not O.group_sizes_have_hot(spark.read.parquet(path), ["k"], 500)
+    spark.range(5000).selectExpr("1 AS k", "id AS v").write.mode("append").parquet(path)
+    assert O.group_sizes_have_hot(spark.read.parquet(path), ["k"], 500)
+
+
+def test_means_do_not_depend_on_partitioning(spark):
+    from cyclelake.operators.summary import battery_metrics
+
+    rng = np.random.default_rng(6)
+    rows = [(int(c), i, round(float(rng.random()), 2)) for i, c in enumerate(rng.integers(0, 20, 2000))]
+    df = spark.createDataFrame(rows, "cell_id long, regular_cycle_number long, discharge_capacity double")
+    got = {n: battery_metrics(df.repartition(n)).select("cell_id", "capacity_mean").orderBy("cell_id").collect()
+           for n in (1, 3, 7)}
+    assert got[1] == got[3] == got[7]
