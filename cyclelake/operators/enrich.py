@@ -1,10 +1,8 @@
 """Joins of cycles to cell metadata.
 
-The cell table has one row per cell, far fewer rows than the cycle table, but its size still grows with the
-data, so it is not hinted as broadcast blindly: :func:`join_metadata` broadcasts it only when a size check
-passes (counted rows × schema row width under ``spark.sql.autoBroadcastJoinThreshold``) and otherwise leaves
-the choice to AQE, which broadcasts at run time when the shuffled side turns out small and splits hot-cell
-partitions when it does not.
+The cell table has one row per cell, far fewer rows than the cycle table, but its size still grows with the data. It
+is never hinted as broadcast: Spark broadcasts it when the size it knows (of files) or measures (of a shuffle) is
+under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise AQE splits the partitions of hot cells.
 """
 
 from __future__ import annotations
@@ -13,63 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CELL = "cell_id"
 
 
-def _broadcast_threshold(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    raw = str(raw).strip().lower()
-    mult = 1
-    for suffix, m in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
-                      ("g", 1 << 30), ("b", 1)):
-        if raw.endswith(suffix):
-            raw, mult = raw[: -len(suffix)], m
-            break
-    try:
-        return int(float(raw) * mult)
-    except ValueError:
-        return 10 << 20
-
-
-_SIZE_CHECKS: dict[tuple, int] = {}
-
-
-def _row_width(df: DataFrame) -> int:
-    """A generous bytes-per-row figure from the schema (strings counted as 32 bytes)."""
-    width = 8
-    for f in df.schema.fields:
-        t = f.dataType
-        if isinstance(t, (T.BooleanType, T.ByteType)):
-            width += 1
-        elif isinstance(t, (T.ShortType, T.IntegerType, T.FloatType, T.DateType)):
-            width += 4
-        elif isinstance(t, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
-            width += 8
-        elif isinstance(t, T.StringType):
-            width += 32
-        else:
-            width += 64
-    return width
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Rows × schema width. The row count is one ``count()`` job, remembered per application and plan."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    if key not in _SIZE_CHECKS:
-        _SIZE_CHECKS[key] = df.count()
-    return _SIZE_CHECKS[key] * _row_width(df)
-
-
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``broadcast(df)`` when its checked size is under the broadcast threshold, else ``df`` unchanged
-    (AQE may still broadcast it at run time from the measured shuffle size)."""
-    if estimated_bytes(df) <= _broadcast_threshold(df):
-        return F.broadcast(df)
-    return df
-
-
 def metadata_columns(cycles: DataFrame, cells: DataFrame) -> list[str]:
     """Cell columns the cycle table does not already have (cell_id excluded)."""
     have = set(cycles.columns)
@@ -89,16 +34,16 @@ def join_metadata(cycles: DataFrame, cells: DataFrame, columns: Sequence[str] |
     new = [c for c in new if c in cells.columns and c not in cycles.columns]
     if not new:
         return cycles
-    return cycles.join(maybe_broadcast(cells.select(CELL, *new)), CELL, "left")
+    return cycles.join(cells.select(CELL, *new), CELL, "left")
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame | Sequence[int], column: str = CELL) -> DataFrame:
     """Rows whose ``column`` is in ``ids``.
 
     A short Python list becomes an ``isin`` predicate (pushed into the parquet scan); a DataFrame of ids is
-    a left-semi join, broadcast only when its size check passes.
+    a left-semi join, whose strategy Spark picks by size.
     """
     if isinstance(ids, DataFrame):
         key = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-        return df.join(maybe_broadcast(key), column, "left_semi")
+        return df.join(key, column, "left_semi")
     return df.filter(F.col(column).isin(list(ids)))

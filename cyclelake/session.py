@@ -31,27 +31,36 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    # Local runs only: test-sized shuffles are a few MB, and the default 64 MB advisory size would let AQE
-    # coalesce them into one task. Cluster sessions keep their own (large) advisory size, which also sets how
-    # finely AQE splits skewed join partitions.
-    builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
-    builder = builder.config("spark.driver.memory", os.environ.get("CYCLELAKE_DRIVER_MEMORY", "16g"))
+    if master and is_local(master):
+        # Test-sized shuffles are a few MB, and the default 64 MB advisory size would let AQE coalesce them into
+        # one task. Cluster sessions keep their own advisory size and driver memory.
+        builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        builder = builder.config("spark.driver.memory", os.environ.get("CYCLELAKE_DRIVER_MEMORY", "16g"))
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    if is_local(spark.sparkContext.master):
+        checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local runs only) creates a
-    fresh scratch folder and records it in the session so later calls agree.
+    Uses ``spark.checkpoint.dir`` when the session names one. On a local master a fresh scratch folder is created
+    otherwise, and recorded in the session so that later calls agree; on a cluster that would put files where other
+    executors can't see them, so an unset folder is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cyclelake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
