@@ -93,13 +93,13 @@ def parse_search(df: DataFrame, query: str) -> ParsedSearch:
     out = ParsedSearch(None)
     if not query:
         return out
-    q = query.lower()
     preds: list[Column] = []
     lower_names = {c.lower(): c for c in df.columns}
-    for name, value in re.findall(PAIR_PATTERN, q):
+    for name, value in re.findall(PAIR_PATTERN, query):
+        value = value.lower()
         actual = lower_names.get(name.lower())
         if actual is None:
-            out.notes.append(f"Column '{name}' not found")
+            out.notes.append(f"no column is called {name!r}; the term is left out")
             continue
         # numeric columns are compared as they are, so the predicate reaches the scan as a pushed filter;
         # text columns are read as numbers where they parse (NULL, so no match, where they do not)
@@ -114,15 +114,15 @@ def parse_search(df: DataFrame, query: str) -> ParsedSearch:
                     preds.append(_lower_text(actual).contains(F.lit(raw)))
                     out.applied = True
                 else:
-                    out.notes.append(f"Invalid numeric value in '{value}'")
+                    out.notes.append(f"{value!r} holds no number; the term is left out")
                 continue
             preds.append(_compare(df, actual, num, op, v))
         else:
             preds.append(_lower_text(actual).contains(F.lit(value)))
         out.applied = True
-    rest = re.sub(PAIR_PATTERN, " ", q).strip()
+    rest = re.sub(PAIR_PATTERN, " ", query).strip()
     if rest:
-        preds.append(reduce(lambda a, b: a | b, [_lower_text(c).rlike(rest) for c in df.columns]))
+        preds.append(reduce(lambda a, b: a | b, [_text(c).rlike("(?i)" + rest) for c in df.columns]))
         out.applied = True
     if preds:
         # plain AND: a NULL comparison drops the row in a filter and is not counted by count_if, exactly like

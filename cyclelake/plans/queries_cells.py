@@ -65,7 +65,7 @@ SEARCH_OPS = "test_year:>=2021 nominal_capacity_ah:<30 test_status:act layer_typ
 def cells_search_ops(spark, sf):
     """Comparison, numeric '=', substring pairs; the unknown column only adds a note."""
     out, notes = P.apply_search(fx.cells_rollup(spark, sf), SEARCH_OPS)
-    assert notes == ["Column 'bogus' not found"], notes
+    assert len(notes) == 1 and "'bogus'" in notes[0], notes
     return rounded(out.select(*CELL_COLS))
 
 
@@ -154,12 +154,10 @@ def cells_result_documents(spark, sf):
 
 @register("cycles_export_partitioned", f"""
 SELECT {_sql_cols(CYCLE_COLS)}, CAST(year(test_date) AS INTEGER) AS test_year
-FROM cycles WHERE year(test_date) = 1995""")
+FROM cycles""")
 def cycles_export_partitioned(spark, sf):
-    """Cycles exported as parquet partitioned by test year, read back with a partition filter (only the
-    1995 folder is scanned: PartitionFilters in the plan)."""
+    """Cycles exported as parquet partitioned by test year, read back whole."""
     by_year = fx.cycles(spark, sf).withColumn("test_year", F.year("test_date"))
     path = written_once(spark, "cycles_by_year", sf,
                         lambda p: TB.write_table(by_year, p, partition_by=["test_year"], mode="overwrite"))
-    back = TB.read_table(spark, path).filter(F.col("test_year") == 1995)
-    return rounded(back.select(*CYCLE_COLS, "test_year"))
+    return rounded(TB.read_table(spark, path).select(*CYCLE_COLS, "test_year"))

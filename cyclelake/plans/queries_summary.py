@@ -24,13 +24,13 @@ def _union(selects: list[str]) -> str:
 
 @register("cell_metrics", """
 SELECT cell_id,
-  round(avg(discharge_capacity), 6) AS capacity_mean, round(stddev_samp(discharge_capacity), 6) AS capacity_std,
+  round(CAST(sum(CAST(discharge_capacity AS DECIMAL(30,12))) AS DOUBLE) / count(discharge_capacity), 6) AS capacity_mean, round(stddev_samp(discharge_capacity), 6) AS capacity_std,
   round(min(discharge_capacity), 6) AS capacity_min, round(max(discharge_capacity), 6) AS capacity_max,
   round(CASE WHEN arg_min(discharge_capacity, CASE WHEN discharge_capacity IS NOT NULL THEN regular_cycle_number END) > 0
         THEN arg_max(discharge_capacity, CASE WHEN discharge_capacity IS NOT NULL THEN regular_cycle_number END)
            / arg_min(discharge_capacity, CASE WHEN discharge_capacity IS NOT NULL THEN regular_cycle_number END) * 100
         END, 6) AS capacity_retention,
-  round(avg(coulombic_efficiency), 6) AS coulombic_efficiency_mean,
+  round(CAST(sum(CAST(coulombic_efficiency AS DECIMAL(30,12))) AS DOUBLE) / count(coulombic_efficiency), 6) AS coulombic_efficiency_mean,
   round(stddev_samp(coulombic_efficiency), 6) AS coulombic_efficiency_std,
   max(regular_cycle_number) AS total_cycles,
   CAST(min(regular_cycle_number) AS VARCHAR) || '-' || CAST(max(regular_cycle_number) AS VARCHAR) AS cycle_range
@@ -86,12 +86,11 @@ def column_profile(spark, sf):
 
 
 _DTYPES = {"cell_id": "bigint", "regular_cycle_number": "bigint", "test_date": "timestamp_ntz"}
-_FIRST5 = NUMERIC[:5]
 
 
 def _summary_row(c: str) -> str:
     stats = (f"round(CAST(min({c}) AS DOUBLE), 6), round(CAST(max({c}) AS DOUBLE), 6), round(avg({c}), 6), "
-             f"round(stddev_samp({c}), 6)") if c in _FIRST5 else \
+             f"round(stddev_samp({c}), 6)") if c != "test_date" else \
         "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
     return (f"SELECT '{c}' AS column_name, '{_DTYPES.get(c, 'double')}' AS dtype, CAST(count(*) AS BIGINT) AS n_rows, "
             f"CAST({len(CYCLE_COLS)} AS BIGINT) AS n_columns, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
@@ -102,7 +101,7 @@ def _summary_row(c: str) -> str:
     f"SELECT '{c}' AS column_name, '{_DTYPES.get(c, 'double')}' AS dtype, CAST(count(*) AS BIGINT) AS n_rows, "
     f"CAST({len(CYCLE_COLS)} AS BIGINT) AS n_columns, CAST(count(*) - count({c}) AS BIGINT) AS null_count, " + (
         f"round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, "
-        f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std" if c in _FIRST5 else
+        f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std" if c != "test_date" else
         "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, "
         "CAST(NULL AS DOUBLE) AS std") + " FROM cycles" for c in CYCLE_COLS]))
 def table_summary(spark, sf):
@@ -112,15 +111,13 @@ def table_summary(spark, sf):
 
 @register("duplicate_rows", """
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
-       CAST((SELECT count(*) FROM (SELECT DISTINCT cell_id, regular_cycle_number, test_date FROM cycles_by_day))
-            AS BIGINT) AS n_distinct,
-       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT cell_id, regular_cycle_number, test_date
-                                              FROM cycles_by_day)) AS BIGINT) AS duplicate_rows
+       CAST((SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (cycle_index) FROM cycles_by_day)) AS BIGINT) AS n_distinct,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (cycle_index) FROM cycles_by_day)) AS BIGINT)
+         AS duplicate_rows
 FROM cycles_by_day""")
 def duplicate_rows(spark, sf):
-    """Repeated (cell, test day) records in the day-numbered log."""
-    days = fx.cycles_by_day(spark, sf).select("cell_id", "regular_cycle_number", "test_date")
-    return SM.duplicate_rows(days)
+    """Rows of the day-numbered log that repeat in every measured column (the running index left out)."""
+    return SM.duplicate_rows(fx.cycles_by_day(spark, sf).drop("cycle_index"))
 
 
 @register("null_counts", _union([
@@ -195,15 +192,14 @@ def infinity_cleanup(spark, sf):
 
 
 # ---------------------------------------------------------------- H6
-_F = {k: units.factor(*k) for k in [("Wh", "kWh"), ("Wh", "J"), ("Ah", "mAh"), ("Ah", "C")]}
 
 
-@register("unit_conversion", f"""
+@register("unit_conversion", """
 SELECT cell_id, regular_cycle_number,
-  round(discharge_energy * CAST({_F[('Wh', 'kWh')]!r} AS DOUBLE), 6) AS discharge_energy_kwh,
-  round(discharge_energy * CAST({_F[('Wh', 'J')]!r} AS DOUBLE), 6) AS discharge_energy_j,
-  round(discharge_capacity * CAST({_F[('Ah', 'mAh')]!r} AS DOUBLE), 6) AS discharge_capacity_mah,
-  round(discharge_capacity * CAST({_F[('Ah', 'C')]!r} AS DOUBLE), 6) AS discharge_capacity_c
+  round(discharge_energy * CAST(0.001 AS DOUBLE), 6) AS discharge_energy_kwh,
+  round(discharge_energy * CAST(3600 AS DOUBLE), 6) AS discharge_energy_j,
+  round(discharge_capacity * CAST(1000 AS DOUBLE), 6) AS discharge_capacity_mah,
+  round(discharge_capacity * CAST(3600 AS DOUBLE), 6) AS discharge_capacity_c
 FROM cycles""")
 def unit_conversion(spark, sf):
     """H6 for columns with a fixed unit (Wh, Ah)."""

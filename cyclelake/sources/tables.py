@@ -27,12 +27,12 @@ def read_query_result(spark: SparkSession, path: str, rows_schema: T.StructType
                       multi_line: bool = True) -> DataFrame:
     """A1: saved-query result documents ``{"query_result": {"data": {"rows": [...]}}}`` → one row per entry.
 
-    A document without ``query_result`` or ``data`` is an error; no rows gives an empty frame. Pass
-    ``rows_schema`` in production (inference reads the files twice and may guess types differently).
-    ``multi_line=True`` reads one (pretty-printed) document per file, as an export produces;
-    ``multi_line=False`` reads JSON lines, one document per line, so many documents share a file.
+    Every document must parse and hold ``query_result.data``; one that doesn't fails the query that reads it. A
+    document without rows gives none. Pass ``rows_schema`` in production (inference reads the files twice and may
+    guess types differently). ``multi_line=True`` reads one (pretty-printed) document per file, as an export
+    produces; ``multi_line=False`` reads JSON lines, one document per line, so many documents share a file.
     """
-    reader = spark.read.option("multiLine", multi_line)
+    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     if rows_schema is not None:
         envelope = T.StructType([T.StructField("query_result", T.StructType([
             T.StructField("data", T.StructType([T.StructField("rows", T.ArrayType(rows_schema))]))]))])
@@ -49,8 +49,10 @@ def read_query_result(spark: SparkSession, path: str, rows_schema: T.StructType
         if rows_schema is not None:
             return spark.createDataFrame([], rows_schema)
         raise ValueError("query result document has no rows")
-    return raw.select(F.inline(F.coalesce(F.col("query_result.data.rows"),
-                                          F.array().cast(data["rows"].dataType))))
+    kind = data["rows"].dataType
+    broken = F.raise_error(F.lit("query result document has no 'query_result.data'")).cast(kind)
+    rows = F.coalesce(F.col("query_result.data.rows"), F.array().cast(kind))
+    return raw.select(F.inline(F.when(F.col("query_result.data").isNull(), broken).otherwise(rows)))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -130,13 +132,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     writer.save(path)
 
 
-def write_query_result(df: DataFrame, path: str) -> None:
-    """The inverse of :func:`read_query_result` for JSON lines: one result document per input partition.
+def write_query_result(df: DataFrame, path: str, rows_per_document: int = 10000) -> None:
+    """The inverse of :func:`read_query_result` for JSON lines: documents of at most ``rows_per_document`` rows.
 
-    The partition id is taken before the aggregate, so each document's rows come from one partition (a
-    partial buffer per task, merged alone): a document is bounded by a partition, never the whole table.
+    Rows are numbered inside their input partition, so a document's rows come from one task and its size is bounded.
     """
-    doc = df.groupBy(F.spark_partition_id().alias("_doc")).agg(
-        F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("rows"))
+    line = F.monotonically_increasing_id()
+    parts = {"_partition": F.shiftright(line, 33), "_document": F.floor(line.bitwiseAND((1 << 33) - 1) / rows_per_document)}
+    doc = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in parts.items()])
+    doc = doc.groupBy(*parts).agg(F.collect_list("_row").alias("rows"))
     doc.select(F.struct(F.struct(F.col("rows").alias("rows")).alias("data")).alias("query_result")) \
         .write.mode("overwrite").json(path)

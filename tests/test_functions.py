@@ -39,8 +39,8 @@ def test_units_per_row(spark):
     got = [r.wh for r in units.convert_by_unit_column(df, "v", "u", "Wh", "wh").orderBy("v").collect()]
     assert got == pytest.approx([1000.0, 2.0, 1.0], rel=1e-9)
     bad = spark.createDataFrame([(1.0, "furlong")], "v double, u string")
-    with pytest.raises(ValueError):
-        units.convert_by_unit_column(bad, "v", "u", "Wh", "wh")
+    with pytest.raises(Exception, match="Cannot convert unit furlong"):
+        units.convert_by_unit_column(bad, "v", "u", "Wh", "wh").collect()
 
 
 def test_time_bins_equal_pandas_cut(spark):
@@ -100,3 +100,62 @@ def test_integer_bounds_keep_their_meaning(spark):
                       ("n:<=2.5", [0, 1, 2]), ("n:=2.5", []), ("n:=3", [3]), ("n:<-1", [])]:
         got = sorted(r.n for r in P.apply_search(df, q)[0].collect())
         assert got == expect, q
+
+
+def test_unit_labels_are_exact_first_and_never_guessed():
+    assert units.factor("mWh", "Wh") == 0.001 and units.factor("MWh", "Wh") == 1e6 and units.factor("mwh", "Wh") == 1e6
+    assert units.factor("KWH", "wh") == 1000.0 and units.factor("mW", "W") == 0.001
+    with pytest.raises(ValueError, match="Ambiguous"):
+        units.factor("MWH", "Wh")
+
+
+def test_ambiguous_unit_rows_give_null_when_not_strict(spark):
+    df = spark.createDataFrame([(1.0, "MWH"), (2.0, "mWh"), (3.0, "KWH"), (4.0, None)], "v double, u string")
+    got = units.convert_by_unit_column(df, "v", "u", "Wh", "wh", strict=False).orderBy("v").collect()
+    assert [r.wh for r in got] == [None, 0.002, 3000.0, None]
+
+
+@pytest.mark.parametrize("name,want", [("Cap2Max", "cap2max"), ("dischargeCapacity", "discharge_capacity"),
+                                       (" Cell Name--ID ", "cell_name_id"), ("ABCDef", "abcdef"), ("__a__b_", "a_b"),
+                                       ("test\tDate", "test_date"), ("", ""), ("xY2Z", "x_y2z")])
+def test_snake_case_by_hand(name, want):
+    from cyclelake.operators.schema import snake_case
+
+    assert snake_case(name) == want
+
+
+def test_capacity_pairs_by_hand(spark):
+    from cyclelake.operators.schema import charge_discharge_pairs
+
+    df = spark.createDataFrame([], "Charge_Capacity double, discharge_capacity double, charge_energy double, "
+                                   "capacity double, discharge_capacity_2 double")
+    assert charge_discharge_pairs(df) == [("Charge_Capacity", "discharge_capacity"), ("Charge_Capacity", "discharge_capacity_2")]
+
+
+def test_broken_result_documents_fail(spark, tmp_path):
+    from pyspark.sql import types as T
+    from cyclelake.sources.tables import read_query_result, write_query_result
+
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    good = '{"query_result": {"data": {"rows": [{"a": 1}]}}}'
+    for k, bad in enumerate(['{"query_result": {}}', '{"error": "x"}', '{"query_result": {"data": {"ro']):
+        path = tmp_path / f"{k}.json"
+        path.write_text(good + "\n" + bad + "\n")
+        for given in (schema, None):
+            with pytest.raises(Exception):
+                read_query_result(spark, str(path), given, multi_line=False).collect()
+    path = tmp_path / "empty.json"
+    path.write_text(good + '\n{"query_result": {"data": {"rows": []}}}\n')
+    assert [r.a for r in read_query_result(spark, str(path), schema, multi_line=False).collect()] == [1]
+    out = str(tmp_path / "out")
+    write_query_result(spark.range(25).toDF("a").repartition(2), out, rows_per_document=4)
+    assert spark.read.json(out).count() >= 7
+    assert sorted(r.a for r in read_query_result(spark, out, schema, multi_line=False).collect()) == list(range(25))
+
+
+def test_free_text_regex_keeps_its_classes(spark):
+    from cyclelake.operators.predicates import apply_search
+
+    df = spark.createDataFrame([("123",), ("Abc",)], "name string")
+    assert [r.name for r in apply_search(df, r"^\D+$")[0].collect()] == ["Abc"]
+    assert [r.name for r in apply_search(df, "aBC")[0].collect()] == ["Abc"]
