@@ -101,10 +101,10 @@ def least_capacity(sizes, shards):
     return low
 
 
-@pytest.mark.parametrize("shards,fan", [(1, 3), (4, 1), (5, 255), (40, 7)])
-def test_shards_are_minimax(spark, shards, fan):
+@pytest.mark.parametrize("shards,fan,gather", [(1, 3, 0), (4, 1, 0), (5, 255, 100), (5, 7, 0), (40, 7, 4)])
+def test_shards_are_minimax(spark, shards, fan, gather):
     df = table(spark)
-    got = frame(sharding.assign(df, shards, fan=fan))
+    got = frame(sharding.assign(df, shards, fan=fan, gather=gather))
     groups = df.groupBy(F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).agg(
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("s")).collect()
     loads = {}
