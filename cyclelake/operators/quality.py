@@ -12,11 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import null_infinity
 from . import sequence as SEQ
 from . import schema as S
 
@@ -326,7 +328,8 @@ def validate_battery_data(df: DataFrame, strict_mode: bool = False) -> DataFrame
 # ------------------------------------------------------------------ I20, I22, I23
 def quick_check(df: DataFrame, required_cols: Sequence[str] = ("cell_id",)) -> DataFrame:
     """One row with rows, columns, duplicate rows, columns over 50 % null, all-null columns, missing
-    required columns and a status (good / issues_found / empty). Two jobs: one aggregate, one distinct count."""
+    required columns, null counts and data types in column order, and a status
+    (good / issues_found / empty). Two jobs: one aggregate, one distinct count."""
     n = F.count(F.lit(1))
     nulls = {c: F.sum(F.col(c).isNull().cast("long")) for c in df.columns}
     n_distinct = df.distinct().agg(F.count(F.lit(1))).scalar()
@@ -344,6 +347,8 @@ def quick_check(df: DataFrame, required_cols: Sequence[str] = ("cell_id",)) -> D
         over_half.alias("mostly_null_columns"),
         all_null.alias("all_null_columns"),
         F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_required"),
+        F.array(*[F.coalesce(F.col(f"__n_{i}"), F.lit(0)) for i in range(len(names))]).cast("array<bigint>").alias("null_counts"),
+        F.array(*[F.lit(df.schema[c].dataType.simpleString()) for c in names]).cast("array<string>").alias("dtypes"),
     )
     n_issues = (F.size("mostly_null_columns") + F.size("all_null_columns")
                 + F.when(F.col("duplicate_rows") > 0, 1).otherwise(0) + F.size("missing_required"))
@@ -365,61 +370,105 @@ CYCLE_DATA_BOUNDS = {
 }
 
 
+# The checks that hang on a column's name: (names, statistic, limit, is an upper limit, warning).
+NAMED_CHECKS = [
+    (("discharge_capacity", "charge_capacity", "capacity"), "min", 0.0, False, "negative capacity"),
+    (("coulombic_efficiency", "efficiency"), "max", 100.0, True, "efficiency over 100"),
+    (("coulombic_efficiency", "efficiency"), "min", 0.0, False, "negative efficiency"),
+    (("voltage", "cell_voltage"), "min", 0.0, False, "negative voltage"),
+    (("voltage", "cell_voltage"), "max", 5.0, True, "voltage over 5"),
+    (("temperature",), "min", -50.0, False, "temperature under -50"),
+    (("temperature",), "max", 100.0, True, "temperature over 100"),
+]
+MANY_OUTLIERS = 0.1
+
+
+def _outlier_counts(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
+    """(column_name, outlier_count) over finite values. IQR: one quantile table and one count for all columns."""
+    from .ordering import quantiles
+    from .outliers import IQR_FACTOR, detect_outliers
+
+    finite = df.select(*[null_infinity(F.col(c).cast("double")).alias(c) for c in columns])
+    if method == "iqr":
+        # without keys the quantile table is one row
+        rows = finite.join(F.broadcast(quantiles(finite, [], columns, [0.25, 0.75], "linear")), F.lit(True))
+        counts = []
+        for c in columns:
+            q1, q3 = F.col(f"{c}_p25"), F.col(f"{c}_p75")
+            margin = F.lit(IQR_FACTOR) * (q3 - q1)
+            counts.append(F.count_if((F.col(c) < q1 - margin) | (F.col(c) > q3 + margin)).cast("long").alias(c))
+        wide = rows.agg(*counts)
+        return wide.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("outlier_count")) for c in columns])))
+    tables = [detect_outliers(finite.select(c), c, method).agg(
+        F.lit(c).alias("column_name"), F.count_if(F.col(f"{c}_outlier")).cast("long").alias("outlier_count")) for c in columns]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _present(items: list[Column]) -> Column:
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
 def numeric_validation(df: DataFrame, columns: Sequence[str], allow_null: bool = True,
                        min_value: float | None = None, max_value: float | None = None,
-                       check_infinite: bool = True, check_outliers: bool = False,
-                       outlier_method: str = "iqr") -> DataFrame:
-    """One profile row per column (D6) with ``valid`` and the errors/warnings of the reference checks;
-    ``outlier_count`` when ``check_outliers`` and more than 3 finite values (H9-H11)."""
-    from .outliers import detect_outliers
+                       check_infinite: bool = True, check_outliers: bool = False, outlier_method: str = "iqr",
+                       bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """One row per asked column: data type, profile (D6), ``errors`` and ``warnings`` as arrays of short texts,
+    ``valid`` (no errors), and ``outlier_count`` when ``check_outliers`` and more than 3 finite values.
+
+    A missing or non-numeric column gives an invalid row with no figures. ``bounds`` sets (minimum, maximum) by
+    column and goes before ``min_value`` and ``max_value``.
+    """
     from .summary import column_profile
 
-    present = [c for c in columns if c in df.columns and S.is_numeric(df, c)]
-    prof = column_profile(df, present)
-    lo = F.lit(min_value).cast("double")
-    hi = F.lit(max_value).cast("double")
+    numeric = [c for c in columns if c in df.columns and S.is_numeric(df, c)]
+    limit = {c: (bounds or {}).get(c, (min_value, max_value)) for c in numeric}
+    name = F.col("column_name")
+    unusable = df.sparkSession.createDataFrame(
+        [(c, df.schema[c].dataType.simpleString() if c in df.columns else None,
+          ["not numeric" if c in df.columns else "missing"]) for c in columns if c not in numeric],
+        "column_name string, data_type string, errors array<string>")
+    unusable = unusable.withColumns({"warnings": F.array().cast("array<string>"), "valid": F.lit(False)})
+    if not numeric:
+        return unusable
     finite = F.col("total_count") - F.col("null_count") - F.col("inf_count")
-    errors = F.filter(F.array(
-        F.when(F.lit(not allow_null) & (F.col("null_count") > 0), F.format_string("%d null values", "null_count")),
-        F.when(F.lit(check_infinite) & (F.col("inf_count") > 0), F.format_string("%d infinite values", "inf_count")),
-        F.when(lo.isNotNull() & (F.col("min") < lo), F.format_string("values below minimum (min: %s)", "min")),
-        F.when(hi.isNotNull() & (F.col("max") > hi), F.format_string("values above maximum (max: %s)", "max")),
-    ), lambda x: x.isNotNull())
-    warnings = F.filter(F.array(
-        F.when(F.lit(allow_null) & (F.col("null_count") > 0), F.format_string("%d null values", "null_count")),
-        F.when(finite == 0, F.lit("no finite values")),
-    ), lambda x: x.isNotNull())
-    out = prof.withColumns({"errors": errors, "warnings": warnings, "valid": F.size(errors) == 0})
-    if check_outliers and present:
-        counts = []
-        for c in present:
-            flagged = detect_outliers(df.select(c).filter(~F.col(c).cast("double").isin(float("inf"), float("-inf"))),
-                                      c, outlier_method)
-            counts.append(flagged.agg(F.lit(c).alias("column_name"),
-                                      F.count_if(F.col(f"{c}_outlier")).cast("long").alias("outlier_count")))
-        table = counts[0]
-        for t in counts[1:]:
-            table = table.unionByName(t)
-        out = out.join(table, "column_name", "left").withColumn(
+
+    def broken(side: int) -> Column:
+        stat = F.col("max" if side else "min")
+        tests = [(stat > v[side]) if side else (stat < v[side]) for v in limit.values() if v[side] is not None]
+        which = [c for c, v in limit.items() if v[side] is not None]
+        return reduce(lambda a, b: a | b, [(name == c) & t for c, t in zip(which, tests)], F.lit(False))
+
+    out = column_profile(df, numeric)
+    types = F.create_map(*[F.lit(x) for c in numeric for x in (c, df.schema[c].dataType.simpleString())])
+    nulls = F.col("null_count") > 0
+    errors = [F.when(F.lit(not allow_null) & nulls, F.lit("null values")),
+              F.when(F.lit(check_infinite) & (F.col("inf_count") > 0), F.lit("infinite values")),
+              F.when(broken(0), F.lit("below minimum")), F.when(broken(1), F.lit("above maximum"))]
+    warnings = [F.when(F.lit(allow_null) & nulls, F.lit("null values")),
+                F.when(F.col("total_count") == F.col("null_count"), F.lit("no values")).when(
+                    finite == 0, F.lit("no finite values"))]
+    warnings += [F.when(F.lower(name).isin(list(names)) & ((F.col(stat) > v) if upper else (F.col(stat) < v)), F.lit(text))
+                 for names, stat, v, upper, text in NAMED_CHECKS]
+    if check_outliers:
+        out = out.join(_outlier_counts(df, numeric, outlier_method), "column_name", "left").withColumn(
             "outlier_count", F.when(finite > 3, F.col("outlier_count")))
-    return out
+        share = F.col("outlier_count") / finite
+        warnings.append(F.when(share > MANY_OUTLIERS, F.lit("many outliers")).when(share > 0, F.lit("outliers")))
+    out = out.withColumns({"data_type": F.element_at(types, name), "errors": _present(errors), "warnings": _present(warnings)})
+    return out.withColumn("valid", F.size("errors") == 0).unionByName(unusable, allowMissingColumns=True)
 
 
 def cycle_data_validation(df: DataFrame, check_outliers: bool = True) -> DataFrame:
-    """The known columns with their bounds (one row each, IQR outlier counts as in the reference) plus
-    the mean charge/discharge ratio (D14)."""
-    from .summary import charge_discharge_ratio
-
-    parts = []
-    for c, (lo, hi) in CYCLE_DATA_BOUNDS.items():
-        if c in df.columns:
-            parts.append(numeric_validation(df, [c], min_value=lo, max_value=hi, check_outliers=check_outliers))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column_name string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """The known columns with their bounds (IQR outlier counts as in the reference), one row each, in one pass;
+    ``all_valid`` over all of them, the mean charge/discharge ratio (D14) and whether it is low."""
+    from .summary import LOW_CHARGE_DISCHARGE_RATIO, charge_discharge_ratio
+
+    known = [c for c in CYCLE_DATA_BOUNDS if c in df.columns]
+    out = numeric_validation(df, known, bounds=CYCLE_DATA_BOUNDS, check_outliers=check_outliers)
+    out = out.withColumn("all_valid", F.min("valid").over(Window.partitionBy()))  # one row per known column
+    ratio = F.lit(None).cast("double")
     if {"charge_capacity", "discharge_capacity"} <= set(df.columns):
-        ratio = charge_discharge_ratio(df)
-        out = out.withColumn("charge_discharge_ratio", ratio.select("charge_discharge_ratio").scalar())
-    return out
+        ratio = charge_discharge_ratio(df).select("charge_discharge_ratio").scalar()
+    return out.withColumn("charge_discharge_ratio", ratio).withColumn(
+        "low_ratio", F.coalesce(F.col("charge_discharge_ratio") < LOW_CHARGE_DISCHARGE_RATIO, F.lit(False)))

@@ -169,6 +169,9 @@ def _list_sql(conds):
     return "flatten([" + ", ".join(items) + "])"
 
 
+_TYPES = {"cell_id": "bigint", "regular_cycle_number": "bigint", "test_date": "timestamp_ntz"}
+
+
 @register("quick_check", f"""
 , s AS (SELECT count(*) AS rows, {', '.join(f'count(*) - count({c}) AS n_{c}' for c in CYCLE_COLS)},
         (SELECT count(*) FROM (SELECT DISTINCT * FROM cycles)) AS n_distinct FROM cycles)
@@ -177,6 +180,8 @@ SELECT CAST(rows AS BIGINT) AS rows, CAST({len(CYCLE_COLS)} AS BIGINT) AS column
   {_list_sql([f"CASE WHEN n_{c} * 2 > rows THEN '{c}' END" for c in CYCLE_COLS])} AS mostly_null_columns,
   {_list_sql([f"CASE WHEN n_{c} = rows THEN '{c}' END" for c in CYCLE_COLS])} AS all_null_columns,
   CAST([] AS VARCHAR[]) AS missing_required,
+  [{', '.join(f'CAST(n_{c} AS BIGINT)' for c in CYCLE_COLS)}] AS null_counts,
+  [{', '.join(f"'{_TYPES.get(c, 'double')}'" for c in CYCLE_COLS)}] AS dtypes,
   CASE WHEN rows = 0 THEN 'empty'
        WHEN len({_list_sql([f"CASE WHEN n_{c} * 2 > rows THEN '{c}' END" for c in CYCLE_COLS])}) = 0
         AND rows = n_distinct THEN 'good' ELSE 'issues_found' END AS status
@@ -186,44 +191,65 @@ def quick_check(spark, sf):
     return Q.quick_check(fx.cycles(spark, sf))
 
 
-_NV_COLS = ["discharge_capacity", "charge_capacity", "voltage", "temperature"]
+_NV_COLS = ["discharge_capacity", "charge_capacity", "voltage", "temperature", "test_date", "cycle_time"]
+_NV_OUT = ["column_name", "data_type", "total_count", "null_count", "inf_count", "min", "max", "mean", "std", "valid",
+           "outlier_count", "errors", "warnings"]
 
 
-def _nv_sql(col, lo, hi, outliers=True):
+def _nv_sql(col, lo, hi):
+    """One validated column: profile, bounds, IQR outliers, and the warnings that hang on its name."""
     c = f"CAST({col} AS DOUBLE)"
     fin = f"CASE WHEN NOT isinf({c}) THEN {c} END"
-    base = (f"SELECT '{col}' AS column_name, CAST(count(*) AS BIGINT) AS total_count, "
-            f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
-            f"CAST(count(*) FILTER (WHERE isinf({c})) AS BIGINT) AS inf_count, "
-            f"round(min({fin}), 6) AS min, round(max({fin}), 6) AS max, round(avg({fin}), 6) AS mean, "
-            f"round(stddev_pop({fin}), 6) AS std, "
-            f"NOT (min({fin}) < {lo} OR max({fin}) > {hi}) AS valid")
-    if outliers:
-        base += (f", CASE WHEN count({fin}) > 3 THEN (SELECT CAST(count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) "
-                 f"OR {c} > q3 + 1.5 * (q3 - q1)) AS BIGINT) FROM cycles, (SELECT quantile_cont({c}, 0.25) AS q1, "
-                 f"quantile_cont({c}, 0.75) AS q3 FROM cycles)) END AS outlier_count")
-    return base + " FROM cycles"
-
-
-@register("numeric_validation", "\n" + "\nUNION ALL ".join(_nv_sql(c, 0.0, 100.0) for c in _NV_COLS))
+    named = {"discharge_capacity": ["CASE WHEN mi < 0 THEN 'negative capacity' END"],
+             "coulombic_efficiency": ["CASE WHEN ma > 100 THEN 'efficiency over 100' END",
+                                      "CASE WHEN mi < 0 THEN 'negative efficiency' END"],
+             "voltage": ["CASE WHEN mi < 0 THEN 'negative voltage' END", "CASE WHEN ma > 5 THEN 'voltage over 5' END"],
+             "temperature": ["CASE WHEN mi < -50 THEN 'temperature under -50' END",
+                             "CASE WHEN ma > 100 THEN 'temperature over 100' END"]}
+    named["charge_capacity"] = named["discharge_capacity"]
+    errors = _list_sql(["CASE WHEN inf > 0 THEN 'infinite values' END", f"CASE WHEN mi < {lo} THEN 'below minimum' END",
+                        f"CASE WHEN ma > {hi} THEN 'above maximum' END"])
+    warnings = _list_sql(["CASE WHEN nulls > 0 THEN 'null values' END", "CASE WHEN n = nulls THEN 'no values' END",
+                          "CASE WHEN f = 0 AND n <> nulls THEN 'no finite values' END", *named.get(col, []),
+                          "CASE WHEN o > 0.1 * f THEN 'many outliers' END",
+                          "CASE WHEN o > 0 AND o <= 0.1 * f THEN 'outliers' END"])
+    return f"""SELECT '{col}' AS column_name, '{_TYPES.get(col, 'double')}' AS data_type, CAST(n AS BIGINT) AS total_count,
+  CAST(nulls AS BIGINT) AS null_count, CAST(inf AS BIGINT) AS inf_count, round(mi, 6) AS min, round(ma, 6) AS max,
+  round(me, 6) AS mean, round(sd, 6) AS std, len({errors}) = 0 AS valid, CAST(CASE WHEN f > 3 THEN o END AS BIGINT) AS outlier_count,
+  {errors} AS errors, {warnings} AS warnings
+FROM (SELECT count(*) AS n, count(*) - count({c}) AS nulls, count(*) FILTER (WHERE isinf({c})) AS inf, count({fin}) AS f,
+  min({fin}) AS mi, max({fin}) AS ma, avg({fin}) AS me, stddev_pop({fin}) AS sd,
+  (SELECT count(*) FILTER (WHERE {fin} < q1 - 1.5 * (q3 - q1) OR {fin} > q3 + 1.5 * (q3 - q1)) FROM cycles,
+    (SELECT quantile_cont({fin}, 0.25) AS q1, quantile_cont({fin}, 0.75) AS q3 FROM cycles)) AS o FROM cycles)"""
+
+
+def _unusable_sql(col, data_type, error):
+    none = "CAST(NULL AS BIGINT)"
+    return (f"SELECT '{col}', {data_type}, {none}, {none}, {none}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
+            f"CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), false, {none}, ['{error}'], CAST([] AS VARCHAR[])")
+
+
+@register("numeric_validation", "\n" + "\nUNION ALL ".join(
+    [_nv_sql(c, 0.0, 100.0) for c in _NV_COLS[:4]] + [_unusable_sql("test_date", "'timestamp_ntz'", "not numeric"),
+                                                      _unusable_sql("cycle_time", "CAST(NULL AS VARCHAR)", "missing")]))
 def numeric_validation(spark, sf):
-    """I22 with bounds 0..100 and IQR outlier counts."""
+    """I22 with bounds 0..100 and IQR outlier counts, over numeric, non-numeric and missing columns."""
     out = Q.numeric_validation(fx.cycles(spark, sf), _NV_COLS, min_value=0.0, max_value=100.0,
                                check_outliers=True)
-    return rounded(out.select("column_name", "total_count", "null_count", "inf_count", "min", "max", "mean", "std",
-                              "valid", "outlier_count"))
+    return rounded(out.select(*_NV_OUT))
 
 
 _CDV = [(c, lo, hi) for c, (lo, hi) in Q.CYCLE_DATA_BOUNDS.items() if c in CYCLE_COLS]
 
 
-@register("cycle_data_validation", "\n" + "\nUNION ALL ".join(
-    _nv_sql(c, float(lo), float(hi)) for c, lo, hi in _CDV))
+@register("cycle_data_validation", "\n, v AS (" + "\nUNION ALL ".join(_nv_sql(c, float(lo), float(hi)) for c, lo, hi in _CDV) + """)
+, r AS (SELECT avg(charge_capacity / CASE WHEN discharge_capacity <> 0 THEN discharge_capacity END) AS ratio FROM cycles)
+SELECT v.*, (SELECT bool_and(valid) FROM v) AS all_valid, round(ratio, 6) AS charge_discharge_ratio,
+  coalesce(ratio < 0.95, false) AS low_ratio FROM v, r""")
 def cycle_data_validation(spark, sf):
-    """The known cycle columns with their fixed bounds."""
+    """The known cycle columns with their fixed bounds, overall validity and the charge/discharge ratio."""
     out = Q.cycle_data_validation(fx.cycles(spark, sf))
-    return rounded(out.select("column_name", "total_count", "null_count", "inf_count", "min", "max", "mean", "std",
-                              "valid", "outlier_count"))
+    return rounded(out.select(*_NV_OUT, "all_valid", "charge_discharge_ratio", "low_ratio"))
 
 
 _PATTERNS = [("cell_name", "^[a-z]+ [a-z]+$"), ("design_name", "^Brand#[0-9]+$"), ("notes", "x")]

@@ -183,3 +183,23 @@ def test_rule_details_text(spark):
     pat = {r.rule_name: r.details for r in Q.validate(df.withColumn("s", F.lit("ab")),
                                                        [Q.pattern_check("s", "^a")]).collect()}
     assert pat["pattern:s"] == "Pattern matches: 3/3"
+
+
+def test_numeric_validation_reports_every_column(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, inf, None, "x"), (-2.0, 1.0, None, "y"), (6.0, 2.0, None, "z")],
+                               "voltage double, efficiency double, energy double, name string")
+    got = {r.column_name: r for r in Q.numeric_validation(df, ["voltage", "efficiency", "energy", "name", "gone"], min_value=0,
+                                                          check_outliers=True).collect()}
+    assert got["voltage"].errors == ["below minimum"] and not got["voltage"].valid
+    assert got["voltage"].warnings == ["negative voltage", "voltage over 5"]
+    assert got["efficiency"].errors == ["infinite values"] and got["efficiency"].max == 2.0
+    assert got["energy"].warnings == ["null values", "no values"] and got["energy"].valid
+    assert got["name"].errors == ["not numeric"] and got["name"].data_type == "string"
+    assert got["gone"].errors == ["missing"] and got["gone"].data_type is None and not got["gone"].valid
+
+
+def test_low_charge_ratio_is_reported(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (1.0, 0.8)], "discharge_capacity double, charge_capacity double")
+    rows = Q.cycle_data_validation(df).collect()
+    assert len(rows) == 2 and all(r.low_ratio and r.all_valid and abs(r.charge_discharge_ratio - 0.65) < 1e-12 for r in rows)
