@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,3 +171,12 @@ def filter_choice_values(df: DataFrame, columns=FILTER_COLUMNS) -> DataFrame:
     values = df.select(F.inline(items)).filter(F.col("choice").isNotNull()).distinct()
     empty = df.sparkSession.createDataFrame([(c, "") for c in present], "column_name string, choice string")
     return values.unionByName(empty).distinct()
+
+
+def sorted_choices(df: DataFrame, columns=FILTER_COLUMNS) -> DataFrame:
+    """``(column_name, place, choice)``, each column's choices in text order from 1.
+
+    The window runs over distinct values of one column, which a choice list shows whole.
+    """
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy("choice"))
+    return filter_choice_values(df, columns).select("column_name", place.alias("place"), "choice")

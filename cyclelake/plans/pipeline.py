@@ -1,23 +1,28 @@
-"""Composed pipelines (J1-J5, E20) as single lazy plans.
+"""Composed pipelines (J1-J5, E20) as single plans.
 
 ``process_cycle_data`` is the feature pipeline: clean (B12) → minimum history (B14) → cycle features,
 normalisations, degradation, outliers, rolling statistics (E1-E19) → metadata join (C1) → ±inf cleanup (H2).
-Nothing is collected; ``load_and_process`` returns DataFrames plus a rule-result DataFrame and its report,
-which share the feature table through one ``persist`` (recomputed from lineage if an executor is lost).
+Building a plan runs small size checks (is any cell over the hot-group threshold), which bring back one row at most.
+``load_and_process`` returns the frames, the rule results, their report and the counts; they share one written feature
+table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.columns import clean_infinities
 from ..operators import features as FT
 from ..operators import quality as Q
 from ..operators.enrich import join_metadata, semi_join_ids
+from ..operators.predicates import filter_equals
+from ..session import materialise
 from ..sources.tables import clean_cycles, scan_cells
 
 
@@ -71,18 +76,24 @@ def process_cycle_data(cycles: DataFrame, cells: DataFrame | None = None, config
 
 
 def load_and_process(cells: DataFrame, cycles: DataFrame, cell_ids: DataFrame | Sequence[int] | None = None,
-                     config: ProcessingConfig | None = None, validate: bool = True) -> dict:
-    """Cells → cycles of the chosen cells → features → rules → report, all lazy."""
-    chosen_cells = scan_cells(cells)
+                     filters: dict | None = None, config: ProcessingConfig | None = None, validate: bool = True) -> dict:
+    """Cells (by ids and equality filters) → their cycles → features → rules → report, and ``counts``: rows and
+    columns of each frame. The features are written once, as the rules, the report and the caller all read them; the
+    files stay in the checkpoint folder until that is cleaned.
+    """
+    chosen_cells = filter_equals(scan_cells(cells), filters or {})
     if cell_ids is not None:
         chosen_cells = semi_join_ids(chosen_cells, cell_ids)
     chosen_cycles = semi_join_ids(clean_cycles(cycles), chosen_cells.select("cell_id"))
-    features = process_cycle_data(chosen_cycles, chosen_cells, config).persist(StorageLevel.MEMORY_AND_DISK)
+    built = process_cycle_data(chosen_cycles, chosen_cells, config)
+    features = materialise(cells.sparkSession, "features", uuid.uuid4().hex, lambda: built)
     out = {"cells": chosen_cells, "cycles": features}
     if validate:
-        rules = Q.validate_battery_data(features)
-        out["validation"] = rules
-        out["report"] = Q.report(rules)
+        out["rules"] = Q.validate_battery_data(features)
+        out["report"] = Q.report(out["rules"])
+    tables = [out[name].agg(F.lit(name).alias("frame"), F.count(F.lit(1)).alias("rows"),
+                            F.lit(len(out[name].columns)).alias("columns")) for name in ("cells", "cycles", "rules") if name in out]
+    out["counts"] = reduce(DataFrame.unionByName, tables)
     return out
 
 
