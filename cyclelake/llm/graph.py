@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     while maps:
         later = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
         joined = maps.pop().join(later, "to", "left")
-        roots = stored(joined.select("node", F.coalesce("root", "to").alias("to")), "roots")
+        roots = joined.select("node", F.coalesce("root", "to").alias("to"))
+    roots = stored(roots, "roots")
     least = stored(roots.groupBy("to").agg(F.min("node").alias("component")), "least")
     return stored(roots.join(least, "to").select("node", "component"), "components")
 

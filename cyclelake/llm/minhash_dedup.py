@@ -8,8 +8,8 @@
    the matches so far and a uniform prior, is Beta(matches + 1, misses + 1); a pair is pruned as soon as the chance of
    reaching the limit falls below ``MISS``. Survivors are confirmed on their full sets.
 4. Links join classes to components. Each class is first tried with the bucket mate it shares most bands with, then
-   components with one pair for each two that meet; last, every remaining candidate pair of different components is
-   compared, in blocks of bounded size. Pairs inside one component need no comparison, so a large group of near
+   each component with one that it often meets; last, every remaining candidate pair of different components is
+   compared, in blocks of bounded size that return spanning links only. Pairs inside one component need no comparison, so a large group of near
    copies costs about its size, not its square, and no candidate that could still join two components is left out.
 
 Defined results: A-Z are lower-cased, words are runs of other than ASCII white space; fewer than five words form one
@@ -37,7 +37,7 @@ from .graph import components, pair_blocks, whole_groups
 WORDS, LIMIT = 5, 0.75
 BANDS, ROWS, BATCH, MISS = 30, 4, 20, 1e-5
 HASHES = BANDS * ROWS
-BLOCK, ROUNDS, SEED = 256, 2, 23
+BLOCK, ROUNDS, SEED = 256, 1, 23
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -131,6 +131,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
+def _linked(x: bytes, y: bytes) -> bool:
+    """Whether two whole sets reach the limit."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         sets = shingles(part.column(1))
@@ -147,7 +156,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS).astype(np.uint64)
             keys = _mix((rows * _BAND).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             node = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.reshape(-1).view(np.int64))], ["node", "key"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.reshape(-1).view(np.int64)), pa.array(band)],
+                                             ["node", "key", "band"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,50 +177,69 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, set of a, set of b): the pairs at or above the limit."""
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
-            good.append(100 * both >= 75 * (len(x) + len(y) - both))
-        keep = pa.array(good, pa.bool_())
+        keep = pa.array([_linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surviving pairs of different components, from block pairs."""
+def _likely_pairs(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of different components that survive, from block pairs; each pair in the first band it shares."""
+    node, group, band = (table.column(c).to_numpy() for c in ("node", "component", "band"))
+    side, same, main = (table.column(c).to_numpy() for c in ("_side", "_same", "main"))
+    signs = _matrix(table.column("signs"))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def tested() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if held:
+            x, y = (np.concatenate(v) for v in zip(*held))
+            alive = survivors(signs[x], signs[y])
+            x, y = x[alive], y[alive]
+            shared = (signs[x] == signs[y]).reshape(-1, BANDS, ROWS).all(axis=2)
+            first = shared.argmax(axis=1) == band[x]
+            x, y, likeness = x[first], y[first], (signs[x[first]] == signs[y[first]]).sum(axis=1)
+            order = np.argsort(-likeness, kind="stable")
+            yield x[order], y[order]
+        held.clear()
+
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist()):
+        x, y = (np.array([a]), np.array([a + 1])) if b - a == 2 else (v + a for v in np.triu_indices(b - a, 1))
+        good = (group[x] != group[y]) & ~(main[x] & main[y]) & (same[x] & same[y] | (side[x] != side[y]))
+        if good.any():
+            held.append((x[good], y[good]))
+        if sum(len(v) for v, _ in held) > 100_000:
+            yield from tested()
+    yield from tested()
+
+
+def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (block pair, node) of block pairs that have a surviving partner."""
+    for table, starts in whole_groups(batches, "_pair"):
+        rows = [v for pair in _likely_pairs(table, starts) for v in pair]
+        rows = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+        yield table.select(["_pair", "node"]).take(pa.array(rows)).combine_chunks().to_batches()[0] if len(rows) else \
+            pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["_pair", "node"])
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links, confirmed on the full sets, that join components: a spanning forest, likeliest pairs first."""
     for table, starts in whole_groups(batches, "_pair"):
-        node, group = table.column("node").to_numpy(), table.column("component").to_numpy()
-        side, same, main = (table.column(c).to_numpy() for c in ("_side", "_same", "main"))
-        signs = _matrix(table.column("signs"))
-        found: list[np.ndarray] = []
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-
-        def flush() -> None:
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                alive = survivors(signs[x], signs[y])
-                pairs = np.stack([np.minimum(node[x], node[y])[alive], np.maximum(node[x], node[y])[alive]], axis=1)
-                found.append(np.unique(pairs, axis=0))
-            left.clear()
-            right.clear()
-
-        held = 0
-        for a, b in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist()):
-            if b - a == 2:
-                x, y = np.array([a]), np.array([a + 1])
-            else:
-                x, y = (v + a for v in np.triu_indices(b - a, 1))
-            good = (group[x] != group[y]) & ~(main[x] & main[y]) & (same[x] & same[y] | (side[x] != side[y]))
-            left.append(x[good])
-            right.append(y[good])
-            held += int(good.sum())
-            if held > 100_000:
-                flush()
-                held = 0
-        flush()
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        node, group = table.column("node").to_numpy(), table.column("component").to_pylist()
+        items = table.column("items").to_pylist()
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        out = []
+        for x, y in _likely_pairs(table, starts):
+            for i, j in zip(x.tolist(), y.tolist()):
+                one, two = root(group[i]), root(group[j])
+                if one != two and _linked(items[i], items[j]):
+                    parent[max(one, two)] = min(one, two)
+                    out.append((int(node[i]), int(node[j])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
+                                         [pa.array([], pa.int64())] * 2, ["a", "b"])
 
 
 class _Candidates:
@@ -217,7 +247,7 @@ class _Candidates:
 
     def __init__(self, classes: DataFrame, texts: DataFrame):
         self.classes, self.texts = classes.select("node", "signs"), texts
-        rows = classes.select("node", "signs").mapInArrow(_bands, "node long, key long")
+        rows = classes.select("node", "signs").mapInArrow(_bands, "node long, key long, band int")
         bands = stored(rows, "minhash-bands")
         crowd = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
         full = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(crowd)["n"].alias("center"))
@@ -233,13 +263,11 @@ class _Candidates:
         two = values.select(F.col("node").alias("b"), F.col(column).alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
-    def links(self, pairs: DataFrame, pruned: bool = False) -> DataFrame:
+    def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links: sequential test of the signatures, then the full sets."""
-        pairs = pairs.select("a", "b")
-        if not pruned:
-            pairs = self._beside(stored(pairs, "minhash-tried"), self.classes, "signs").mapInArrow(_likely, "a long, b long")
-        pairs = stored(pairs, "minhash-likely")
-        return stored(self._beside(pairs, self.sets, "items").mapInArrow(_confirmed, "a long, b long"), "minhash-links")
+        signed = self._beside(stored(pairs.select("a", "b"), "minhash-tried"), self.classes, "signs")
+        likely = stored(signed.mapInArrow(_likely, "a long, b long"), "minhash-likely")
+        return stored(self._beside(likely, self.sets, "items").mapInArrow(_confirmed, "a long, b long"), "minhash-links")
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """Bucket members with their component so far."""
@@ -253,7 +281,7 @@ class _Candidates:
         return best.select(F.least("node", "m.center").alias("a"), F.greatest("node", "m.center").alias("b")).distinct()
 
     def between(self, labelled: DataFrame, turn: int) -> DataFrame:
-        """One pair for each two components that meet in a bucket, through a drawn center of the bucket."""
+        """One pair for each component: with the component that most of its rows meet as a bucket's drawn center."""
         draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("n"), F.col("component").alias("c"))
         centers = labelled.groupBy("key").agg(F.min(draw).alias("m"), F.min("component").alias("x"),
                                               F.max("component").alias("y")).where("x <> y")
@@ -261,17 +289,22 @@ class _Candidates:
                          "minhash-centers")
         met = labelled.join(centers, "key").where("component <> center_group")
         pair = F.struct(F.xxhash64("node", "center_node", F.lit(turn)).alias("h"), "node", F.col("center_node").alias("o"))
-        chosen = met.groupBy("component", "center_group").agg(F.min(pair).alias("p"))
-        return chosen.select(F.least("p.node", "p.o").alias("a"), F.greatest("p.node", "p.o").alias("b")).distinct()
+        shared = met.groupBy("component", "center_group").agg(F.count(F.lit(1)).alias("n"), F.min(pair).alias("p"))
+        chosen = shared.groupBy("component").agg(F.max(F.struct("n", "p")).alias("m"))
+        return chosen.select(F.least("m.p.node", "m.p.o").alias("a"), F.greatest("m.p.node", "m.p.o").alias("b")).distinct()
 
     def remaining(self, labelled: DataFrame) -> DataFrame:
-        """Every surviving pair of different components that share a bucket."""
+        """Links that join components, out of every candidate pair of different components.
+
+        Blocks are first compared by signatures alone; full sets are then sent to the block pairs for those rows only
+        that have a likely partner there. Pairs are compared inside the blocks and never become rows.
+        """
         counts = stored(labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "minhash-counts")
         size = F.struct("n", F.xxhash64("component").alias("h"), "component")
         keys = counts.groupBy("key").agg(F.max(size).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
         keys = stored(keys.where("k > 1").select("key", F.col("m.component").alias("largest"), F.col("m.n").alias("big"),
                                                  (F.col("all") - F.col("m.n")).alias("small")), "minhash-mixed")
-        met = stored(labelled.select("key", "node", "component").join(keys, "key"), "minhash-met")
+        met = stored(labelled.select("key", "band", "node", "component").join(keys, "key"), "minhash-met")
         # a bucket's largest component is only compared with the others, never with itself
         salt = F.xxhash64("node", F.lit("block"))
         met = met.withColumn("main", F.col("component") == F.col("largest"))
@@ -284,11 +317,16 @@ class _Candidates:
         j = F.when(F.col("main"), F.col("_own")).otherwise(F.col("_j"))
         across = across.withColumns({"_pair": F.xxhash64("key", F.lit("main"), i, j), "_side": F.col("main").cast("int"),
                                      "_same": F.lit(False)})
-        columns = ["_pair", "_side", "_same", "main", "node", "component"]
+        columns = ["_pair", "_side", "_same", "main", "band", "node", "component"]
         sent = stored(rest.where("small > 1").select(*columns).union(across.select(*columns)), "minhash-blocks")
-        signed = sent.join(self.classes, "node").select(*columns, "signs")
-        return (signed.repartition("_pair").sortWithinPartitions("_pair").mapInArrow(_crossed, "a long, b long")
-                .distinct())
+
+        def by_pair(rows: DataFrame, more: list[str]) -> DataFrame:
+            signed = rows.join(self.classes, "node").select(*columns, "signs", *more)
+            return signed.repartition("_pair").sortWithinPartitions("_pair")
+
+        likely = stored(by_pair(sent, []).mapInArrow(_likely_rows, "_pair long, node long"), "minhash-likely")
+        left = stored(sent.join(likely, ["_pair", "node"], "left_semi"), "minhash-left").join(self.sets, "node")
+        return stored(by_pair(left, ["items"]).mapInArrow(_joining, "a long, b long"), "minhash-links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +345,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stored(same.union(steps.links(steps.best_mates())), "minhash-links")
     for turn in range(ROUNDS):
         links = links.union(steps.links(steps.between(steps.labelled(links), turn)))
-    links = links.union(steps.links(steps.remaining(steps.labelled(links)), pruned=True))
+    links = links.union(steps.remaining(steps.labelled(links)))
     found = components(links).select(F.col("node").alias("rep"), "component")
     known = stored(first.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")),
                    "minhash-known")
