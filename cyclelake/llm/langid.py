@@ -205,7 +205,7 @@ def spark_model(df: DataFrame, model: Model | None):
 
 def _predictor(model, names: list[str], mode: str | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=4 << 20):
+        for part in text_slices(batches, limit=1 << 20):
             known = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
             lang, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
             if model.value is not None and known.any():
