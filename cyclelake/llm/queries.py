@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding, tokencount, tokenfile
+from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, oracle, packing, quality, sharding, tokencount, tokenfile
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), "word", end_id=2)
 
 
-@register("op2_embedding_near_dedup")
+@register("op2_embedding_near_dedup", oracle.EMBEDDINGS)
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.98."""
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -60,7 +60,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
-@register("op5_minhash_near_dedup")
+@register("op5_minhash_near_dedup", oracle.DOCUMENTS)
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at a shingle similarity of 0.75."""
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
@@ -81,7 +81,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["due"].alias("first_due"))
 
 
-@register("op8_quality_rules")
+@register("op8_quality_rules", oracle.QUALITY)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of every document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
