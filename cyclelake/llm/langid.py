@@ -39,9 +39,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))
     padded = pc.binary_join_element_wise("", low, "", " ")  # a space before and after each text
     sizes = pc.binary_length(padded).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(padded.buffers()[2], np.uint8)[padded.offset and 0:]
     first = np.frombuffer(padded.buffers()[1], np.int32)[padded.offset]
-    data = data[first:first + sizes.sum()].copy()
+    data = np.frombuffer(padded.buffers()[2], np.uint8)[first:first + sizes.sum()].copy()
     data[(data >= 9) & (data <= 13)] = 32
     text_of = np.repeat(np.arange(len(sizes)), sizes)
     space = data == 32

@@ -24,7 +24,6 @@ from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
