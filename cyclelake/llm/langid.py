@@ -191,9 +191,17 @@ def keep(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFram
     """The rows of ``df`` that are not rejected, unchanged."""
     ship(df.sparkSession)
     text = F.col(text_col).cast("string")
-    rows = df.select(F.struct("*").alias("_row"), text.alias("_text"),
-                     F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_any"))
-    return rows.mapInArrow(_predictor(spark_model(df, model), ["_row"], "keep"),
+    rows = df.select(F.struct("*").alias("_row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_any"))
+    keep_rows = _predictor(spark_model(df, model), ["_row"], "keep")
+    place = df.columns.index(text_col)
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text is taken out of the row's struct, so it crosses to Python once."""
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column(0), pc.struct_field(x.column(0), [place]).cast(pa.string()), x.column(1)],
+                                             ["_row", "_text", "_any"])
+
+    return rows.mapInArrow(lambda batches: keep_rows(with_text(batches)),
                            f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
 
 
