@@ -15,7 +15,7 @@ Running sums inside a source go by blocks in proportion to its rows, so a hot so
 table of sources has one row per source name and is attached by broadcast only if Spark finds it small.
 
 Defined results: a null or empty text has no words and is taken 0 times; a null source is a source; equal ids and
-rows are separate documents (ties in the order are broken by text hash); without any word all targets are 0; an empty
+rows are separate documents (ties in the order are broken by a hash of text and source); without any word all targets are 0; an empty
 table gives an empty table; other columns are not read, except that ``schedule`` passes whole rows on.
 """
 
@@ -71,15 +71,15 @@ def due(share: Column, rates: list[float]) -> Column:
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         repeat: int = REPEAT, row: str | None = None) -> DataFrame:
+         repeat: int = REPEAT, tie: bool = False) -> DataFrame:
     """Per row: id, size, source_size, target, taken, and ``copies`` (copy, words taken, due time) of those taken.
 
-    ``row`` names a struct column for the whole row, kept through the plan.
+    Texts are read once and never moved; ``tie`` adds the hash of text and source as ``_tie``.
     """
     text = F.col(text_col).cast("string")
     sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("_source"),
                       word_count(text).alias("size"), F.xxhash64(F.col(id_col), F.lit("order")).alias("_order"),
-                      F.xxhash64(text).alias("_tie"), *([F.struct("*").alias(row)] if row else []))
+                      F.xxhash64(text, F.col(source_col)).alias("_tie"))
     sized = stored(sized, "mix-sizes")
     sources = stored(targets(sized, repeat), "mix-targets").withColumnRenamed("_source", "_name")
     blocks = F.ceil(F.lit(float(BLOCKS)) * F.col("_docs") / F.col("_docs_all"))
@@ -96,18 +96,28 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         copies.append(F.struct(F.lit(copy).alias("copy"), taken.cast("long").alias("words"), time.alias("due")))
     out = ordered.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
     return out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", *([row] if row else []))
+        "doc_id", "size", "source_size", "target", "taken", "copies", *(["_tie"] if tie else []))
 
 
-def schedule(df: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+def schedule(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             **settings) -> DataFrame:
     """The mixture itself: the rows of ``df``, one per copy taken, sorted by due time over the whole table.
 
-    A source's last copy may be cut: its text is then the words taken, with single spaces between them.
+    A source's last copy may be cut: its text is then the words taken, with single spaces between them. The plan is
+    joined back to the rows by id and hash of text and source (rows equal in both are numbered), so texts are shuffled twice: for
+    that join, and for the final order.
     """
-    copies = plan(df, text_col=text_col, row="_row", **settings).select("_row", "size", F.explode("copies").alias("_copy"))
+    planned = plan(df, id_col, text_col, source_col, tie=True, **settings).where(F.size("copies") > 0)
+    same = W.partitionBy("doc_id", "_tie").orderBy("size", "source_size", "taken")
+    planned = stored(planned.select(F.col("doc_id").alias("_pid"), F.col("_tie").alias("_ptie"), "size", "source_size", "copies",
+                                    F.row_number().over(same).alias("_pnth")), "mix-plan")
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
+                     F.xxhash64(F.col(text_col).cast("string"), F.col(source_col)).alias("_tie"))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_tie").orderBy(F.xxhash64("_row"))))
+    match = [rows[a].eqNullSafe(planned[b]) for a, b in (("_id", "_pid"), ("_tie", "_ptie"), ("_nth", "_pnth"))]
+    copies = rows.join(planned, match).select("_row", "size", F.explode("copies").alias("_copy"))
     text = F.col(f"_row.{text_col}")
     cut = F.when(F.col("_copy.words") < F.col("size"),
                  F.array_join(F.slice(words(text), 1, F.col("_copy.words").cast("int")), " ")).otherwise(text)
-    rows = stored(copies.select(F.col("_row").withField(text_col, cut).alias("_row"), F.col("_copy.due").alias("_due")),
-                  "mix-copies")
-    return rows.repartitionByRange("_due").sortWithinPartitions("_due").select("_row.*")
+    due_rows = copies.select(F.col("_row").withField(text_col, cut).alias("_row"), F.col("_copy.due").alias("_due"))
+    return due_rows.repartitionByRange("_due").sortWithinPartitions("_due").select("_row.*")
