@@ -12,6 +12,9 @@ worse) and rejects above a cutoff. Cutoffs are chosen on labelled documents, per
 * of the certified cutoffs the one with the largest gain is taken: rejected bad documents less ``cost`` times
   rejected good ones (ties: the milder). A stratum without enough labels to certify a cutoff keeps the rule off.
 
+``verdicts`` chooses so, as its SQL does. ``keep`` certifies the rules of a stratum together instead, from fewer labels
+(``joint_thresholds``).
+
 Everything is DataFrame code: counting is one partially aggregated pass, so a hot stratum is no burden.
 
 Defined results: a null or empty text has no words and fails the base rule; a null stratum is a stratum; repeated
@@ -144,11 +147,79 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error
         for r in rules])
 
 
+def base_rule() -> Column:
+    """Whether a text fails the base rule, from the counts."""
+    return (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+
+
+def joint_thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR,
+                     cost: float = COST, cutoffs: list[float] = CUTOFFS) -> DataFrame:
+    """As ``thresholds``, with the rules of a stratum certified together.
+
+    A stratum's cutoffs form one nested sequence: rule after rule, each from the mildest cutoff to its strictest useful
+    one. A step loses the good documents that pass the base rule and that any cutoff so far rejects; it is certified
+    when P(Binomial(n, ``risk``) <= lost) <= ``error`` / strata, n being all good labelled documents of the stratum, and
+    testing stops at the first failure. So with probability 1 - ``error`` every stratum loses at most ``risk`` of its
+    good documents to all cutoffs together. The certified step of the largest gain is taken.
+
+    The order of the rules and their strictest cutoffs come only from documents that aren't labelled good (bad ones,
+    and unlabelled ones to estimate the good ones lost), so the tests are independent of that choice. A rule without an
+    estimated gain comes last, one that catches no bad document is off. Rows without an id have no label and aren't used here.
+    """
+    rules, k = list(scores()), len(cutoffs)
+    good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    shares = measured.where("doc_id IS NOT NULL").select(
+        "doc_id", "stratum", base_rule().alias("base_failed"), *[c.alias(f"_{r}") for r, c in scores().items()])
+    # the first place in ``cutoffs`` that rejects a text; k: none does
+    place = {r: reduce(lambda a, b: a + b, [(F.col(f"_{r}") <= c).cast("int") for c in cutoffs]) for r in rules}
+    cells = stored(shares.join(good, "doc_id", "left").groupBy(
+        "stratum", "good", "base_failed", *[p.alias(r) for r, p in place.items()]).agg(
+        F.count(F.lit(1)).alias("rows")), "quality-cells")
+    count = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
+    bad, unknown = ~F.col("good"), F.col("good").isNull()
+    totals = cells.groupBy("stratum").agg(count(F.col("good")).alias("n"), F.try_divide(
+        count(~unknown), count(unknown)).alias("scale")).where("n > 0")
+    strata = F.broadcast(totals.agg(F.count(F.lit(1)).alias("strata")))
+    totals = totals.crossJoin(strata).withColumnRenamed("stratum", "_stratum")
+    passing = cells.where(~F.col("base_failed")).join(totals, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop(
+        "_stratum")
+
+    mildest_first = W.partitionBy("stratum", "rule").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    caught, others = F.sum("caught").over(mildest_first), F.sum("others").over(mildest_first)
+    lost = F.greatest(F.lit(0.0), F.coalesce(others * F.col("scale") - caught, F.lit(0.0)))
+    tests = passing.select("*", F.inline(F.array(*[
+        F.struct(F.lit(r).alias("rule"), F.col(r).alias("place")) for r in rules]))).where(F.col("place") < k).groupBy(
+        "stratum", "rule", "place", "scale").agg(count(bad).alias("caught"), count(unknown).alias("others")).withColumn(
+        "worth", F.struct(F.greatest(F.lit(0.0), caught - cost * lost).alias("hope"), caught.alias("caught"),
+                          -F.col("place"))).where("worth.caught > 0")
+    useful = tests.groupBy("stratum", "rule").agg(
+        F.max_by("place", "worth").alias("last"), F.max("worth").alias("worth")).withColumn(
+        "first", k * (F.row_number().over(W.partitionBy("stratum").orderBy(F.desc("worth"), "rule")) - 1))
+    plan = useful.groupBy(F.col("stratum").alias("_stratum")).agg(*[
+        F.max(F.when(F.col("rule") == r, F.struct("first", "last"))).alias(f"_{r}") for r in rules])
+
+    step = F.least(*[F.when(F.col(r) <= F.col(f"_{r}.last"), F.col(f"_{r}.first") + F.col(r)) for r in rules])
+    planned = passing.join(plan, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop("_stratum")
+    steps = planned.withColumn("step", step).where("step IS NOT NULL").groupBy(
+        "stratum", "n", "strata", "step", *[f"_{r}" for r in rules]).agg(
+        count(F.col("good")).alias("lost"), count(bad).alias("caught"))
+    so_far = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    sums = steps.withColumns({c: F.sum(c).over(so_far) for c in ("lost", "caught")})
+    passed = binomial_tail(F.col("lost"), F.col("n"), F.lit(risk)) <= F.lit(error) / F.col("strata")
+    gain = F.col("caught") - cost * F.col("lost")
+    taken = sums.withColumn("ok", F.min(passed.cast("int")).over(so_far)).where((F.col("ok") == 1) & (gain > 0)).groupBy(
+        "stratum", *[f"_{r}" for r in rules]).agg(F.max_by("step", F.struct(gain, -F.col("step"))).alias("step"))
+    at = lambda r: F.least(F.col("step") - F.col(f"_{r}.first"), F.col(f"_{r}.last"))
+    cut = F.array(*map(F.lit, cutoffs))
+    return taken.select("stratum", *[
+        F.when(F.col("step") >= F.col(f"_{r}.first"), F.get(cut, at(r))).alias(f"cut_{r}") for r in rules])
+
+
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``. ``limits`` is a written table, so Spark knows its size."""
     limits = limits.withColumnRenamed("stratum", "_stratum")
     joined = measured.join(limits, measured["stratum"].eqNullSafe(limits["_stratum"]), "left")
-    base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    base = base_rule()
     fine = [F.col(f"cut_{r}").isNull() | (c <= F.col(f"cut_{r}")) for r, c in scores().items()]
     return joined.withColumns({"base_failed": base, "kept": ~base & reduce(lambda a, b: a & b, fine)}).drop(
         "_stratum", *limits.columns)
@@ -162,5 +233,5 @@ def verdicts(df: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 def keep(df: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``df`` that pass, unchanged (its texts are read twice: to choose cutoffs, and to judge)."""
-    limits = stored(thresholds(measure(df), labels, **settings), "quality-limits")
+    limits = stored(joint_thresholds(measure(df), labels, **settings), "quality-limits")
     return judge(measure(df, keep="_row"), limits).where("kept").select("_row.*")

@@ -257,6 +257,27 @@ def test_certified_cutoffs_limit_the_loss(spark):
     assert frame(quality.thresholds(stored(quality.measure(marked), "t"), seen.where("doc_id < 40"))) == []
 
 
+def test_joint_cutoffs_need_few_labels(spark):
+    rows, labels = [], []
+    for i in range(1800):  # good texts repeat words now and then, bad ones have symbols; a few texts have no label
+        lang = ("en", "fr", None)[i % 3]
+        bad, odd = i % 12 > 8, i % 60 == 0
+        text = " ".join(f"w{i}x{j}" + ("###" if bad else "") for j in range(55)) + " one two three one two three" * odd
+        rows.append((i, text if i % 36 else "short text", lang, "a"))
+        labels.append((i, None if i % 12 == 4 or i % 24 == 11 else int(not bad), 0))
+    marked, seen = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    measured = stored(quality.measure(marked), "t")
+    limits = {r["stratum"]: r for r in frame(quality.joint_thresholds(measured, seen))}
+    assert {s: r["cut_symbols"] is not None for s, r in limits.items()} == {"en": True, "fr": True, None: True}
+    assert frame(quality.thresholds(measured, seen)) == []  # rule by rule the same labels certify nothing
+    kept = {r["doc_id"] for r in frame(quality.keep(marked, seen))}
+    assert kept == {i for i, text, *_ in rows if "###" not in text and text != "short text"}
+    few = seen.where("doc_id < 600")
+    assert frame(quality.joint_thresholds(measured, few)) == [] and len(frame(quality.keep(marked, few))) > len(kept)
+    wrong = seen.withColumn("quality", F.lit(1))  # cutoffs that would lose good texts aren't certified
+    assert frame(quality.joint_thresholds(measured, wrong)) == []
+
+
 def test_language_of_edge_rows(spark):
     docs = queries.documents(spark, SMALL)
     model = langid.train(docs, ~langid.held_out())
