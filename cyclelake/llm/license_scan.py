@@ -6,8 +6,10 @@ words at a gap's ends are paired. Coverage is the share of the template's words
 
 Only stretches of a text that can reach ``least`` coverage are aligned. A template's *keys* are distinctive words
 with so many occurrences in it that any alignment reaching ``least`` uses one of them; a text without keys is done
-after one linear search. Around its keys a text is cut into windows of at most four template lengths that overlap by
-two, so a repeated or very long text costs time in proportion to its length. The best window counts (ties: the first).
+after one linear search. Around its keys a text is cut into stretches; one with keys over more than three template
+lengths is cut into windows of four lengths that overlap by two, and where several copies may stand short windows are
+tried too. So a repeated or very long text costs time in proportion to its length. The best window counts (ties: the
+first).
 
 Each partition is scanned by itself, without a shuffle. Defined results: a null or empty text has no hits; repeated
 rows have hits each; a text that holds a template several times is one hit, at one of its best
@@ -137,6 +139,9 @@ class Template:
                 a, b = max(0, start - n), min(len(words), last + n + 1)
                 if last - start <= 3 * n:
                     yield a, b
+                else:
+                    for at in range(a, b - 2 * n, 2 * n):
+                        yield at, min(b, at + 4 * n)
                 if last - start > n:  # more than one copy may stand here: short stretches hold mostly one
                     for at in range(a, b, max(1, n // 2)):
                         yield at, min(b, at + n + n // 2)

@@ -197,3 +197,20 @@ def test_templates_are_found_in_repeated_and_long_texts():
     worn = [w for i, w in enumerate(words) if i % 7]
     assert known.best(worn)[0] >= 0.8 * len(words)
     assert known.best(["filler"] * 100) is None
+
+
+@pytest.mark.parametrize("before", [0, 700, 1111, 2500])
+def test_interleaved_copies_are_found_among_recurring_keys(before):
+    known = license_scan.Template("mit", license_scan.TEMPLATES["mit"], 0.8)
+    n, key = len(known.words), max(known.keys, key=len)
+    copy = [x for w in known.words for x in (w, "other")][:-1]
+    text = ["filler"] * before + copy + ["filler"] * (3000 - before)
+    sparse = known.best(text)
+    assert sparse[0] >= 0.8 * n
+    often = [key if x == "filler" and i % n == 0 else x for i, x in enumerate(text)]
+    assert known.best(often)[0] >= 0.8 * n
+    for a, b in known.windows(often):
+        assert b - a <= 4 * n
+    for at in range(0, len(often) - 2 * n, 50):
+        if before - n < at < before + n:
+            assert any(a <= at and at + 2 * n <= b for a, b in known.windows(often))
