@@ -79,3 +79,55 @@ WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_ex
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT cut AS kept FROM judged"""
+
+_TRIMMED = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '%s', '%s')" % _LETTERS
+
+LINES = f"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+, t AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM d)
+, k AS (SELECT *, {_TRIMMED} AS key FROM t)
+, often AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+, marked AS (SELECT k.doc_id, i, line, keeper IS NOT NULL AND keeper <> k.doc_id AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+PHRASES = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), '{_LETTERS[0]}', '{_LETTERS[1]}'), '[.,;:!?\n-\r]')) AS piece FROM documents)
+, numbered AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces)
+, t AS (SELECT lang, p, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM numbered)
+, grams AS (SELECT lang, x AS one, x || ' ' || lead(x) OVER o AS two, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS three
+  FROM t WINDOW o AS (PARTITION BY p ORDER BY i))
+, f AS (SELECT lang, one AS phrase, 1 AS size, count(*) AS n FROM grams GROUP BY lang, one
+  UNION ALL SELECT lang, two, 2, count(*) FROM grams WHERE two IS NOT NULL GROUP BY lang, two
+  UNION ALL SELECT lang, three, 3, count(*) FROM grams WHERE three IS NOT NULL GROUP BY lang, three)
+, totals AS (SELECT lang, count(*) AS n FROM t GROUP BY lang)
+, candidates AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10)
+, inner_pairs AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM candidates WHERE size = 3)
+, over AS (SELECT lang, phrase, max(a) AS most FROM inner_pairs GROUP BY lang, phrase)
+, alone AS (SELECT c.* FROM candidates c LEFT JOIN over USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+, cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM alone))
+, scored AS (SELECT cuts.lang, cuts.phrase, a, k, h.n AS l, r.n AS r,
+  (1000000::HUGEINT * a * a) // (h.n::HUGEINT * r.n) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail)
+, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, totals.n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+, scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+  CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e))
+, positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+, found AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score
+  AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10"""

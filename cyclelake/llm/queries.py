@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, license_scan, minhash_dedup, mixing, oracle, packing, quality, sharding, tokencount, tokenfile
+from . import (collocations, embedding_dedup, hard_negatives, langid, license_scan, line_dedup, minhash_dedup, mixing, oracle,
+               packing, quality, sharding, tokencount, tokenfile)
 from .common import table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,24 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License texts and notices found in every whole text."""
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@register("op11_hard_negatives", oracle.NEGATIVES)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors; every seventh vector's label moves on by one."""
+    vec = F.col("vec_id")
+    label = F.when(F.pmod(vec, F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), vec % 100 == 0, label=label)
+
+
+@register("op12_collocations", oracle.PHRASES)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two or three words."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@register("op13_line_dedup", oracle.LINES)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines that later documents hold too."""
+    return line_dedup.drop_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
