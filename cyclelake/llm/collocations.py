@@ -1,8 +1,7 @@
 """Operator 12, phrase collocation mining by HAT-trie counting.
 
-1. A task counts the phrases of up to three words of its texts in one HAT-trie per language: a shallow trie of word ids
-   over hash containers of the remaining words. A container of over ``BURST`` phrases is burst into one container per
-   second word. Beyond ``MAX_PHRASES`` phrases the largest subtrees are spilled whole, until half are left, and freed.
+1. A task counts the phrases of up to three words of its texts in one HAT-trie per language: hash containers under
+   a shallow trie of word ids. A container of over ``BURST`` phrases of a few first words is burst by the second word. Beyond ``MAX_PHRASES`` phrases the largest subtrees are spilled whole, until half are left, and freed.
 2. A spill is cut into *prefix partitions* (by the hash of the first two words, and of the third in 16, so that a hot pair
    is spread too) and written as sorted runs: the partition's words in order, and columns of word places and counts,
    compressed. All runs of a partition are merged in one task, whose size follows from the number of partitions (one
@@ -20,6 +19,7 @@ ranks are unique. Texts of any length are counted whole, in stretches. An empty
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from .common import ship, stored, text_slices
 from .graph import whole_groups
 
 LEAST, SHARE, FIRST = 10, 50, 2000
-BURST, MAX_PHRASES, PARTITION_BYTES = 2048, 1 << 20, 16 << 20
+BURST, ROOTS, FAN, MAX_PHRASES, PARTITION_BYTES = 2048, 1024, 16, 1 << 20, 16 << 20
 #: A phrase is one integer of three word ids of 21 bits; id 0 is no word. Tokens are added in stretches.
 ID_BITS, MAX_WORDS, STRETCH, SLICE = 21, (1 << 21) - 1, 1 << 18, 4 << 20
 SALT, GROUPS = 16, 256
@@ -56,72 +56,66 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, list[str]]:
 
 
 class HatTrie:
-    """Counts of phrases, given as first word and remaining words in one integer.
+    """Counts of phrases, each one integer of three word ids.
 
-    ``root`` maps a first word to a container ``{rest: count}`` or, once burst, to ``{second: {third: count}}``.
+    The first level deals phrases by the first word's id (its low bits) to hash containers ``{phrase: count}``, so rare words share
+    one; a container of over ``burst`` phrases bursts into ``FAN`` by the second word's id.
     """
 
     def __init__(self, burst: int = BURST):
-        self.root: dict[int, dict] = {}
-        self.split: set[int] = set()
+        self.root: list[list[dict[int, int]]] = [[{}] for _ in range(ROOTS)]
         self.burst, self.size = burst, 0
 
     def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
-        """Count distinct sorted phrases."""
-        first, rest = phrases >> 2 * ID_BITS, phrases & ((1 << 2 * ID_BITS) - 1)
-        starts = np.flatnonzero(np.diff(first, prepend=-1))
-        rests, numbers, ends = rest.tolist(), counts.tolist(), np.append(starts[1:], len(first)).tolist()
-        for word, a, b in zip(first[starts].tolist(), starts.tolist(), ends):
-            if word in self.split:
-                self._add_split(self.root[word], rest[a:b], numbers[a:b])
-                continue
-            held = self.root.get(word)
-            if held is None:
-                held = self.root[word] = dict(zip(rests[a:b], numbers[a:b]))
-                self.size += b - a
+        """Count distinct phrases."""
+        for slot, p, n in _dealt((phrases >> 2 * ID_BITS) % ROOTS, phrases, counts):
+            held = self.root[slot]
+            if len(held) == 1:
+                self.size += self._count(held[0], p, n)
+                if len(held[0]) > self.burst:
+                    self.root[slot] = self._burst(held[0])
             else:
-                self.size += self._count(held, rests[a:b], numbers[a:b])
-            if len(held) > self.burst:
-                self._burst(word, held)
+                for i, q, m in _dealt((p >> ID_BITS) % FAN, p, n):
+                    self.size += self._count(held[i], q, m)
 
     @staticmethod
-    def _count(held: dict[int, int], rests: list[int], numbers: list[int]) -> int:
+    def _count(held: dict[int, int], phrases: np.ndarray, counts: np.ndarray) -> int:
+        if not held:
+            held.update(zip(phrases.tolist(), counts.tolist()))
+            return len(held)
         before, get = len(held), held.get
-        for r, n in zip(rests, numbers):
-            held[r] = get(r, 0) + n
+        for p, n in zip(phrases.tolist(), counts.tolist()):
+            held[p] = get(p, 0) + n
         return len(held) - before
 
-    def _add_split(self, node: dict[int, dict], rest: np.ndarray, numbers: list[int]) -> None:
-        second, third = rest >> ID_BITS, (rest & _LOW).tolist()
-        starts = np.flatnonzero(np.diff(second, prepend=-1))
-        for word, a, b in zip(second[starts].tolist(), starts.tolist(), np.append(starts[1:], len(rest)).tolist()):
-            self.size += self._count(node.setdefault(word, {}), third[a:b], numbers[a:b])
-
-    def _burst(self, word: int, held: dict[int, int]) -> None:
-        node: dict[int, dict] = {}
-        for r, n in held.items():
-            node.setdefault(r >> ID_BITS, {})[r & _LOW] = n
-        self.root[word] = node
-        self.split.add(word)
-
-    def entries(self, word: int) -> int:
-        held = self.root[word]
-        return sum(map(len, held.values())) if word in self.split else len(held)
+    @staticmethod
+    def _burst(held: dict[int, int]) -> list[dict[int, int]]:
+        node: list[dict[int, int]] = [{} for _ in range(FAN)]
+        for p, n in held.items():
+            node[(p >> ID_BITS) % FAN][p] = n
+        return node
 
     def take(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Remove whole subtrees, the largest first, until at most ``keep`` phrases are left: phrases and counts."""
-        phrases, counts = [], []
-        for size, word in sorted(((self.entries(w), w) for w in self.root), reverse=True):
+        phrases, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, slot in sorted(((sum(map(len, x)), i) for i, x in enumerate(self.root)), reverse=True):
             if self.size <= keep:
                 break
-            held = self.root.pop(word)
-            parts = [(s << ID_BITS, c) for s, c in held.items()] if word in self.split else [(0, held)]
-            for second, c in parts:
-                phrases.append(np.fromiter(c, np.int64, len(c)) + (second + (word << 2 * ID_BITS)))
-                counts.append(np.fromiter(c.values(), np.int64, len(c)))
-            self.split.discard(word)
+            for held in self.root[slot]:
+                phrases.append(np.fromiter(held, np.int64, len(held)))
+                counts.append(np.fromiter(held.values(), np.int64, len(held)))
+            self.root[slot] = [{}]
             self.size -= size
-        return (np.concatenate(phrases), np.concatenate(counts)) if phrases else (np.zeros(0, np.int64),) * 2
+        return np.concatenate(phrases), np.concatenate(counts)
+
+
+def _dealt(where: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """The rows of each value of ``where``."""
+    order = np.argsort(where, kind="stable")
+    sorted_ = where[order]
+    starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+        yield int(sorted_[a]), *(c[order[a:b]] for c in columns)
 
 
 def columns_of(phrases: np.ndarray) -> np.ndarray:
@@ -143,6 +137,15 @@ class Counter:
     def clear(self) -> None:
         self.tries: dict[str, HatTrie] = {}
         self.ids: dict[str, int] = {}
+        self.hashes = array("Q", [0])
+
+    def number(self, word: str) -> int:
+        """The task's id of a word, from 1."""
+        known = self.ids.get(word)
+        if known is None:
+            known = self.ids[word] = len(self.ids) + 1
+            self.hashes.append(_hash(word))
+        return known
 
     def size(self) -> int:
         return sum(t.size for t in self.tries.values())
@@ -157,7 +160,7 @@ class Counter:
                 yield from self.spill(0)
                 self.clear()
             own = np.zeros(len(spelt) + 1, np.int64)  # the last stands for -1
-            own[used] = [self.ids.setdefault(spelt[i], len(self.ids) + 1) for i in used.tolist()]
+            own[used] = [self.number(spelt[i]) for i in used.tolist()]
             word = np.concatenate([own[part], [0, 0]])
             a, b, c = word[:-2][:STRETCH], word[1:-1][:STRETCH], word[2:][:STRETCH]
             a = a << 2 * ID_BITS
@@ -173,10 +176,10 @@ class Counter:
         if not self.ids:
             return
         spelt = pa.array(list(self.ids), pa.string())
-        order = pc.sort_indices(spelt).to_numpy()
+        order = pc.sort_indices(spelt).to_numpy().astype(np.int64)
         rank, ordered = np.zeros(len(order) + 1, np.int64), spelt.take(pa.array(order))
         rank[order + 1] = np.arange(1, len(order) + 1)
-        hashes = np.concatenate([np.zeros(1, np.uint64), np.array(list(map(_hash, ordered.to_pylist())), np.uint64)])
+        hashes = np.array(self.hashes, np.uint64)[np.append(0, order + 1)]
         total = max(1, self.size())
         for lang, trie in self.tries.items():
             phrases, counts = trie.take(keep * trie.size // total)
@@ -191,25 +194,28 @@ class Counter:
         line = np.lexsort((phrase, where))
         words, counts, where = words[:, line], counts[line], where[line]
         starts = np.flatnonzero(np.diff(where, prepend=-1))
+        mark, place = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int32)
         for x, y in zip(starts.tolist(), np.append(starts[1:], len(where)).tolist()):
-            used, places = np.unique(words[:, x:y], return_inverse=True)
-            places = places.reshape(3, -1) + (used[0] != 0)
-            used = used[used > 0]
-            run = places.astype("<i4").tobytes() + counts[x:y].astype("<i8").tobytes()
-            yield int(where[x]), lang, ordered.take(pa.array(used - 1)), y - x, len(run), pa.compress(run, "zstd", asbytes=True)
+            own = words[:, x:y]
+            mark[own] = True
+            mark[0] = False
+            used = np.flatnonzero(mark)
+            mark[used] = False
+            place[used] = np.arange(1, len(used) + 1)
+            places = place[own]
+            spelt = " ".join(ordered.take(pa.array(used - 1)).to_pylist()).encode()
+            run = places.astype("<i4").tobytes() + counts[x:y].astype("<i8").tobytes() + spelt
+            yield int(where[x]), lang, y - x, len(run), pa.compress(run, "zstd", asbytes=True)
 
 
-_RUN = {"part": pa.int64(), "lang": pa.string(), "words": pa.list_(pa.string()), "phrases": pa.int64(), "bytes": pa.int64(),
-        "run": pa.binary()}
+_RUN = {"part": pa.int64(), "lang": pa.string(), "phrases": pa.int64(), "bytes": pa.int64(), "run": pa.binary()}
 
 
 def _counted(partitions: int, most: int, burst: int):
     """Arrow function (language, text): sorted runs of phrase counts by prefix partition."""
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * len(_RUN)
-        return pa.RecordBatch.from_arrays([pa.array([x.to_pylist() for x in c] if n == "words" else c, t)
-                                           for c, (n, t) in zip(columns, _RUN.items())], list(_RUN))
+    def batch_of(row: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _RUN.values())], list(_RUN))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(partitions, most, burst)
@@ -218,15 +224,19 @@ def _counted(partitions: int, most: int, burst: int):
             where, texts = langs.indices.to_numpy(zero_copy_only=False), part.column(1)
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 for row in counter.add(lang, texts.filter(pa.array(where == i)).to_pylist()):
-                    yield batch_of([row])
+                    yield batch_of(row)
         for row in counter.spill(0):
-            yield batch_of([row])
+            yield batch_of(row)
 
     return rows
 
 
-def merged_runs(words: pa.Array, lengths: np.ndarray, runs: list[tuple[int, bytes]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All words in order, and the distinct phrases of some runs as places (0 is none) with their whole counts."""
+def merged_runs(runs: list[tuple[int, bytes]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of some runs (number of phrases, bytes) in order, and the distinct phrases as places (0 is none) with their
+    whole counts."""
+    spelt = pa.array([run[20 * n:] for n, run in runs], pa.binary()).cast(pa.string())
+    lists = pc.split_pattern(spelt, " ")
+    words, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.zeros(len(order), np.int64)
@@ -257,10 +267,9 @@ def _merged(least: int):
                 own = table.slice(a, b - a)
                 for lang in pc.unique(own.column("lang")).to_pylist():
                     one = own.filter(pc.equal(own.column("lang"), lang)).combine_chunks()
-                    lists = one.column("words").combine_chunks()
                     runs = [(n, pa.decompress(r, size, "zstd", asbytes=True)) for n, size, r in zip(
                         *(one.column(c).to_pylist() for c in ("phrases", "bytes", "run")))]
-                    spelt, w, n = merged_runs(lists.flatten(), np.diff(lists.offsets.to_numpy()), runs)
+                    spelt, w, n = merged_runs(runs)
                     total = int(n[w[1] == 0].sum())
                     w, n = w[:, n >= least], n[n >= least]
                     parts = [spelt.take(pa.array(np.where(x > 0, x - 1, 0), mask=x == 0)) for x in w]
@@ -282,8 +291,7 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
                       F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     if partitions is None:
         partitions = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION_BYTES
-    runs = texts.mapInArrow(_counted(partitions, most, burst), "part long, lang string, words array<string>, phrases long, "
-                                                               "bytes long, run binary")
+    runs = texts.mapInArrow(_counted(partitions, most, burst), "part long, lang string, phrases long, bytes long, run binary")
     merged = runs.repartition("part").sortWithinPartitions("part").mapInArrow(
         _merged(least), "lang string, size int, phrase string, n long")
     return stored(merged, "phrase-counts")
