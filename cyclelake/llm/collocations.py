@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_slices
+from .common import ship, stored, text_slices, tidy
 from .graph import whole_groups
 
 LEAST, SHARE, FIRST = 10, 50, 2000
-BURST, ROOTS, FAN, MAX_PHRASES, PARTITION_BYTES = 2048, 1024, 16, 1 << 20, 16 << 20
+BURST, ROOTS, FAN, MAX_PHRASES, PARTITION_BYTES = 2048, 1024, 16, 1 << 20, 6 << 20
 #: A phrase is one integer of three word ids of 21 bits; id 0 is no word. Tokens are added in stretches.
 ID_BITS, MAX_WORDS, STRETCH, SLICE = 21, (1 << 21) - 1, 1 << 18, 4 << 20
 SALT, GROUPS = 16, 256
@@ -239,16 +239,17 @@ def merged_runs(runs: list[tuple[int, bytes]]) -> tuple[pa.Array, np.ndarray, np
     words, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.zeros(len(order), np.int64)
+    rank = np.zeros(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     place, offsets = rank[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(lengths) - lengths
     columns, counts = [], []
     for at, length, (n, run) in zip(offsets.tolist(), lengths.tolist(), runs):
         local = np.frombuffer(run, "<i4", 3 * n).reshape(3, n)
-        columns.append(np.append(0, place[at:at + length])[local])
+        columns.append(np.append(np.int32(0), place[at:at + length])[local])
         counts.append(np.frombuffer(run, "<i8", n, 12 * n))
     w, n = np.concatenate(columns, axis=1), np.concatenate(counts)
-    pair = w[0] * (len(order) + 1) + w[1]
+    pair = w[0].astype(np.int64) * (len(order) + 1) + w[1]
+    del columns, counts, place, words
     line = np.lexsort((w[2], pair))  # a stable merge sort, to which each run is one ordered stretch
     w, n, pair = w[:, line], n[line], pair[line]
     starts = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(w[2], prepend=-1) != 0))
@@ -291,9 +292,9 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
                       F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     if partitions is None:
         partitions = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION_BYTES
-    runs = texts.mapInArrow(_counted(partitions, most, burst), "part long, lang string, phrases long, bytes long, run binary")
+    runs = texts.mapInArrow(tidy(_counted(partitions, most, burst)), "part long, lang string, phrases long, bytes long, run binary")
     merged = runs.repartition("part").sortWithinPartitions("part").mapInArrow(
-        _merged(least), "lang string, size int, phrase string, n long")
+        tidy(_merged(least)), "lang string, size int, phrase string, n long")
     return stored(merged, "phrase-counts")
 
 
