@@ -19,6 +19,7 @@ label for training alone; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_slices
+from .common import ship, text_slices, tidy
 
 BUCKETS, ORDERS, DIM = 1 << 16, (2, 3, 4, 5), 16
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -106,13 +107,17 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 2.0, window: int = 300, loss: float = 0.002,
         seed: int = 7) -> Model:
-    """Train on (text, language) rows: windows of ``window`` characters, three of four rows; calibrate on the rest."""
+    """Train on (text, language) rows: windows of ``window`` characters, three of four rows of each language; calibrate on the rest."""
     rng = np.random.default_rng(seed)
     rows = sorted(rows)
     languages = sorted({x for _, x in rows})
     place = {x: i for i, x in enumerate(languages)}
     order = rng.permutation(len(rows))
-    held, train = order[:len(rows) // 4], order[len(rows) // 4:]
+    seen, number = Counter(), {}
+    for i in order.tolist():  # every fourth row of each language calibrates
+        seen[rows[i][1]] += 1
+        number[i] = seen[rows[i][1]]
+    held, train = ([i for i in order.tolist() if (number[i] % 4 == 0) == spare] for spare in (True, False))
     parts, labels = [], []
     for i in train:
         text, language = rows[i]
@@ -162,12 +167,16 @@ def calibrate(model: Model, rows: list[tuple[str, str]], place: dict[str, int],
 
 def train(df: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "lang", sample_bytes: int = 1 << 20, longest: int = 1 << 16) -> Model | None:
-    """A model from about ``sample_bytes`` of labelled texts per language among the ``usable`` rows."""
+    """A model from about ``sample_bytes`` of labelled texts per language among the ``usable`` rows.
+
+    Of a text of over ``longest`` characters, a window of that length counts and may be drawn; where it lies depends on the text's hash.
+    """
     rows = df.where(usable) if usable is not None else df
     rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        F.col(label_col).cast("string").alias("_label"))
-    size = F.octet_length("_text")
-    rows = rows.where(F.col("_label").isNotNull() & F.col("_text").rlike(r"\p{L}") & (size <= longest))
+    start = F.pmod(F.xxhash64("_text"), F.greatest(F.length("_text") - longest + 1, F.lit(1))).cast("int") + 1
+    rows = rows.where(F.col("_label").isNotNull()).withColumn("_text", F.substring("_text", start, longest))
+    rows, size = rows.where(F.col("_text").rlike(r"\p{L}")), F.octet_length("_text")
     volume = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.sum(size).alias("n")).collect()}
     if not volume:
         return None
@@ -184,7 +193,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col), text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_any"))
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
-    return rows.mapInArrow(_predictor(spark_model(df, model), [id_col, "lang_pred", "score", "rejected"], None), schema)
+    return rows.mapInArrow(tidy(_predictor(spark_model(df, model), [id_col, "lang_pred", "score", "rejected"], None)), schema)
 
 
 def keep(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -201,7 +210,7 @@ def keep(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([x.column(0), pc.struct_field(x.column(0), [place]).cast(pa.string()), x.column(1)],
                                              ["_row", "_text", "_any"])
 
-    return rows.mapInArrow(lambda batches: keep_rows(with_text(batches)),
+    return rows.mapInArrow(tidy(lambda batches: keep_rows(with_text(batches))),
                            f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
 
 
@@ -212,7 +221,7 @@ def spark_model(df: DataFrame, model: Model | None):
 
 def _predictor(model, names: list[str], mode: str | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=1 << 20):
+        for part in text_slices(batches, limit=1 << 18):
             known = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
             lang, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
             if model.value is not None and known.any():

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_slices
+from .common import ship, stored, text_slices, tidy
 from .graph import components, pair_blocks, whole_groups
 
 WORDS, LIMIT = 5, 0.75
@@ -247,14 +247,14 @@ class _Candidates:
 
     def __init__(self, classes: DataFrame, texts: DataFrame):
         self.classes, self.texts = classes.select("node", "signs"), texts
-        rows = classes.select("node", "signs").mapInArrow(_bands, "node long, key long, band int")
+        rows = classes.select("node", "signs").mapInArrow(tidy(_bands), "node long, key long, band int")
         bands = stored(rows, "minhash-bands")
         crowd = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
         full = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(crowd)["n"].alias("center"))
                       .where("held > 1"), "minhash-buckets")
         self.members = stored(bands.join(full, "key"), "minhash-members")
         needed = stored(self.members.select("node").distinct(), "minhash-needed")
-        self.sets = stored(texts.join(needed, "node", "left_semi").mapInArrow(_sets, "node long, items binary"),
+        self.sets = stored(texts.join(needed, "node", "left_semi").mapInArrow(tidy(_sets), "node long, items binary"),
                            "minhash-sets")
 
     def _beside(self, pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -266,8 +266,8 @@ class _Candidates:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links: sequential test of the signatures, then the full sets."""
         signed = self._beside(stored(pairs.select("a", "b"), "minhash-tried"), self.classes, "signs")
-        likely = stored(signed.mapInArrow(_likely, "a long, b long"), "minhash-likely")
-        return stored(self._beside(likely, self.sets, "items").mapInArrow(_confirmed, "a long, b long"), "minhash-links")
+        likely = stored(signed.mapInArrow(tidy(_likely), "a long, b long"), "minhash-likely")
+        return stored(self._beside(likely, self.sets, "items").mapInArrow(tidy(_confirmed), "a long, b long"), "minhash-links")
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """Bucket members with their component so far."""
@@ -324,16 +324,16 @@ class _Candidates:
             signed = rows.join(self.classes, "node").select(*columns, "signs", *more)
             return signed.repartition("_pair").sortWithinPartitions("_pair")
 
-        likely = stored(by_pair(sent, []).mapInArrow(_likely_rows, "_pair long, node long"), "minhash-likely")
+        likely = stored(by_pair(sent, []).mapInArrow(tidy(_likely_rows), "_pair long, node long"), "minhash-likely")
         left = stored(sent.join(likely, ["_pair", "node"], "left_semi"), "minhash-left").join(self.sets, "node")
-        return stored(by_pair(left, ["items"]).mapInArrow(_joining, "a long, b long"), "minhash-links")
+        return stored(by_pair(left, ["items"]).mapInArrow(tidy(_joining), "a long, b long"), "minhash-links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: id, n_shingles, component_id (least id reachable by links) and kept (it is that id)."""
     ship(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    base = stored(texts.mapInArrow(_base, "node long, n_shingles long, digest binary, signs binary"), "minhash-base")
+    base = stored(texts.mapInArrow(tidy(_base), "node long, n_shingles long, digest binary, signs binary"), "minhash-base")
     useful = base.where("digest IS NOT NULL AND node IS NOT NULL")
     classes = stored(useful.groupBy("digest").agg(F.min("node").alias("node"), F.first("signs").alias("signs")),
                      "minhash-classes")

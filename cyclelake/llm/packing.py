@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_slices
+from .common import ship, text_slices, tidy
 from .encode import encoder
 
 PIECE = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, "
@@ -148,4 +148,4 @@ def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str = "d
         packer.finish()
         yield from out()
 
-    return rows.mapInArrow(packed, schema)
+    return rows.mapInArrow(tidy(packed), schema)

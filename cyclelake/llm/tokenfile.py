@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, text_slices
+from .common import ship, text_slices, tidy
 from .encode import encoder
 
 BLOCK = 1024
@@ -141,7 +141,7 @@ def write(df: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, id_c
             yield out()
 
     schema = (f"part int, segment int, before long, ids long, docs array<{kind_of_id}>, sizes array<long>, data binary")
-    ordered.mapInArrow(segments, schema).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(tidy(segments), schema).write.option("compression", "zstd").parquet(path)
 
 
 def located_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -178,4 +178,4 @@ def documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
                                                             pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0].strip("`") for c in schema.split(", ")])
 
-    return located.mapInArrow(rows, schema)
+    return located.mapInArrow(tidy(rows), schema)
