@@ -191,7 +191,8 @@ class Counter:
         mixed = (a * np.uint64(3) + b * np.uint64(5) + np.uint64(_hash(lang)) + c % np.uint64(SALT)) * np.uint64(0x9E3779B97F4A7C15)
         where = ((mixed >> np.uint64(32)) * np.uint64(self.partitions) >> np.uint64(32)).astype(np.int64)
         phrase = (words[0] << 2 * ID_BITS) + (words[1] << ID_BITS) + words[2]
-        line = np.lexsort((phrase, where))
+        line = np.argsort(phrase)
+        line = line[np.argsort(where[line], kind="stable")]
         words, counts, where = words[:, line], counts[line], where[line]
         starts = np.flatnonzero(np.diff(where, prepend=-1))
         mark, place = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int32)
@@ -203,7 +204,8 @@ class Counter:
             mark[used] = False
             place[used] = np.arange(1, len(used) + 1)
             places = place[own]
-            spelt = " ".join(ordered.take(pa.array(used - 1)).to_pylist()).encode()
+            spelt = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), ordered.take(pa.array(used - 1)))
+            spelt = pc.binary_join(spelt, " ").cast(pa.binary())[0].as_py()
             run = places.astype("<i4").tobytes() + counts[x:y].astype("<i8").tobytes() + spelt
             yield int(where[x]), lang, y - x, len(run), pa.compress(run, "zstd", asbytes=True)
 
