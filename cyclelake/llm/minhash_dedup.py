@@ -37,7 +37,7 @@ from .graph import components, pair_blocks, whole_groups
 WORDS, LIMIT = 5, 0.75
 BANDS, ROWS, BATCH, MISS = 30, 4, 20, 1e-5
 HASHES = BANDS * ROWS
-BLOCK, ROUNDS, SEED = 256, 1, 23
+BLOCK, ROUNDS, PAIRS, SEED = 512, 1, 100_000, 23
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -203,10 +203,11 @@ def _likely_pairs(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndar
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist()):
         x, y = (np.array([a]), np.array([a + 1])) if b - a == 2 else (v + a for v in np.triu_indices(b - a, 1))
         good = (group[x] != group[y]) & ~(main[x] & main[y]) & (same[x] & same[y] | (side[x] != side[y]))
-        if good.any():
-            held.append((x[good], y[good]))
-        if sum(len(v) for v, _ in held) > 100_000:
-            yield from tested()
+        x, y = x[good], y[good]
+        for at in range(0, len(x), PAIRS):
+            held.append((x[at:at + PAIRS], y[at:at + PAIRS]))
+            if sum(len(v) for v, _ in held) >= PAIRS:
+                yield from tested()
     yield from tested()
 
 
@@ -304,7 +305,7 @@ class _Candidates:
         keys = counts.groupBy("key").agg(F.max(size).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
         keys = stored(keys.where("k > 1").select("key", F.col("m.component").alias("largest"), F.col("m.n").alias("big"),
                                                  (F.col("all") - F.col("m.n")).alias("small")), "minhash-mixed")
-        met = stored(labelled.select("key", "band", "node", "component").join(keys, "key"), "minhash-met")
+        met = stored(labelled.select("key", "band", "node", "component").join(keys, "key").join(self.classes, "node"), "minhash-met")
         # a bucket's largest component is only compared with the others, never with itself
         salt = F.xxhash64("node", F.lit("block"))
         met = met.withColumn("main", F.col("component") == F.col("largest"))
@@ -317,12 +318,11 @@ class _Candidates:
         j = F.when(F.col("main"), F.col("_own")).otherwise(F.col("_j"))
         across = across.withColumns({"_pair": F.xxhash64("key", F.lit("main"), i, j), "_side": F.col("main").cast("int"),
                                      "_same": F.lit(False)})
-        columns = ["_pair", "_side", "_same", "main", "band", "node", "component"]
+        columns = ["_pair", "_side", "_same", "main", "band", "node", "component", "signs"]
         sent = stored(rest.where("small > 1").select(*columns).union(across.select(*columns)), "minhash-blocks")
 
         def by_pair(rows: DataFrame, more: list[str]) -> DataFrame:
-            signed = rows.join(self.classes, "node").select(*columns, "signs", *more)
-            return signed.repartition("_pair").sortWithinPartitions("_pair")
+            return rows.select(*columns, *more).repartition("_pair").sortWithinPartitions("_pair")
 
         likely = stored(by_pair(sent, []).mapInArrow(tidy(_likely_rows), "_pair long, node long"), "minhash-likely")
         left = stored(sent.join(likely, ["_pair", "node"], "left_semi"), "minhash-left").join(self.sets, "node")
