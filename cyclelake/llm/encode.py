@@ -46,7 +46,7 @@ def byte_letters() -> list[str]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, kind: str, max_tokens: int = 500_000):
+    def __init__(self, path: str, kind: str, max_tokens: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,17 +79,26 @@ class PieceEncoder:
         got = self.tokens[token] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
         return got
 
+    def _learn_plain(self, token: str) -> bytes:
+        """The same for a word of ASCII letters, or a space and such letters."""
+        spelt = self.letters[32] + token[1:] if token[0] == " " else token
+        got = self.tokens[token] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+        return got
+
     def _table(self, pieces: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each piece's ids begin in a flat table, how many they are, and the table."""
         if len(self.tokens) > self.max_tokens:
             self.tokens = {MARK: self.tokens[MARK]}
         begin, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        # pieces of ASCII letters only are one word each
-        plain = pc.match_substring_regex(pieces, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        # pieces of ASCII letters are one word each, and a mark of punctuation after them is another
+        plain = pc.match_substring_regex(pieces, "^[A-Za-z]+[.,;:!?]?$").to_numpy(zero_copy_only=False)
         own = pieces.filter(pa.array(plain))
-        own = (pc.ascii_lower(own) if self.kind == "word" else own).to_pylist()
-        get, learn = self.tokens.get, self._learn
-        ids = [get(x) or learn(x) for x in ([lead + x for x in own] if lead else own)]
+        own = pc.ascii_lower(own) if self.kind == "word" else own
+        own = pc.binary_join_element_wise(lead, own, "") if lead else own
+        get, learn, learn_plain = self.tokens.get, self._learn, self._learn_plain
+        ends = {x: get(x) or learn(x) for x in ".,;:!?"}
+        last = [ends.get(x, b"") for x in pc.utf8_slice_codeunits(own, -1).to_pylist()]
+        ids = [(get(x) or learn_plain(x)) + y for x, y in zip(pc.utf8_rtrim(own, ".,;:!?").to_pylist(), last)]
         length[plain] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin[plain] = np.cumsum(length[plain]) - length[plain]
         tables = [np.frombuffer(b"".join(ids), "<u4")]
@@ -146,7 +155,10 @@ class PieceEncoder:
             begin, length, table = self._table(known, "")
         length = length[slot]
         ends = np.cumsum(length)
-        flat = table[np.repeat(begin[slot] - ends + length, length) + np.arange(ends[-1])]
+        small = np.int32 if max(len(table), int(ends[-1])) < 1 << 31 else np.int64
+        place = np.repeat((begin[slot] - ends + length).astype(small), length)
+        place += np.arange(ends[-1], dtype=small)
+        flat = table[place]
         return np.split(flat, np.concatenate([[0], ends])[starts[1:-1]])
 
     def _encode_long(self, text: str) -> np.ndarray:
