@@ -2,7 +2,8 @@
 
 The cell table has one row per cell, far fewer rows than the cycle table, but its size still grows with the data. It
 is never hinted as broadcast: Spark broadcasts it when the size it knows (of files) or measures (of a shuffle) is
-under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise AQE splits the partitions of hot cells.
+under ``spark.sql.autoBroadcastJoinThreshold``; otherwise both sides are exchanged, so that AQE may split the partitions of hot
+cells (:func:`~cyclelake.operators.skew.matched`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import matched
+
 CELL = "cell_id"
 
 
@@ -34,7 +37,7 @@ def join_metadata(cycles: DataFrame, cells: DataFrame, columns: Sequence[str] |
     new = [c for c in new if c in cells.columns and c not in cycles.columns]
     if not new:
         return cycles
-    return cycles.join(cells.select(CELL, *new), CELL, "left")
+    return matched(cycles, cells.select(CELL, *new), CELL, "left")
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame | Sequence[int], column: str = CELL) -> DataFrame:
@@ -45,5 +48,5 @@ def semi_join_ids(df: DataFrame, ids: DataFrame | Sequence[int], column: str = C
     """
     if isinstance(ids, DataFrame):
         key = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-        return df.join(key, column, "left_semi")
+        return matched(df, key, column, "left_semi")
     return df.filter(F.col(column).isin(list(ids)))

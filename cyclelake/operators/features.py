@@ -5,15 +5,13 @@ Plan shape, whatever features are asked for:
 * **Per-cell statistics** (max, min, mean, sample std, first non-null value in cycle order, value at cycle 1,
   first test date) come from one ``groupBy("cell_id")`` with map-side partial aggregation, so a hot cell is
   combined inside every task before anything is shuffled. Exact quantiles (E6, E7, E11, E19) come from
-  :func:`~cyclelake.operators.ordering.quantiles` (range-partitioned ranks, no group in one task).
-  The per-cell tables have one row per cell and are joined back on ``cell_id``: AQE broadcasts them when the
-  measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a shuffle
-  join, whose hot-key partitions AQE's skew-join splits.
-* **Order-dependent features** (E13 ``lag``, E16-E18 row frames) and quantiles split cells by size: cells up
+  :func:`~cyclelake.operators.ordering.quantiles`. The per-cell tables have one row per cell and are joined back on
+  ``cell_id`` by :class:`~cyclelake.operators.skew.HotKeys`: a plain join (AQE broadcasts a small table) unless a cell is over
+  the threshold; hot cells' rows are then dealt to parts of about that many rows.
+* **Order-dependent features** (E13 ``lag``, E16-E18 row frames) split cells by size: cells up
   to ``hot_rows`` rows use one window over the cell (bounded partitions, one shuffle); larger cells use
   windows over ``(cell_id, chunk)`` with a halo of look-back rows
-  (:func:`~cyclelake.operators.ordering.with_chunks`) and range-partitioned ranks, so no task ever holds a
-  whole hot cell.
+  (:func:`~cyclelake.operators.ordering.with_chunks`), so no task ever holds a whole hot cell.
 
 Output schemas never depend on values (SURVEY §1): where the reference leaves a column out (reference value
 not > 0, std not > 0, no cycle 1, nothing under 80 %), the column is present and NULL.
@@ -29,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros, ratio, safe_divide
 from . import schema as S
-from .ordering import ordered_columns, q_name, quantiles
+from .ordering import hot_group_rows, ordered_columns, q_name, quantiles
+from .skew import HotKeys, hot_keys, matched
 
 CELL = "cell_id"
 CYCLE = "regular_cycle_number"
@@ -66,10 +65,14 @@ def _st(c: str, what: str) -> str:
     return f"_{c}__{what}"
 
 
-def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False, key: str = CELL) -> DataFrame:
-    """One row per cell (or per ``key``): max, min, mean, sample std, first non-null (by cycle), value at cycle 1.
+def _keys(key: str | None) -> list[str]:
+    return [key] if key else []
 
-    With the whole-table key, "first" follows (cell_id, cycle) order and the cycle-1 value is that of the
+
+def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False, key: str | None = CELL) -> DataFrame:
+    """One row per cell: max, min, mean, sample std, first non-null (by cycle), value at cycle 1.
+
+    Without ``key``, one row of the whole table: "first" follows (cell_id, cycle) order and the cycle-1 value is that of the
     lowest cell id, as in a table sorted by cell and cycle.
     """
     cyc = F.col(CYCLE) if key == CELL else F.struct(F.col(CELL), F.col(CYCLE))
@@ -88,17 +91,16 @@ def cell_stats(cycles: DataFrame, cols: Sequence[str], first_date: bool = False,
     if first_date:
         aggs.append(F.min("test_date").alias("_first_test_date"))
     aggs.append(F.count(F.lit(1)).alias("_rows"))
-    return cycles.groupBy(key).agg(*aggs)
+    return cycles.groupBy(*_keys(key)).agg(*aggs)
 
 
-def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]], key: str = CELL,
-                    hot_rows: int | None = None) -> DataFrame | None:
-    cols = sorted(wanted)
-    if not cols:
+def _quantile_table(cycles: DataFrame, wanted: dict[str, set[float]], key: str | None = CELL,
+                    hot_rows: int | None = None, largest: int | None = None) -> DataFrame | None:
+    if not wanted:
         return None
-    qs = sorted({q for v in wanted.values() for q in v})
-    qt = quantiles(cycles, [key], cols, qs, "nearest", hot_rows)
-    return qt.select(key, *[F.col(f"{c}_{q_name(q)}").alias(_st(c, q_name(q))) for c in cols for q in qs])
+    qs = {c: sorted(wanted[c]) for c in sorted(wanted)}
+    qt = quantiles(cycles, _keys(key), list(qs), qs, "nearest", hot_rows, largest)
+    return qt.select(*_keys(key), *[F.col(f"{c}_{q_name(q)}").alias(_st(c, q_name(q))) for c in qs for q in qs[c]])
 
 
 def _norm_exprs(c: str, methods: Sequence[str]) -> dict[str, Column]:
@@ -126,7 +128,7 @@ def _norm_exprs(c: str, methods: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], temps: list[str]) -> DataFrame:
+def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], temps: list[str], hot: HotKeys) -> DataFrame:
     """E13, E16, E17, E18 rolling parts, via :func:`~cyclelake.operators.ordering.ordered_columns`: a plain
     per-cell window for cells up to ``spec.hot_rows`` rows, halo-chunked windows for larger cells."""
     lookback = 1
@@ -163,16 +165,24 @@ def _ordered_features(cycles: DataFrame, spec: FeatureSpec, caps: list[str], tem
     if not build(Window.partitionBy(CELL).orderBy(CYCLE)):
         return cycles
     return ordered_columns(cycles, [CELL], CYCLE, build, lookback, hot_rows=spec.hot_rows,
-                           chunk_rows=spec.chunk_rows)
+                           chunk_rows=spec.chunk_rows, known_hot=hot.largest > hot_group_rows(cycles, spec.hot_rows))
+
 
+def _attached(rows: DataFrame, table: DataFrame, hot: HotKeys | None) -> DataFrame:
+    """``rows`` with the statistics of their cell, or (``hot`` None) those of the whole table, one row, as a scalar subquery."""
+    if hot is not None:
+        return hot.join(rows, table)
+    return rows.withColumn("_one", table.select(F.struct(*table.columns)).scalar()).select(*rows.columns, "_one.*")
 
-def _end_of_life(cycles: DataFrame, stats: DataFrame, caps: Sequence[str], key: str = CELL) -> DataFrame:
-    """Per ``key``: row count and, per column, the lowest cycle under 80 % of the cycle-1 value.
+
+def _end_of_life(cycles: DataFrame, stats: DataFrame, caps: Sequence[str], hot: HotKeys | None) -> DataFrame:
+    """Per cell, or of the whole table: row count and, per column, the lowest cycle under 80 % of the cycle-1 value.
 
     Two partial aggregates: the cycle-1 value (in ``stats``) must be known before rows can be compared with it.
     """
-    below = cycles.join(stats.select(key, *[_st(c, "c1") for c in caps]), key, "left")
-    return below.groupBy(key).agg(
+    key = [hot.key] if hot is not None else []
+    below = _attached(cycles, stats.select(*key, *[_st(c, "c1") for c in caps]), hot)
+    return below.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_cell_rows"),
         *[F.min(F.when(F.col(c) < F.lit(EOL_FRACTION) * F.col(_st(c, "c1")), F.col(CYCLE)))
           .alias(_st(c, "eol")) for c in caps],
@@ -183,26 +193,20 @@ def cycles_to_80pct(cycles: DataFrame, cols: Sequence[str] | None = None) -> Dat
     """E15 as a per-cell table ``(cell_id, {x}_cycles_to_80pct)``: no windows, two partial aggregates."""
     caps = list(cols) if cols is not None else S.capacity_columns(cycles)
     stats = cell_stats(cycles, caps)
-    eol = _end_of_life(cycles, stats, caps).join(stats.select(CELL, *[_st(c, "c1") for c in caps]), CELL)
+    eol = _end_of_life(cycles, stats, caps, hot_keys(cycles, CELL)).join(stats.select(CELL, *[_st(c, "c1") for c in caps]), CELL)
     return eol.select(CELL, *[
         F.when((F.col(_st(c, "c1")) > 0) & (F.col("_cell_rows") > 1), F.col(_st(c, "eol")))
         .alias(f"{c}_cycles_to_80pct") for c in caps])
 
 
-GLOBAL = "_whole_table"
-
-
 def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -> DataFrame:
     """Add the features chosen in ``spec`` to a cycle table keyed by (cell_id, regular_cycle_number).
 
-    ``by_cell=False`` is the whole-table variant (E20): statistics over all rows, attached through a one-row
-    table joined on a constant key (broadcast; its size is one row). Order-dependent features (fade rate,
-    rolling windows) stay per cell: a difference across two cells has no meaning.
+    ``by_cell=False`` is the whole-table variant (E20): statistics over all rows, attached as scalar subqueries of one
+    row. Order-dependent features (fade rate, rolling windows) stay per cell: a difference across two cells has no meaning.
     """
     S.require_columns(cycles, [CELL, CYCLE])
-    key = CELL if by_cell else GLOBAL
-    if not by_cell:
-        cycles = cycles.withColumn(GLOBAL, F.lit(0))
+    key = CELL if by_cell else None
     caps = S.capacity_columns(cycles)
     norms = S.normalisable_columns(cycles) if spec.normalise else []
     basics = S.basic_norm_columns(cycles) if spec.basic_norm else []
@@ -222,26 +226,25 @@ def cycle_features(cycles: DataFrame, spec: FeatureSpec, by_cell: bool = True) -
         for c in caps:
             want_q.setdefault(c, set()).update({0.25, 0.75})
 
+    hot = hot_keys(cycles, CELL, spec.hot_rows)
     base = cycles
     if spec.degrade or spec.rolling or (spec.temperature and temps):
-        base = _ordered_features(cycles, spec, caps, temps)
+        base = _ordered_features(cycles, spec, caps, temps, hot)
 
     need_date = spec.cycle and has_date and "cycle_age_days" not in cycles.columns
     # cycle age is always per cell; otherwise the first date comes with the statistics
     stats = cell_stats(cycles, stat_cols, first_date=need_date and by_cell, key=key)
     if need_date and not by_cell:
-        base = base.join(cycles.groupBy(CELL).agg(F.min("test_date").alias("_first_test_date")), CELL, "left")
-    if not by_cell:
-        stats = F.broadcast(stats)
-    joined = base.join(stats, key, "left")
-    qt = _quantile_table(cycles, want_q, key, spec.hot_rows)
+        base = hot.join(base, cycles.groupBy(CELL).agg(F.min("test_date").alias("_first_test_date")))
+    own = hot if by_cell else None
+    joined = _attached(base, stats, own)
+    qt = _quantile_table(cycles, want_q, key, spec.hot_rows, hot.largest if by_cell else None)
     if qt is not None:
-        joined = joined.join(F.broadcast(qt) if not by_cell else qt, key, "left")
+        joined = _attached(joined, qt, own)
 
     if spec.degrade and caps:
         # E15 needs the cycle-1 value before it can look for the first cycle under 80 % of it.
-        eol = _end_of_life(cycles, stats, caps, key)
-        joined = joined.join(F.broadcast(eol) if not by_cell else eol, key, "left")
+        joined = _attached(joined, _end_of_life(cycles, stats, caps, own), own)
 
     new: dict[str, Column] = {}
     if spec.cycle:
@@ -292,7 +295,7 @@ def min_cycles_filter(cycles: DataFrame, min_cycles: int = MIN_CYCLES, keep_all_
     so it only runs when ``keep_all_if_none`` is set.
     """
     counts = cycles.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_cycles)
-    kept = cycles.join(counts.select(CELL), CELL, "left_semi")
+    kept = matched(cycles, counts.select(CELL), CELL, "left_semi")
     if keep_all_if_none and kept.limit(1).count() == 0:
         return cycles
     return kept

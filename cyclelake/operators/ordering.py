@@ -15,7 +15,8 @@ one task:
   position then sees every row it needs for ``lag`` and ``rowsBetween(-lookback, 0)`` frames, and each window
   partition holds at most ``chunk_rows + lookback`` rows, however large the group.
 * :func:`quantiles` sorts the values of small groups inside one aggregate. For larger groups a mergeable sketch
-  brackets each rank, and only the values inside the bracket are counted and ranked, once per distinct value.
+  brackets each rank, and only the values inside the bracket are counted and ranked, once per distinct value; brackets that are
+  large themselves are narrowed, so that the last window is bounded whatever the group's size.
 
 No path loses rows: NULL keys form a group as in a window, NULL order values come first, and rows that tie in order
 are ordered by the hash of the whole row, so repeated runs agree and both paths give identical results.
@@ -23,7 +24,7 @@ are ordered by the hash of the whole row, so repeated runs agree and both paths
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.window import WindowSpec
@@ -52,6 +53,10 @@ GATHER_ROWS = 1 << 14
 #: The sketch's rank error is at most rows / SKETCH_ACCURACY; brackets are twice as wide.
 SKETCH_ACCURACY = 10000
 
+#: A bracket of more distinct values than this (about) is cut into ``NARROW`` pieces by another sketch, and so on.
+BRACKET_VALUES = 1 << 17
+NARROW = 256
+
 
 def hot_group_rows(df: DataFrame, value: int | None = None, default: int = HOT_GROUP_ROWS) -> int:
     """The hot-group threshold: ``value`` if given, else ``spark.cyclelake.hotGroupRows``, else the default.
@@ -74,6 +79,12 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> list[
     return [left[a].eqNullSafe(right[b]) for a, b in pairs.items()]
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest ``keys`` group: a partial aggregate, and one row comes back."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
 def group_sizes_have_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
     """Whether any ``keys`` group is over ``hot_rows``: a partial aggregate, and one row at most comes back."""
     hot_rows = hot_group_rows(df, hot_rows)
@@ -227,48 +238,71 @@ def _wanted(n: Column, q: float, method: str) -> tuple[Column, Column, Column]:
     raise ValueError(f"unknown quantile method: {method}")
 
 
-def _gathered_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str], qs: Sequence[float],
-                        method: str) -> DataFrame:
+def _gathered_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, Sequence[float]], method: str) -> DataFrame:
     """Quantiles of groups of at most ``GATHER_ROWS`` rows: one aggregate sorts each group's values."""
-    arrays = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_arr_{i}")
-              for i, c in enumerate(value_cols)]
-    grouped = df.groupBy(*keys).agg(*arrays) if keys else df.agg(*arrays)
+    arrays = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_arr_{i}") for i, c in enumerate(wanted)]
+    grouped = df.groupBy(*keys).agg(*arrays)
     finals = []
-    for i, c in enumerate(value_cols):
+    for i, (c, qs) in enumerate(wanted.items()):
         arr = F.col(f"_arr_{i}")
         n = F.size(arr).cast("long")
         for q in qs:
             low, high, share = _wanted(n, q, method)
-            a, b = (F.try_element_at(arr, F.greatest(x, F.lit(1)).cast("int")) for x in (low, high))
+            a, b = (F.try_element_at(arr, F.greatest(x, F.lit(1)).cast("int")) + F.lit(0.0) for x in (low, high))
             finals.append(F.when(n > 0, a if method == "nearest" else a + (b - a) * share).alias(f"{c}_{q_name(q)}"))
     return grouped.select(*keys, *finals)
 
 
-def _bracketed_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[str], qs: Sequence[float],
-                         method: str) -> DataFrame:
-    """Exact quantiles of groups of any size.
+def _narrowed(counts: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
+    """``counts`` (distinct values of brackets, ``_n`` and the number ``_base`` before the row's piece) without the pieces
+    that hold neither wanted place.
+
+    A sketch over a bracket's distinct values cuts it into ``NARROW`` pieces; the pieces' counts are summed in their order.
+    """
+    piece = [*keys, "_col", "_q", "_piece"]
+    ends = counts.groupBy(*piece).agg(F.percentile_approx("_x", [i / NARROW for i in range(1, NARROW)], SKETCH_ACCURACY).alias("_ends"))
+    ends = ends.select(*[F.col(c).alias(f"_e_{c}") for c in piece], "_ends")
+    cut = counts.join(ends, same_keys(counts, ends, {c: f"_e_{c}" for c in piece}))
+    # the key NULL (all values below the bracket) comes first
+    inner = F.when(F.col("_x").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_ends", lambda e: e < F.col("_x"))))
+    cut = cut.withColumn("_inner", inner).drop("_ends", *[f"_e_{c}" for c in piece])
+    sums = cut.groupBy(*piece, "_inner").agg(F.sum("_n").alias("_sum"), F.first("_base").alias("_start"), F.first("_all").alias("_all"))
+    upto = Window.partitionBy(*piece).orderBy("_inner").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
+    holds = lambda place: (F.col("_start") < place) & (F.col("_start") + F.col("_sum") >= place)
+    kept = sums.where(holds(low) | holds(high)).select(*[F.col(c).alias(f"_k_{c}") for c in (*piece, "_inner")], "_start")
+    out = cut.join(kept, same_keys(cut, kept, {c: f"_k_{c}" for c in (*piece, "_inner")}))
+    return out.select(*keys, "_col", "_q", "_x", "_n", "_all", (F.col("_piece") * (NARROW + 1) + F.col("_inner") + 1).alias("_piece"),
+                      F.col("_start").alias("_base"))
+
+
+def _bracketed_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, Sequence[float]], method: str,
+                         largest: int) -> DataFrame:
+    """Exact quantiles of groups of any size, the largest of ``largest`` rows.
 
     1. Per group and column, a mergeable sketch gives values below and above each wanted rank, and the count.
     2. One pass counts the values below each bracket and, per distinct value, those inside.
-    3. A running count over a bracket's distinct values (about 4 / ``SKETCH_ACCURACY`` of the group, or one value if
-       it is frequent) finds the ranks.
+    3. A bracket holds about 4 / ``SKETCH_ACCURACY`` of the group's distinct values (one, if that is frequent). While that may be
+       over ``BRACKET_VALUES``, a sketch cuts the bracket and the piece with the rank is kept.
+    4. A running count over the values left finds the ranks.
     """
     margin = 2.0 / SKETCH_ACCURACY
-    ends = [min(1.0, max(0.0, q + d)) for q in qs for d in (-margin, margin)]
     aggs = []
-    for i, c in enumerate(value_cols):
+    for i, (c, qs) in enumerate(wanted.items()):
+        ends = [min(1.0, max(0.0, q + d)) for q in qs for d in (-margin, margin)]
         x = F.col(c).cast("double")
         aggs += [F.percentile_approx(x, ends, SKETCH_ACCURACY).alias(f"_ends_{i}"), F.count(x).alias(f"_n_{i}")]
-    sketch = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    sketch = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(x) for i in range(len(value_cols))
-                                                                         for x in (f"_ends_{i}", f"_n_{i}")])
-    match = same_keys(df, sketch, {k: f"_k_{k}" for k in keys})
-    # without keys the sketch is one row
-    rows = df.join(sketch, match) if keys else df.join(F.broadcast(sketch), F.lit(True))
-    places = []
-    for i, c in enumerate(value_cols):
-        x = F.col(c).cast("double")
-        for j in range(len(qs)):
+    names = [x for i in range(len(wanted)) for x in (f"_ends_{i}", f"_n_{i}")]
+    if keys:
+        sketch = df.groupBy(*keys).agg(*aggs).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
+        rows = df.join(sketch, same_keys(df, sketch, {k: f"_k_{k}" for k in keys}))
+    else:
+        rows = df.withColumn("_sketch", df.agg(*aggs).select(F.struct(*names)).scalar()).select(*wanted, "_sketch.*")
+    places, order = [], {}
+    for i, (c, qs) in enumerate(wanted.items()):
+        x = F.col(c).cast("double") + F.lit(0.0)
+        for j, q in enumerate(qs):
+            order[i, j] = (c, q)
             low, high = F.get(f"_ends_{i}", F.lit(2 * j)), F.get(f"_ends_{i}", F.lit(2 * j + 1))
             # the margin must reach past the neighbouring ranks; a group too small for that is its own bracket
             whole = F.col(f"_n_{i}") * F.lit(margin) < 4
@@ -278,49 +312,68 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], value_cols: Sequence[st
                 F.col(f"_n_{i}").alias("_all"))))
     near = rows.select(*keys, F.inline(F.filter(F.array(*places), lambda p: p.isNotNull())))
     counts = near.groupBy(*keys, "_col", "_q", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
-    upto = Window.partitionBy(*keys, "_col", "_q").orderBy(F.col("_x").asc_nulls_first())
-    counts = counts.withColumn("_upto", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts.withColumns({"_piece": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")})
+
+    def place(end: int) -> Column:
+        """The wanted place of a row of ``counts``."""
+        out = None
+        for (i, j), (_, q) in order.items():
+            own, value = (F.col("_col") == i) & (F.col("_q") == j), _wanted(F.col("_all"), q, method)[end]
+            out = F.when(own, value) if out is None else out.when(own, value)
+        return out
+
+    held = largest * 2 * margin
+    if held > BRACKET_VALUES:
+        checkpoint_dir(df.sparkSession)
+        counts = counts.checkpoint(eager=False)  # read several times, and small beside the rows
+    while held > BRACKET_VALUES:
+        counts, held = _narrowed(counts, keys, place(0), place(1)), held / NARROW
+    upto = Window.partitionBy(*keys, "_col", "_q", "_piece").orderBy(F.col("_x").asc_nulls_first())
+    counts = counts.withColumn("_upto", F.col("_base") + F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     hits, finals = [], []
-    for i, c in enumerate(value_cols):
-        for j, q in enumerate(qs):
-            low, high, share = _wanted(F.col("_all"), q, method)
-            own, name = (F.col("_col") == i) & (F.col("_q") == j), f"{c}_{q_name(q)}"
-            for end, place in (("lo", low), ("hi", high)):
-                inside = own & (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
-                hits.append(F.max(F.when(inside, F.col("_x"))).alias(f"_{name}_{end}"))
-            hits.append(F.max(F.when(own, share)).alias(f"_{name}_t"))
-            a, b, t = (F.col(f"_{name}_{e}") for e in ("lo", "hi", "t"))
-            finals.append((a if method == "nearest" else a + (b - a) * t).alias(name))
-    found = counts.groupBy(*keys).agg(*hits) if keys else counts.agg(*hits)
+    for (i, j), (c, q) in order.items():
+        low, high, share = _wanted(F.col("_all"), q, method)
+        own, name = (F.col("_col") == i) & (F.col("_q") == j), f"{c}_{q_name(q)}"
+        for end, at in (("lo", low), ("hi", high)):
+            inside = own & (F.col("_upto") >= at) & (F.col("_upto") - F.col("_n") < at)
+            hits.append(F.max(F.when(inside, F.col("_x"))).alias(f"_{name}_{end}"))
+        hits.append(F.max(F.when(own, share)).alias(f"_{name}_t"))
+        a, b, t = (F.col(f"_{name}_{e}") for e in ("lo", "hi", "t"))
+        finals.append((a if method == "nearest" else a + (b - a) * t).alias(name))
+    found = counts.groupBy(*keys).agg(*hits)
     if not keys:
         return found.select(*finals)
     # groups without any value have no counts; they keep a row of NULLs
     found = found.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *finals)
     groups = df.select(*keys).distinct()
     return groups.join(found, same_keys(groups, found, {k: f"_f_{k}" for k in keys}), "left").select(
-        *keys, *[f"{c}_{q_name(q)}" for c in value_cols for q in qs])
+        *keys, *[f"{c}_{q_name(q)}" for c, q in order.values()])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs: Sequence[float],
-              method: str = "nearest", hot_rows: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str], qs: Sequence[float] | Mapping[str, Sequence[float]],
+              method: str = "nearest", hot_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """One row per group: ``{col}_{pNN}`` = exact quantile of each column over its non-null values.
 
+    ``qs``: the quantiles of all columns, or of each. ``largest``: rows of the largest group, where known (else a job asks).
     ``method="nearest"``: element ``round((n-1)q)`` (0-based) of the sorted values (nearest rank).
     ``method="linear"``: ``x[lo] + (x[hi] - x[lo]) * (h - lo)`` with ``h = (n-1)q`` (NumPy's default).
     Groups of at most ``hot_rows`` (default ``GATHER_ROWS``) rows are sorted inside one aggregate; larger ones, and
-    only those, are ranked through brackets. Groups without a non-null value of a column get NULL on either path.
+    only those, are ranked through brackets. Groups without a non-null value of a column get NULL on either path. Zeros
+    are positive.
     """
-    keys, qs = list(keys), list(qs)
+    keys = list(keys)
+    wanted = {c: list(qs[c] if isinstance(qs, Mapping) else qs) for c in value_cols}
     hot_rows = hot_group_rows(df, hot_rows, GATHER_ROWS)
-    if not group_sizes_have_hot(df, keys, hot_rows):
-        return _gathered_quantiles(df, keys, value_cols, qs, method)
+    largest = largest_group(df, keys) if largest is None else largest
+    if largest <= hot_rows:
+        return _gathered_quantiles(df, keys, wanted, method)
     if not keys or hot_rows <= 0:
-        return _bracketed_quantiles(df, keys, value_cols, qs, method)
+        return _bracketed_quantiles(df, keys, wanted, method, largest)
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     big = big.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     same = same_keys(df, big, {k: f"_hot_{k}" for k in keys})
-    return _gathered_quantiles(df.join(big, same, "left_anti"), keys, value_cols, qs, method).unionByName(
-        _bracketed_quantiles(df.join(big, same, "left_semi"), keys, value_cols, qs, method))
+    return _gathered_quantiles(df.join(big, same, "left_anti"), keys, wanted, method).unionByName(
+        _bracketed_quantiles(df.join(big, same, "left_semi"), keys, wanted, method, largest))
 
 
 def nearest_rank_quantiles(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],

@@ -261,7 +261,8 @@ _IQR3 = nearest_quantiles_cte("q", "cycles", CAPS, [0.25, 0.75]) + """
 """
 
 
-@register("outliers_iqr3_per_cell", _IQR3 + "SELECT * FROM flagged")
+@register("outliers_iqr3_per_cell", _IQR3 + "SELECT cell_id, regular_cycle_number, charge_capacity, discharge_capacity, "
+          "charge_capacity_outlier, discharge_capacity_outlier FROM flagged")
 def outliers_iqr3_per_cell(spark, sf):
     df = _features(spark, sf, FT.FeatureSpec(outliers=True))
     return _select(df, CAPS, [f"{c}_outlier" for c in CAPS])
