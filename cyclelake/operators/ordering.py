@@ -25,6 +25,7 @@ are ordered by the hash of the whole row, so repeated runs agree and both paths
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.window import WindowSpec
@@ -263,16 +264,14 @@ def _narrowed(counts: DataFrame, keys: list[str], low: Column, high: Column) ->
     ends = counts.groupBy(*piece).agg(F.percentile_approx("_x", [i / NARROW for i in range(1, NARROW)], SKETCH_ACCURACY).alias("_ends"))
     ends = ends.select(*[F.col(c).alias(f"_e_{c}") for c in piece], "_ends")
     cut = counts.join(ends, same_keys(counts, ends, {c: f"_e_{c}" for c in piece}))
-    # the key NULL (all values below the bracket) comes first
-    inner = F.when(F.col("_x").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_ends", lambda e: e < F.col("_x"))))
-    cut = cut.withColumn("_inner", inner).drop("_ends", *[f"_e_{c}" for c in piece])
+    cut = cut.withColumn("_inner", F.size(F.filter("_ends", lambda e: e < F.col("_x")))).drop("_ends", *[f"_e_{c}" for c in piece])
     sums = cut.groupBy(*piece, "_inner").agg(F.sum("_n").alias("_sum"), F.first("_base").alias("_start"), F.first("_all").alias("_all"))
     upto = Window.partitionBy(*piece).orderBy("_inner").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     holds = lambda place: (F.col("_start") < place) & (F.col("_start") + F.col("_sum") >= place)
     kept = sums.where(holds(low) | holds(high)).select(*[F.col(c).alias(f"_k_{c}") for c in (*piece, "_inner")], "_start")
     out = cut.join(kept, same_keys(cut, kept, {c: f"_k_{c}" for c in (*piece, "_inner")}))
-    return out.select(*keys, "_col", "_q", "_x", "_n", "_all", (F.col("_piece") * (NARROW + 1) + F.col("_inner") + 1).alias("_piece"),
+    return out.select(*keys, "_col", "_q", "_x", "_n", "_all", (F.col("_piece") * NARROW + F.col("_inner")).alias("_piece"),
                       F.col("_start").alias("_base"))
 
 
@@ -281,7 +280,7 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, Se
     """Exact quantiles of groups of any size, the largest of ``largest`` rows.
 
     1. Per group and column, a mergeable sketch gives values below and above each wanted rank, and the count.
-    2. One pass counts the values below each bracket and, per distinct value, those inside.
+    2. One pass counts the values below each bracket, another those inside, per distinct value.
     3. A bracket holds about 4 / ``SKETCH_ACCURACY`` of the group's distinct values (one, if that is frequent). While that may be
        over ``BRACKET_VALUES``, a sketch cuts the bracket and the piece with the rank is kept.
     4. A running count over the values left finds the ranks.
@@ -298,7 +297,7 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, Se
         rows = df.join(sketch, same_keys(df, sketch, {k: f"_k_{k}" for k in keys}))
     else:
         rows = df.withColumn("_sketch", df.agg(*aggs).select(F.struct(*names)).scalar()).select(*wanted, "_sketch.*")
-    places, order = [], {}
+    places, below, order = [], [], {}
     for i, (c, qs) in enumerate(wanted.items()):
         x = F.col(c).cast("double") + F.lit(0.0)
         for j, q in enumerate(qs):
@@ -306,13 +305,20 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, Se
             low, high = F.get(f"_ends_{i}", F.lit(2 * j)), F.get(f"_ends_{i}", F.lit(2 * j + 1))
             # the margin must reach past the neighbouring ranks; a group too small for that is its own bracket
             whole = F.col(f"_n_{i}") * F.lit(margin) < 4
-            # a value below the bracket counts under the key NULL
-            places.append(F.when(x.isNotNull() & (whole | (x <= high)), F.struct(
-                F.lit(i).alias("_col"), F.lit(j).alias("_q"), F.when(whole | (x >= low), x).alias("_x"),
-                F.col(f"_n_{i}").alias("_all"))))
-    near = rows.select(*keys, F.inline(F.filter(F.array(*places), lambda p: p.isNotNull())))
+            below.append(F.count_if(~whole & (x < low)).alias(f"_below_{i}_{j}"))
+            places.append((x.isNotNull() & (whole | ((x >= low) & (x <= high))), F.struct(
+                F.lit(i).alias("_col"), F.lit(j).alias("_q"), x.alias("_x"), F.col(f"_n_{i}").alias("_all"))))
+    some = reduce(lambda a, b: a | b, [inside for inside, _ in places])
+    near = rows.where(some).select(*keys, F.inline(F.filter(F.array(*[F.when(*p) for p in places]), lambda p: p.isNotNull())))
     counts = near.groupBy(*keys, "_col", "_q", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
-    counts = counts.withColumns({"_piece": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")})
+    ahead = rows.groupBy(*keys).agg(*below)
+    if keys:
+        ahead = ahead.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[f"_below_{i}_{j}" for i, j in order])
+        counts = counts.join(ahead, same_keys(counts, ahead, {k: f"_b_{k}" for k in keys}))
+    else:
+        counts = counts.withColumn("_ahead", ahead.select(F.struct("*")).scalar()).select(*counts.columns, "_ahead.*")
+    base = F.coalesce(*[F.when((F.col("_col") == i) & (F.col("_q") == j), F.col(f"_below_{i}_{j}")) for i, j in order])
+    counts = counts.select(*keys, "_col", "_q", "_x", "_n", "_all", F.lit(0).cast("long").alias("_piece"), base.alias("_base"))
 
     def place(end: int) -> Column:
         """The wanted place of a row of ``counts``."""
@@ -328,7 +334,7 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, Se
         counts = counts.checkpoint(eager=False)  # read several times, and small beside the rows
     while held > BRACKET_VALUES:
         counts, held = _narrowed(counts, keys, place(0), place(1)), held / NARROW
-    upto = Window.partitionBy(*keys, "_col", "_q", "_piece").orderBy(F.col("_x").asc_nulls_first())
+    upto = Window.partitionBy(*keys, "_col", "_q", "_piece").orderBy("_x")
     counts = counts.withColumn("_upto", F.col("_base") + F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     hits, finals = [], []
     for (i, j), (c, q) in order.items():
