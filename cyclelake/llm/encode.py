@@ -6,9 +6,10 @@ Both supported kinds of vocabulary cut text at white space, so a text is encoded
   a token border, and the space leads the next piece;
 * ``word`` (BPE with word ends, white space dropped): any white space is a border.
 
-Arrow splits and numbers the pieces of a slice of texts, the distinct ones are cut into the vocabulary's words by
-its pattern, the library's model encodes each unseen word once, and numpy gathers the ids. The table of words is
-emptied at ``max_tokens`` entries, which bounds a worker's memory.
+Arrow splits and numbers the pieces of a slice of texts. Pieces of ASCII letters, with or without a mark of punctuation, are looked
+up in an Arrow table of words; the others are cut into the vocabulary's words by its pattern and looked up in a dictionary. The
+library's model encodes each unseen word once, and numpy gathers the ids. Both tables are emptied at a number of entries,
+which bounds a worker's memory.
 Tests hold every path against the library's own ``encode``.
 """
 
@@ -35,6 +36,7 @@ MARK, MARK_ID = "\ue000", 0xFFFFFFFF
 _RUN = f"[{_WHITE_RE2}] "
 _CUT = re.compile(f"(?<![{WHITE}]) ")
 LONG_TEXT = 4 << 20
+MARKS = ".,;:!?"
 
 
 def byte_letters() -> list[str]:
@@ -45,8 +47,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class _Words:
+    """Ids of words as Arrow and numpy columns: a word's ids begin at ``start`` in ``flat``."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.string())
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, words: pa.Array, ids: list[bytes]) -> None:
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.words = pa.concat_arrays([self.words, words])
+
+
 class PieceEncoder:
-    def __init__(self, path: str, kind: str, max_tokens: int = 800_000):
+    def __init__(self, path: str, kind: str, max_tokens: int = 400_000, max_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,7 +72,8 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.kind, self.max_tokens = kind, max_tokens
+        self.kind, self.max_tokens, self.max_words = kind, max_tokens, max_words
+        self.words: dict[str, _Words] = {}
         self.special = [x["content"] for x in config["added_tokens"]]
         self.model, self.normalizer = self.library.model, self.library.normalizer
         pattern = BYTE_PATTERN if kind == "byte" else config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -79,11 +97,38 @@ class PieceEncoder:
         got = self.tokens[token] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
         return got
 
-    def _learn_plain(self, token: str) -> bytes:
-        """The same for a word of ASCII letters, or a space and such letters."""
-        spelt = self.letters[32] + token[1:] if token[0] == " " else token
-        got = self.tokens[token] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
-        return got
+    def _tokenize_plain(self, word: str, lead: str) -> bytes:
+        """Ids of a word of ASCII letters."""
+        return array("I", [x.id for x in self.model.tokenize(self.letters[32] + word if lead else word)]).tobytes()
+
+    def _plain_table(self, pieces: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece of letters (and a mark) has, and the ids of all pieces, one after the other."""
+        pieces = pc.ascii_lower(pieces) if self.kind == "word" else pieces
+        stems = pc.utf8_rtrim(pieces, MARKS)
+        known = self.words.setdefault(lead, _Words())
+        if len(known.words) > self.max_words:
+            known = self.words[lead] = _Words()
+        place = pc.index_in(stems, value_set=known.words)
+        unseen = place.is_null().to_numpy(zero_copy_only=False)
+        slot = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if unseen.any():
+            new = stems.filter(pa.array(unseen)).dictionary_encode()
+            slot[unseen] = len(known.words) + new.indices.to_numpy(zero_copy_only=False)
+            known.add(new.dictionary, [self._tokenize_plain(x, lead) for x in new.dictionary.to_pylist()])
+        marks = [np.frombuffer(self.tokens.get(x) or self._learn(x), "<u4") for x in MARKS]
+        mark = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), value_set=pa.array(list(MARKS)))
+        mark = mark.fill_null(-1).to_numpy(zero_copy_only=False)
+        stem = known.length[slot]
+        length = stem + np.array([*map(len, marks), 0])[mark]
+        ends = np.cumsum(length)
+        out = np.empty(int(length.sum()), np.uint32)
+        begin, told = ends - length, np.cumsum(stem) - stem
+        step = np.arange(stem.sum())
+        out[np.repeat(begin - told, stem) + step] = known.flat[np.repeat(known.start[slot] - told, stem) + step]
+        for i, ids in enumerate(marks):
+            at = begin[mark == i] + stem[mark == i]
+            out[at[:, None] + np.arange(len(ids))] = ids
+        return length, out
 
     def _table(self, pieces: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each piece's ids begin in a flat table, how many they are, and the table."""
@@ -91,17 +136,10 @@ class PieceEncoder:
             self.tokens = {MARK: self.tokens[MARK]}
         begin, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         # pieces of ASCII letters are one word each, and a mark of punctuation after them is another
-        plain = pc.match_substring_regex(pieces, "^[A-Za-z]+[.,;:!?]?$").to_numpy(zero_copy_only=False)
-        own = pieces.filter(pa.array(plain))
-        own = pc.ascii_lower(own) if self.kind == "word" else own
-        own = pc.binary_join_element_wise(lead, own, "") if lead else own
-        get, learn, learn_plain = self.tokens.get, self._learn, self._learn_plain
-        ends = {x: get(x) or learn(x) for x in ".,;:!?"}
-        last = [ends.get(x, b"") for x in pc.utf8_slice_codeunits(own, -1).to_pylist()]
-        ids = [(get(x) or learn_plain(x)) + y for x, y in zip(pc.utf8_rtrim(own, ".,;:!?").to_pylist(), last)]
-        length[plain] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        plain = pc.match_substring_regex(pieces, f"^[A-Za-z]+[{MARKS}]?$").to_numpy(zero_copy_only=False)
+        length[plain], flat = self._plain_table(pieces.filter(pa.array(plain)), lead)
         begin[plain] = np.cumsum(length[plain]) - length[plain]
-        tables = [np.frombuffer(b"".join(ids), "<u4")]
+        tables, get, learn = [flat], self.tokens.get, self._learn
         # the others are cut by the pattern, all in one text with marks between them
         odd = self._odd(pieces)
         mixed = ~(plain | odd)

@@ -112,7 +112,7 @@ def write(df: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, id_c
     ship(df.sparkSession)
     kept = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     # rows of one id (or of none) are dealt by how their texts begin, which keeps the order
-    ordered = kept.repartitionByRange("_id", F.substring("_text", 1, 64)).sortWithinPartitions("_id", "_text")
+    ordered = kept.repartitionByRange("_id", F.substring("_text", 1, 16)).sortWithinPartitions("_id", "_text")
     kind_of_id = df.schema[id_col].dataType.simpleString()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
