@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cellrules
 from ..operators import quality as Q
 from ..operators import sequence as SEQ
 from ..operators import summary as SM
@@ -295,3 +296,20 @@ def custom_rule(spark, sf):
         Q.custom("x", lambda df: 42, name="bad_return"),
     ]
     return _results(Q.validate(fx.cycles(spark, sf), rules))
+
+
+_BIN = "least(greatest(floor(discharge_capacity / 5), 0), 9)"
+
+
+@register("cell_variety_rule", f"""
+, bins AS (SELECT cell_id, {_BIN} AS bin, count(*) AS n FROM cycles WHERE discharge_capacity IS NOT NULL GROUP BY cell_id, bin)
+, totals AS (SELECT cell_id, sum(n) AS total FROM bins GROUP BY cell_id)
+, verdicts AS (SELECT cell_id, -sum(n / total * log2(n / total)) AS entropy, max(total) AS total, count(*) AS bins
+  FROM bins JOIN totals USING (cell_id) GROUP BY cell_id)
+SELECT cell_id, 'value_variety' AS rule, coalesce(entropy >= 2.47, false) AS is_valid,
+  concat(CAST(coalesce(total, 0) AS BIGINT), ' values in ', coalesce(bins, 0), ' bins') AS details
+FROM (SELECT DISTINCT cell_id FROM cycles) c LEFT JOIN verdicts USING (cell_id)
+""")
+def cell_variety_rule(spark, sf):
+    """K1 (b): a per-cell rule in Python, as mergeable states: the entropy of each cell's capacity histogram."""
+    return cellrules.check_cells(fx.cycles(spark, sf), cellrules.variety_rule("discharge_capacity", 5.0, 10, 2.47))
