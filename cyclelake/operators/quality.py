@@ -163,81 +163,81 @@ def _compile(comp: _Compiler, rule: Rule) -> dict:
     exists = c in df.columns
     if rule.kind == "required":
         return _result(F.lit(exists), F.lit(0 if exists else 1), F.lit(0),
-                       F.lit("Column present" if exists else f"Required column '{c}' is missing"))
+                       F.lit("in the schema" if exists else f"no column {c}"))
     if rule.kind == "type":
         ok = exists and isinstance(df.schema[c].dataType, tuple(type(t) for t in rule.params["types"]))
         return _result(F.lit(ok), F.lit(0 if ok else 1), F.lit(0),
-                       F.lit("Type ok" if ok else (f"Column '{c}' has the wrong type" if exists
-                                                   else "Column does not exist")))
+                       F.lit("type matches" if ok else (f"{c} is {comp.df.schema[c].dataType.simpleString()}" if exists
+                                                         else f"no column {c}")))
     if rule.kind == "range":
         if not exists:
-            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit("Column does not exist"))
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"no column {c}"))
         if not S.is_numeric(df, c):  # the reference's comparison would raise: a raising rule fails
-            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Column '{c}' is not numeric"))
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"{c} holds no numbers"))
         x = F.col(c)
         lo, hi = rule.params.get("min"), rule.params.get("max")
         below = comp.count_if(x < lo) if lo is not None else F.lit(0)
         above = comp.count_if(x > hi) if hi is not None else F.lit(0)
         bounds = F.when(below > 0, 1).otherwise(0) + F.when(above > 0, 1).otherwise(0)
-        text = F.concat_ws("; ", F.when(below > 0, F.format_string(f"%d values below {lo}", below)),
-                           F.when(above > 0, F.format_string(f"%d values above {hi}", above)))
+        text = F.concat_ws("; ", F.when(below > 0, F.format_string(f"%d rows < {lo}", below)),
+                           F.when(above > 0, F.format_string(f"%d rows > {hi}", above)))
         nonnull = comp.count_if(x.isNotNull())
         return _result(bounds == 0, bounds, below + above,
-                       F.when(nonnull == 0, F.lit("No non-null values to validate"))
-                       .when(bounds == 0, F.lit("All values in range")).otherwise(text))
+                       F.when(nonnull == 0, F.lit("column holds only NULLs"))
+                       .when(bounds == 0, F.lit("0 rows out of range")).otherwise(text))
     if rule.kind == "pattern":
         if not exists:
-            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit("Column does not exist"))
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"no column {c}"))
         s = F.col(c).cast("string")
         bad = comp.count_if(~s.rlike(rule.params["pattern"]))
         total = comp.agg(F.count(F.lit(1)))
-        return _result(bad == 0, bad, bad, F.format_string("Pattern matches: %d/%d", total - bad, total))
+        return _result(bad == 0, bad, bad, F.format_string("%d of %d rows match", total - bad, total))
     if rule.kind == "custom":
         try:
             pred = rule.func(df)
         except Exception as e:  # a rule that raises counts as failed (I14)
-            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Custom validation failed: {e}"))
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"rule raised {type(e).__name__}: {e}"))
         if not isinstance(pred, Column):
             return _result(F.lit(False), F.lit(0), F.lit(0),
-                           F.lit(f"Invalid custom function return type: {type(pred).__name__}"))
+                           F.lit(f"rule must return a Column, got {type(pred).__name__}"))
         try:  # an aggregate predicate goes in as is; a row predicate is counted
             df.agg(pred.alias("_probe")).schema
             value = comp.agg(pred)
             return _result(F.coalesce(value, F.lit(False)), F.when(value, 0).otherwise(1), F.lit(0),
-                           F.lit("Custom validation result"))
+                           F.lit("aggregate predicate"))
         except Exception:
             pass
         try:  # a row predicate must at least resolve against the frame
             df.select(pred.alias("_probe")).schema
         except Exception as e:
-            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Custom validation failed: {e}"))
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"rule raised {type(e).__name__}: {e}"))
         bad = comp.count_if(~F.coalesce(pred, F.lit(False)))
         return _result(bad == 0, bad, bad, F.format_string("%d rows fail the rule", bad))
     if rule.kind == "unique":
         if not exists:
-            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"Column {c} not found"))
+            return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"no column {c}"))
         dup = comp.agg(F.count(c)) - comp.agg(F.count_distinct(c))
         return _result(dup == 0, dup, dup,
-                       F.when(dup == 0, F.lit("All IDs are unique")).otherwise(
-                           F.format_string("%d duplicate IDs found", dup)))
+                       F.when(dup == 0, F.lit("0 repeated ids")).otherwise(
+                           F.format_string("%d repeated ids", dup)))
     if rule.kind in ("capacity", "energy", "voltage", "temperature", "efficiency"):
         return _column_family(comp, rule)
     if rule.kind == "cycle_numbers":
         if not exists:
-            return _result(F.lit(True), F.lit(0), F.lit(0), F.lit(f"Column {c} not found"))
+            return _result(F.lit(True), F.lit(0), F.lit(0), F.lit(f"no column {c}"))
         nonpos = comp.count_if(F.col(c) <= 0)
         jumps = comp.seq_value(c, "cells_with_jumps")
         n = F.when(nonpos > 0, 1).otherwise(0) + jumps
-        text = F.concat_ws("; ", F.when(nonpos > 0, F.format_string("%d non-positive cycle numbers", nonpos)),
-                           F.when(jumps > 0, F.format_string("%d cells with large cycle number gaps", jumps)))
-        return _result(n == 0, n, nonpos, F.when(n == 0, F.lit("Cycle numbers look valid")).otherwise(text))
+        text = F.concat_ws("; ", F.when(nonpos > 0, F.format_string("%d rows numbered below 1", nonpos)),
+                           F.when(jumps > 0, F.format_string("%d cells jump ahead", jumps)))
+        return _result(n == 0, n, nonpos, F.when(n == 0, F.lit("0 odd cycle numbers")).otherwise(text))
     if rule.kind == "sequence":
         if not exists or "cell_id" not in df.columns:
-            return _result(F.lit(True), F.lit(0), F.lit(0), F.lit("Required columns not found"))
+            return _result(F.lit(True), F.lit(0), F.lit(0), F.lit("no cell or cycle column"))
         cells = comp.seq_value(c, "cells_with_gaps")
         missing = comp.seq_value(c, "missing_numbers")
         return _result(cells == 0, cells, missing,
-                       F.when(cells == 0, F.lit("Cycle sequences look good")).otherwise(
+                       F.when(cells == 0, F.lit("0 missing cycle numbers")).otherwise(
                            F.format_string("%d cells miss %d cycle numbers", cells, missing)))
     raise ValueError(f"Unknown validation type: {rule.kind}")
 
@@ -261,23 +261,23 @@ def _column_family(comp: _Compiler, rule: Rule) -> dict:
             issues.append((n, (n > 0) if extra is None else ((n > 0) & extra(n)), f"{c}: %d {text}"))
 
         if kind == "capacity":
-            add(x < 0, "negative values")
-            add(x > CAPACITY_MAX, f"unreasonably large values (>{CAPACITY_MAX:g})")
-            add(x == 0, "zero values", lambda n, nn=nonnull: n > nn * F.lit(CAPACITY_ZERO_SHARE))
+            add(x < 0, "rows < 0")
+            add(x > CAPACITY_MAX, f"rows > {CAPACITY_MAX:g}")
+            add(x == 0, "rows = 0", lambda n, nn=nonnull: n > nn * F.lit(CAPACITY_ZERO_SHARE))
         elif kind == "energy":
-            add(x < 0, "negative values")
-            add(x > ENERGY_MAX, f"unreasonably large values (>{ENERGY_MAX:g})")
+            add(x < 0, "rows < 0")
+            add(x > ENERGY_MAX, f"rows > {ENERGY_MAX:g}")
         elif kind == "voltage":
-            add(x < VOLTAGE_RANGE[0], f"values below {VOLTAGE_RANGE[0]}V")
-            add(x > VOLTAGE_RANGE[1], f"values above {VOLTAGE_RANGE[1]}V")
+            add(x < VOLTAGE_RANGE[0], f"rows < {VOLTAGE_RANGE[0]} V")
+            add(x > VOLTAGE_RANGE[1], f"rows > {VOLTAGE_RANGE[1]} V")
         elif kind == "temperature":
-            add(x < TEMPERATURE_RANGE[0], f"values below {TEMPERATURE_RANGE[0]}°C")
-            add(x > TEMPERATURE_RANGE[1], f"values above {TEMPERATURE_RANGE[1]}°C")
+            add(x < TEMPERATURE_RANGE[0], f"rows < {TEMPERATURE_RANGE[0]} °C")
+            add(x > TEMPERATURE_RANGE[1], f"rows > {TEMPERATURE_RANGE[1]} °C")
         else:
-            add(x < EFFICIENCY_RANGE[0], "negative efficiency values")
-            add(x > EFFICIENCY_RANGE[1], f"efficiency values > {EFFICIENCY_RANGE[1]}")
-            add(x == 1.0, "values exactly 1.0", lambda n, nn=nonnull: n > nn * F.lit(EFFICIENCY_ONE_SHARE))
-    return _issue_rule(comp, issues, f"No {kind} columns found")
+            add(x < EFFICIENCY_RANGE[0], "rows < 0")
+            add(x > EFFICIENCY_RANGE[1], f"rows > {EFFICIENCY_RANGE[1]}")
+            add(x == 1.0, "rows = 1", lambda n, nn=nonnull: n > nn * F.lit(EFFICIENCY_ONE_SHARE))
+    return _issue_rule(comp, issues, f"no {kind} column")
 
 
 RESULT_SCHEMA = ("rule_id", "rule_name", "column_name", "rule_type", "severity", "passed", "error_count",

@@ -65,10 +65,10 @@ def test_snake_case_and_collisions(spark):
         S.normalise_column_names(df)
 
 
-def test_check_schema(spark):
+def test_schema_report(spark):
     df = spark.createDataFrame([], "cell_id long")
-    res = S.check_schema(df, ["cell_id", "cell_name"])
-    assert not res["valid"] and len(res["errors"]) == 2
+    res = S.schema_report(df, ["cell_id", "cell_name"]).first()
+    assert not res["valid"] and res["errors"] == ["missing required columns: cell_name", "no rows"] and res["rows"] == 0
 
 
 def test_query_result_document(spark, tmp_path):
