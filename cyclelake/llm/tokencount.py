@@ -43,6 +43,8 @@ CLASSES = 15
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, LEAD, ONE_MORE, TWO_MORE = range(8)
 STATES = 8
 CHUNK, LANE, MAX_CELLS = 256, 192, 1 << 25
+#: Pairs of tokens whose merging is remembered.
+MAX_FITS = 1 << 18
 
 
 def class_table() -> np.ndarray:
@@ -148,11 +150,14 @@ class MergeTransducer:
     def may_follow(self, before: int, token: int) -> bool:
         got = self.fits.get((before, token))
         if got is None:
+            if len(self.fits) >= MAX_FITS:
+                self.fits = {}
             a, b = self.spelling[before], self.spelling[token]
             got = self.fits[before, token] = self.merged(a + b) == [a, b]
         return got
 
     def clear(self) -> None:
+        self.fits = {}
         root = ((0, -1, 0),)
         self.state_of, self.states = {root: 0}, [root]
         self.column, self.bytes = np.full(256, -1, np.int64), []  # bytes met so far have a column each

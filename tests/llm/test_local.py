@@ -52,6 +52,16 @@ def test_token_counter_equals_library():
     assert counter.count(texts).tolist() == want
 
 
+def test_remembered_pairs_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokencount, "MAX_FITS", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library, texts = tokencount.TokenCounter(path), PieceEncoder(path, "byte").library, weird(300)
+    assert counter.count(texts).tolist() == [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert 0 < len(counter.merge.fits) <= 50
+    counter.merge.clear()
+    assert not counter.merge.fits
+
+
 def test_state_maps_compose_in_order():
     rng = np.random.default_rng(1)
     maps = rng.integers(0, 5, (13, 5))
