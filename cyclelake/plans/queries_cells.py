@@ -148,7 +148,7 @@ def cells_result_documents(spark, sf):
     """A1 (+ A7 as JSON): the cell list written as saved-query result documents (one per partition), read
     back through the envelope reader with an explicit row schema."""
     cells = fx.cells_rollup(spark, sf).select(*CELL_COLS)
-    path = written_once(spark, "cell_documents", sf, lambda p: TB.write_query_result(cells, p))
+    path = written_once(spark, "cell_documents", fx.input_key(spark, sf), lambda p: TB.write_query_result(cells, p))
     return rounded(TB.read_query_result(spark, path, cells.schema, multi_line=False))
 
 
@@ -158,6 +158,6 @@ FROM cycles""")
 def cycles_export_partitioned(spark, sf):
     """Cycles exported as parquet partitioned by test year, read back whole."""
     by_year = fx.cycles(spark, sf).withColumn("test_year", F.year("test_date"))
-    path = written_once(spark, "cycles_by_year", sf,
+    path = written_once(spark, "cycles_by_year", fx.input_key(spark, sf),
                         lambda p: TB.write_table(by_year, p, partition_by=["test_year"], mode="overwrite"))
     return rounded(TB.read_table(spark, path).select(*CYCLE_COLS, "test_year"))

@@ -52,7 +52,7 @@ CYCLE_COLUMNS = [
 ]
 
 
-def _input_key(spark: SparkSession, sf_dir: str) -> str:
+def input_key(spark: SparkSession, sf_dir: str) -> str:
     """Names the input files, so that a derived table is built anew when files are added under the same path."""
     names = [n for t in ("lineitem", "part") for n in spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles()]
     return f"{sf_dir}:{zlib.crc32(chr(0).join(sorted(names)).encode())}"
@@ -66,7 +66,7 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
             pos_col="regular_cycle_number", count_col=None,
         ).select(*CYCLE_COLUMNS)
 
-    return materialise(spark, "cycles", _input_key(spark, sf_dir), build)
+    return materialise(spark, "cycles", input_key(spark, sf_dir), build)
 
 
 def cycles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def cycles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .withColumn("regular_cycle_number", day)
                 .select(*CYCLE_COLUMNS, "cycle_index"))
 
-    return materialise(spark, "cycles_by_day", _input_key(spark, sf_dir), build)
+    return materialise(spark, "cycles_by_day", input_key(spark, sf_dir), build)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def cells_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).drop("_first_capacity")
         return cells(spark, sf_dir).join(roll, "cell_id", "left")
 
-    return materialise(spark, "cells_rollup", _input_key(spark, sf_dir), build)
+    return materialise(spark, "cells_rollup", input_key(spark, sf_dir), build)
 
 
 # DuckDB text of the same tables, put in front of every oracle query.

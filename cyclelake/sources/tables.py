@@ -63,9 +63,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return reader.load(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str = CELL,
-              lower: int = 0, upper: int = 1, partitions: int = 64, properties: dict | None = None) -> DataFrame:
-    """A2: a database table read in ``partitions`` parallel ranges of ``partition_column``."""
+def read_jdbc(spark: SparkSession, url: str, table: str, lower: int, upper: int, partition_column: str = CELL,
+              partitions: int = 64, properties: dict | None = None) -> DataFrame:
+    """A2: a database table read in ``partitions`` parallel ranges of ``partition_column``.
+
+    ``lower`` and ``upper`` are about its least and largest value: they set the ranges, and rows outside them fall in the first
+    and last. (Untested here: it needs a database.)
+    """
     return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
                            numPartitions=partitions, properties=properties or {})
 
