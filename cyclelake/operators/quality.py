@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,11 +121,14 @@ class _Compiler:
     def __init__(self, df: DataFrame):
         self.df = df
         self.aggs: dict[str, Column] = {"__rows": F.count(F.lit(1))}
+        self.apart: set[str] = set()  # aggregates that can't be observed metrics
         self.seq: dict[str, Column] = {}
 
-    def agg(self, expr: Column) -> Column:
+    def agg(self, expr: Column, observable: bool = True) -> Column:
         name = f"__a{len(self.aggs)}"
         self.aggs[name] = expr
+        if not observable:
+            self.apart.add(name)
         return F.col(name)
 
     def count_if(self, pred: Column) -> Column:
@@ -202,7 +205,7 @@ def _compile(comp: _Compiler, rule: Rule) -> dict:
                            F.lit(f"rule must return a Column, got {type(pred).__name__}"))
         try:  # an aggregate predicate goes in as is; a row predicate is counted
             df.agg(pred.alias("_probe")).schema
-            value = comp.agg(pred)
+            value = comp.agg(pred, observable=False)  # it may be a distinct one
             return _result(F.coalesce(value, F.lit(False)), F.when(value, 0).otherwise(1), F.lit(0),
                            F.lit("aggregate predicate"))
         except Exception:
@@ -216,7 +219,7 @@ def _compile(comp: _Compiler, rule: Rule) -> dict:
     if rule.kind == "unique":
         if not exists:
             return _result(F.lit(False), F.lit(0), F.lit(0), F.lit(f"no column {c}"))
-        dup = comp.agg(F.count(c)) - comp.agg(F.count_distinct(c))
+        dup = comp.agg(F.count(c)) - comp.agg(F.count_distinct(c), observable=False)
         return _result(dup == 0, dup, dup,
                        F.when(dup == 0, F.lit("0 repeated ids")).otherwise(
                            F.format_string("%d repeated ids", dup)))
@@ -284,11 +287,13 @@ RESULT_SCHEMA = ("rule_id", "rule_name", "column_name", "rule_type", "severity",
                  "failed_rows", "details")
 
 
-def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per rule. An empty frame gives no rows (its report scores 1.0)."""
+def _compiled(df: DataFrame, rules: Sequence[Rule]) -> tuple[_Compiler, list[tuple[int, Rule, dict]]]:
     comp = _Compiler(df)
-    compiled = [(i, r, _compile(comp, r)) for i, r in enumerate(rules)]
-    wide = df.agg(*[e.alias(n) for n, e in comp.aggs.items()])
+    return comp, [(i, r, _compile(comp, r)) for i, r in enumerate(rules)]
+
+
+def _rule_rows(wide: DataFrame, compiled: list[tuple[int, Rule, dict]]) -> DataFrame:
+    """The row of aggregates as one row per rule; none for an empty frame."""
     structs = [F.struct(F.lit(i).alias("rule_id"), F.lit(r.name).alias("rule_name"),
                         F.lit(r.column).alias("column_name"), F.lit(r.kind).alias("rule_type"),
                         F.lit(r.severity).alias("severity"), res["passed"].alias("passed"),
@@ -298,6 +303,32 @@ def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return wide.filter(F.col("__rows") > 0).select(F.inline(F.array(*structs)))
 
 
+def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per rule. An empty frame gives no rows (its report scores 1.0)."""
+    comp, compiled = _compiled(df, rules)
+    return _rule_rows(df.agg(*[e.alias(n) for n, e in comp.aggs.items()]), compiled)
+
+
+def validate_while_writing(df: DataFrame, rules: Sequence[Rule], path: str) -> DataFrame:
+    """Write ``df`` to ``path`` (parquet) and return what :func:`validate` says of it, without reading it again.
+
+    The rules' aggregates are observed metrics of the write. Only what a metric can't be is taken from the written table:
+    distinct counts and custom aggregate predicates in one pass, cycle-number sequences in a pass over cell and number.
+    """
+    first, _ = _compiled(df, rules)
+    metrics = Observation()
+    df.observe(metrics, *[e.alias(n) for n, e in first.aggs.items() if n not in first.apart]).write.parquet(path)
+    seen = metrics.get
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if "__rows" not in seen:  # an empty input may leave no metrics
+        return validate(back, rules)
+    comp, compiled = _compiled(back, rules)
+    apart = [e.alias(n) for n, e in comp.aggs.items() if n in comp.apart]
+    wide = back.agg(*apart) if apart else df.sparkSession.range(1).select()
+    types = df.agg(*[e.alias(n) for n, e in first.aggs.items()]).schema
+    return _rule_rows(wide.select("*", *[F.lit(v).cast(types[n].dataType).alias(n) for n, v in seen.items()]), compiled)
+
+
 def report(results: DataFrame) -> DataFrame:
     """Counts, quality score = max(0, 1 − (errors + 0.5·warnings) ÷ rules), validity, critical failures."""
     failed = ~F.col("passed")

@@ -63,4 +63,4 @@ def portable_rounding(sql: str) -> str:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_features, queries_cells, queries_quality, queries_summary, queries_pipeline, queries_surface  # noqa: F401
+    from . import queries_features, queries_cells, queries_quality, queries_summary, queries_pipeline, queries_runs, queries_surface  # noqa: F401

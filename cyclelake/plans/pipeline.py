@@ -9,6 +9,7 @@ table.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -22,8 +23,9 @@ from ..operators import features as FT
 from ..operators import quality as Q
 from ..operators.enrich import join_metadata, semi_join_ids
 from ..operators.predicates import filter_equals
-from ..session import materialise
-from ..sources.tables import clean_cycles, scan_cells
+from ..session import checkpoint_dir
+from ..sources.layout import ClusteredTable
+from ..sources.tables import chosen_cycles, clean_cycles, scan_cells
 
 
 @dataclass(frozen=True)
@@ -78,29 +80,35 @@ def process_cycle_data(cycles: DataFrame, cells: DataFrame | None = None, config
 def load_and_process(cells: DataFrame, cycles: DataFrame, cell_ids: DataFrame | Sequence[int] | None = None,
                      filters: dict | None = None, config: ProcessingConfig | None = None, validate: bool = True) -> dict:
     """Cells (by ids and equality filters) → their cycles → features → rules → report, and ``counts``: rows and
-    columns of each frame. The features are written once, as the rules, the report and the caller all read them; the
-    files stay in the checkpoint folder until that is cleaned.
+    columns of each frame. The features are written once, and the rules are measured by that write; the report and the caller
+    read the results. The files stay in the checkpoint folder until that is cleaned.
     """
     chosen_cells = filter_equals(scan_cells(cells), filters or {})
     if cell_ids is not None:
         chosen_cells = semi_join_ids(chosen_cells, cell_ids)
     chosen_cycles = semi_join_ids(clean_cycles(cycles), chosen_cells.select("cell_id"))
     built = process_cycle_data(chosen_cycles, chosen_cells, config)
-    features = materialise(cells.sparkSession, "features", uuid.uuid4().hex, lambda: built)
-    out = {"cells": chosen_cells, "cycles": features}
+    spark = cells.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"features-{uuid.uuid4().hex}")
     if validate:
-        out["rules"] = Q.validate_battery_data(features)
-        out["report"] = Q.report(out["rules"])
+        rules = Q.validate_while_writing(built, Q.battery_standards(), path)
+    else:
+        built.write.parquet(path)
+    out = {"cells": chosen_cells, "cycles": spark.read.schema(built.schema).parquet(path)}
+    if validate:
+        out["rules"] = rules
+        out["report"] = Q.report(rules)
     tables = [out[name].agg(F.lit(name).alias("frame"), F.count(F.lit(1)).alias("rows"),
                             F.lit(len(out[name].columns)).alias("columns")) for name in ("cells", "cycles", "rules") if name in out]
     out["counts"] = reduce(DataFrame.unionByName, tables)
     return out
 
 
-def selected_cells_cycles(cells: DataFrame, cycles: DataFrame, cell_ids: DataFrame | Sequence[int]) -> DataFrame:
+def selected_cells_cycles(cells: DataFrame, cycles: DataFrame | ClusteredTable,
+                          cell_ids: DataFrame | Sequence[int]) -> DataFrame:
     """Cycles of the selected cells with the loader's normalisations (E10, E11), the cells' metadata
     and specific capacity/energy (H3, H4)."""
-    chosen = semi_join_ids(clean_cycles(cycles), cell_ids)
+    chosen = chosen_cycles(cycles, cell_ids)
     normed = FT.cycle_features(chosen, FT.FeatureSpec(basic_norm=True))
     base_caps = [c for c in chosen.columns if "capacity" in c.lower()]
     base_energy = [c for c in chosen.columns if "energy" in c.lower()]

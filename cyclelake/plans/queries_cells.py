@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..operators import paging as PG
 from ..operators import predicates as P
 from ..operators.enrich import join_metadata
 from ..operators.features import min_cycles_filter
+from ..session import materialise, written_once
 from ..sources import fixtures as fx
+from ..sources import layout as LY
 from ..sources import tables as TB
-from ..session import written_once
 from .catalog import register
 
 CELL_COLS = ["cell_id", "cell_name", "design_name", "experiment_group", "layer_types", "test_status", "test_year",
@@ -100,6 +102,27 @@ def cells_page(spark, sf):
     return rounded(P.page(fx.cells_rollup(spark, sf).select(*CELL_COLS), 1))
 
 
+def directory_of_cells(spark, sf):
+    """The pages of 50 cells in id order; the directory is written once."""
+    cells = fx.cells_rollup(spark, sf).select(*CELL_COLS)
+    directory = materialise(spark, "cell_pages", fx.input_key(spark, sf), lambda: PG.page_directory(cells, ["cell_id"], 50))
+    return PG.Pages(cells, directory, ("cell_id",), 50)
+
+
+@register("cells_page_by_key", CELLS_SELECT + " ORDER BY cell_id LIMIT 50 OFFSET 150")
+def cells_page_by_key(spark, sf):
+    """the fourth page of 50 cells as a range of keys, by the directory of pages (the limit is the feature)."""
+    return rounded(directory_of_cells(spark, sf).page(3))
+
+
+@register("cell_page_directory", """
+SELECT CAST((place - 1) / 50 AS BIGINT) AS page, cell_id AS first_cell FROM (
+  SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS place FROM cells_rollup) WHERE (place - 1) % 50 = 0""")
+def cell_page_directory(spark, sf):
+    """the first cell of every page of 50."""
+    return directory_of_cells(spark, sf).directory.select("page", F.col("first.k0").alias("first_cell"))
+
+
 @register("filter_choices", """
 SELECT DISTINCT column_name, choice FROM (
   SELECT 'design_name' AS column_name, CAST(design_name AS VARCHAR) AS choice FROM cells
@@ -129,6 +152,22 @@ def cycles_for_cells(spark, sf):
     return rounded(out.select(*CYCLE_COLS, *META))
 
 
+def clustered_cycles(spark, sf):
+    """The cycle table clustered by cell, written once."""
+    path = written_once(spark, "cycles_clustered", fx.input_key(spark, sf), lambda p: LY.write_clustered(
+        fx.cycles(spark, sf), p, "cell_id", ["regular_cycle_number"]))
+    return LY.ClusteredTable.read(spark, path, "cell_id")
+
+
+@register("cycles_clustered_lookup", ENRICHED_SQL + " WHERE m.nominal_capacity_ah > 49")
+def cycles_clustered_lookup(spark, sf):
+    """Cycles of chosen cells read from the files of their bands, metadata joined on."""
+    cells = fx.cells(spark, sf)
+    chosen = cells.filter(F.col("nominal_capacity_ah") > 49).select("cell_id")
+    out = TB.cycles_for_cells(clustered_cycles(spark, sf), chosen, cells)
+    return rounded(out.select(*CYCLE_COLS, *META))
+
+
 @register("cycles_enriched", ENRICHED_SQL)
 def cycles_enriched(spark, sf):
     """Left join of every cycle to the metadata columns it lacks."""
@@ -161,3 +200,14 @@ def cycles_export_partitioned(spark, sf):
     path = written_once(spark, "cycles_by_year", fx.input_key(spark, sf),
                         lambda p: TB.write_table(by_year, p, partition_by=["test_year"], mode="overwrite"))
     return rounded(TB.read_table(spark, path).select(*CYCLE_COLS, "test_year"))
+
+
+@register("cycles_export_sorted", f"""
+SELECT {_sql_cols(CYCLE_COLS)}, CAST(year(test_date) AS INTEGER) AS test_year
+FROM cycles""")
+def cycles_export_sorted(spark, sf):
+    """As cycles_export_partitioned, with a bound on the number of files and rows of a file, sorted by cell and cycle."""
+    by_year = fx.cycles(spark, sf).withColumn("test_year", F.year("test_date"))
+    path = written_once(spark, "cycles_sorted", fx.input_key(spark, sf), lambda p: LY.write_sorted(
+        by_year, p, ["test_year"], ["cell_id", "regular_cycle_number"]))
+    return rounded(TB.read_table(spark, path).select(*CYCLE_COLS, "test_year"))

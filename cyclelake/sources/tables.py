@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..operators.enrich import join_metadata, semi_join_ids
 from ..operators.predicates import filter_equals
 from ..operators.schema import require_columns
+from .layout import ClusteredTable
 
 CELL = "cell_id"
 # Thresholds used by the reference's cell scans.
@@ -96,9 +97,15 @@ def clean_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.dropna(subset=[CELL])
 
 
-def cycles_for_cells(cycles: DataFrame, ids: DataFrame | Sequence[int], cells: DataFrame | None = None) -> DataFrame:
+def chosen_cycles(cycles: DataFrame | ClusteredTable, ids: DataFrame | Sequence[int]) -> DataFrame:
+    """C4: cycles of the chosen cells: a semi join over the table, or over the files of their bands where it is clustered."""
+    return cycles.rows_of(ids) if isinstance(cycles, ClusteredTable) else semi_join_ids(clean_cycles(cycles), ids)
+
+
+def cycles_for_cells(cycles: DataFrame | ClusteredTable, ids: DataFrame | Sequence[int],
+                     cells: DataFrame | None = None) -> DataFrame:
     """Cycles of the chosen cells (one scan + semi join), with their metadata joined on."""
-    chosen = semi_join_ids(clean_cycles(cycles), ids)
+    chosen = chosen_cycles(cycles, ids)
     if cells is not None:
         chosen = join_metadata(chosen, semi_join_ids(cells, ids) if isinstance(ids, DataFrame) else cells)
     return chosen
