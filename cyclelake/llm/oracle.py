@@ -41,10 +41,13 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON doc_id = least.a"""
 
 _SHARES = {"symbols": "n_symbols / nullif(word_chars, 0)", "capitals": "n_capitals / nullif(word_chars, 0)",
            "dup_lines": "n_dup_lines / nullif(n_lines, 0)", "repeats": "n_repeat_words / nullif(n_words, 0)"}
+_PLACES = {rule: " + ".join(f"CAST(s_{rule} <= {cut} AS INTEGER)" for cut in CUTOFFS) for rule in _SHARES}
 _TESTS = "\nUNION ALL ".join(
-    f"SELECT stratum, '{rule}' AS rule, {i} AS place, CAST({cut} AS DOUBLE) AS cutoff, count(*) FILTER (WHERE good) AS n, "
-    f"count(*) FILTER (WHERE good AND s_{rule} > {cut}) AS lost, count(*) FILTER (WHERE NOT good AND s_{rule} > {cut}) AS caught "
-    f"FROM labelled GROUP BY stratum" for rule in _SHARES for i, cut in enumerate(CUTOFFS))
+    f"SELECT stratum, '{rule}' AS rule, p_{rule} AS place, scale, count(*) FILTER (WHERE NOT good) AS bad, "
+    f"count(*) FILTER (WHERE good IS NULL) AS unknown FROM passing WHERE p_{rule} < {len(CUTOFFS)} GROUP BY ALL" for rule in _SHARES)
+_PLANNED = ", ".join(f"(SELECT {x} FROM useful u WHERE rule = '{rule}' AND u.stratum IS NOT DISTINCT FROM p.stratum) AS {x}_{rule}"
+                     for rule in _SHARES for x in ("first", "last"))
+_STEP = ", ".join(f"CASE WHEN p_{rule} <= last_{rule} THEN first_{rule} + p_{rule} END" for rule in _SHARES)
 
 QUALITY = f"""
 WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w
@@ -63,16 +66,35 @@ WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_ex
   coalesce(f.n, 0) AS n_lines, coalesce(c.n, 0) AS n_repeat_words
   FROM d LEFT JOIN full_lines f USING (doc_id) LEFT JOIN covered c USING (doc_id))
 , scored AS (SELECT *, {", ".join(f"coalesce({e}, 0) AS s_{r}" for r, e in _SHARES.items())} FROM counts)
-, labelled AS (SELECT * FROM scored JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL
-  GROUP BY doc_id) USING (doc_id))
+, placed AS (SELECT *, {", ".join(f"{e} AS p_{r}" for r, e in _PLACES.items())},
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM scored LEFT JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+  WHERE doc_id IS NOT NULL)
+, sizes AS (SELECT stratum, count(*) FILTER (WHERE good) AS n, count(good) / nullif(count(*) FILTER (WHERE good IS NULL), 0) AS scale
+  FROM placed GROUP BY stratum HAVING count(*) FILTER (WHERE good) > 0)
+, passing AS (SELECT m.*, z.n, z.scale, (SELECT count(*) FROM sizes) AS strata FROM placed m JOIN sizes z
+  ON m.stratum IS NOT DISTINCT FROM z.stratum WHERE NOT base_failed)
 , tests AS ({_TESTS})
-, families AS (SELECT {len(_SHARES)} * count(DISTINCT coalesce(stratum, chr(0))) AS n FROM labelled)
-, tried AS (SELECT tests.*, tests.n > 0 AND lost < (tests.n + 1) * {RISK / len(_SHARES)!r} AND list_sum(list_transform(range(0, lost + 1),
-    lambda i: exp(lgamma(tests.n + 1) - lgamma(i + 1) - lgamma(tests.n - i + 1) + i * ln({RISK / len(_SHARES)!r})
-             + (tests.n - i) * ln(1 - {RISK / len(_SHARES)!r})))) <= {ERROR} / families.n AS passed FROM tests, families)
-, certified AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY place) AS ok FROM tried)
-, limits AS (SELECT stratum, rule, arg_max(cutoff, (caught - {COST} * lost) * 1000 - place) AS cutoff FROM certified WHERE ok
-  GROUP BY stratum, rule)
+, summed AS (SELECT *, sum(bad) OVER p AS caught, sum(unknown) OVER p AS others FROM tests
+  WINDOW p AS (PARTITION BY stratum, rule ORDER BY place))
+, hopes AS (SELECT stratum, rule, place, caught,
+  greatest(0, caught - {COST} * greatest(0, coalesce(others * scale - caught, 0))) AS hope FROM summed WHERE caught > 0)
+, best AS (SELECT * FROM hopes QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY hope DESC, caught DESC, place) = 1)
+, useful AS (SELECT stratum, rule, place AS last, {len(CUTOFFS)} * (row_number() OVER (PARTITION BY stratum
+  ORDER BY hope DESC, caught DESC, place, rule) - 1) AS first FROM best)
+, planned AS (SELECT p.*, {_PLANNED} FROM passing p)
+, steps AS (SELECT stratum, n, strata, least({_STEP}) AS step, count(*) FILTER (WHERE good) AS good,
+  count(*) FILTER (WHERE NOT good) AS bad FROM planned GROUP BY ALL HAVING step IS NOT NULL)
+, so_far AS (SELECT stratum, n, strata, step, CAST(sum(good) OVER p AS BIGINT) AS lost, sum(bad) OVER p AS caught FROM steps
+  WINDOW p AS (PARTITION BY stratum ORDER BY step))
+, tried AS (SELECT *, lost < (n + 1) * {RISK} AND list_sum(list_transform(range(0, lost + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) <= {ERROR} / strata
+    AS passed FROM so_far)
+, certified AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM tried)
+, taken AS (SELECT stratum, step FROM certified WHERE ok AND caught - {COST} * lost > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught - {COST} * lost DESC, step) = 1)
+, limits AS (SELECT u.stratum, rule, [{", ".join(map(str, CUTOFFS))}][least(step - first, last) + 1] AS cutoff
+  FROM useful u JOIN taken t ON u.stratum IS NOT DISTINCT FROM t.stratum WHERE step >= first)
 , judged AS (SELECT s.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   {" OR ".join(f"coalesce(s_{r} > (SELECT cutoff FROM limits l WHERE rule = '{r}' AND l.stratum IS NOT DISTINCT FROM s.stratum), false)"
                for r in _SHARES)} AS cut FROM scored s)

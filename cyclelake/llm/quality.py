@@ -3,17 +3,16 @@
 Base counts of every whole text come from native array expressions. Each rule scores a text by a share (higher is
 worse) and rejects above a cutoff. Cutoffs are chosen on labelled documents, per stratum and rule:
 
-* a cutoff's false rejections among the n good labelled documents are binomial; it is *certified* when its exact
-  (Clopper-Pearson) upper bound is at most ``risk / rules``, that is when P(Binomial(n, risk / rules) <= rejected)
-  is at most the family's error level;
-* the error level ``error`` is split evenly over all strata and rules (Bonferroni); inside one family cutoffs are
-  tested from the mildest to the strictest and testing stops at the first failure (fixed sequence), which needs no
-  further correction. With probability 1 - ``error`` every stratum then loses at most ``risk`` of its good documents;
-* of the certified cutoffs the one with the largest gain is taken: rejected bad documents less ``cost`` times
-  rejected good ones (ties: the milder). A stratum without enough labels to certify a cutoff keeps the rule off.
-
-``verdicts`` chooses so, as its SQL does. ``keep`` certifies the rules of a stratum together instead, from fewer labels
-(``joint_thresholds``).
+* false rejections among the n good labelled documents of a stratum are binomial; cutoffs are *certified* when the exact
+  (Clopper-Pearson) upper bound of their share is at most ``risk``, that is when P(Binomial(n, ``risk``) <= rejected) is at most
+  the stratum's error level;
+* the error level ``error`` is split evenly over all strata (Bonferroni); inside a stratum the cutoffs of all rules form one
+  nested sequence, tested until the first failure (fixed sequence), which needs no further correction
+  (``joint_thresholds``). With probability 1 - ``error`` every stratum then loses at most ``risk`` of its good documents;
+* of the certified steps the one with the largest gain is taken: rejected bad documents less ``cost`` times rejected good ones
+  (ties: the milder). A stratum without enough labels to certify a cutoff keeps its rules off.
+
+``thresholds`` certifies each rule by itself instead, at ``risk`` and ``error`` split over the rules too, which needs more labels.
 
 Everything is DataFrame code: counting is one partially aggregated pass, so a hot stratum is no burden.
 
@@ -154,7 +153,7 @@ def base_rule() -> Column:
 
 def joint_thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR,
                      cost: float = COST, cutoffs: list[float] = CUTOFFS) -> DataFrame:
-    """As ``thresholds``, with the rules of a stratum certified together.
+    """As ``thresholds``, with the rules of a stratum certified together: what ``verdicts`` and ``keep`` use.
 
     A stratum's cutoffs form one nested sequence: rule after rule, each from the mildest cutoff to its strictest useful
     one. A step loses the good documents that pass the base rule and that any cutoff so far rejects; it is certified
@@ -228,7 +227,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def verdicts(df: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """Per row of ``df``: doc_id, stratum, all counts, base_failed, kept. Texts are read once; counts are written."""
     measured = stored(measure(df), "quality-measured")
-    return judge(measured, stored(thresholds(measured, labels, **settings), "quality-limits"))
+    return judge(measured, stored(joint_thresholds(measured, labels, **settings), "quality-limits"))
 
 
 def keep(df: DataFrame, labels: DataFrame, **settings) -> DataFrame:

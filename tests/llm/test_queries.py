@@ -7,11 +7,12 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cyclelake.llm import (embedding_dedup, graph, langid, license_scan, minhash_dedup, mixing, packing, quality,
+from cyclelake.llm import (embedding_dedup, graph, langid, license_scan, minhash_dedup, mixing, oracle, packing, quality,
                            queries, sharding, tokencount, tokenfile)
 from cyclelake.llm.common import stored, table_path
 from test_local import brute_shingles
@@ -272,6 +273,14 @@ def test_joint_cutoffs_need_few_labels(spark):
     assert frame(quality.thresholds(measured, seen)) == []  # rule by rule the same labels certify nothing
     kept = {r["doc_id"] for r in frame(quality.keep(marked, seen))}
     assert kept == {i for i, text, *_ in rows if "###" not in text and text != "short text"}
+    judged = {r["doc_id"]: r["kept"] for r in frame(quality.verdicts(marked, seen))}
+    assert {i for i, k in judged.items() if k} == kept  # the query and the pipeline's stage judge alike
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]}))
+    con.register("labels", pa.table({"doc_id": [x[0] for x in labels], "quality": pa.array([x[1] for x in labels], pa.int32())}))
+    names = con.sql(oracle.QUALITY).columns
+    told = {r[names.index("doc_id")]: r[names.index("kept")] for r in con.sql(oracle.QUALITY).fetchall()}
+    assert told == judged
     few = seen.where("doc_id < 600")
     assert frame(quality.joint_thresholds(measured, few)) == [] and len(frame(quality.keep(marked, few))) > len(kept)
     wrong = seen.withColumn("quality", F.lit(1))  # cutoffs that would lose good texts aren't certified
