@@ -415,25 +415,36 @@ MANY_OUTLIERS = 0.1
 
 
 def _outlier_counts(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
-    """(column_name, outlier_count) over finite values. IQR: one quantile table and one count for all columns."""
+    """(column_name, outlier_count) over finite values: one row of statistics and one count for all columns.
+
+    The modified z-score needs the medians before the deviations' medians; that one row comes to the driver (literals keep the
+    second plan free of nested subqueries, which Spark's subquery merging can't place).
+    """
     from .ordering import quantiles
-    from .outliers import IQR_FACTOR, detect_outliers
+    from .outliers import IQR_FACTOR, MODIFIED_Z_LIMIT, MODIFIED_Z_SCALE, ZSCORE_LIMIT
 
     finite = df.select(*[null_infinity(F.col(c).cast("double")).alias(c) for c in columns])
+    flags = {}
     if method == "iqr":
-        # without keys the quantile table is one row
-        rows = finite.join(F.broadcast(quantiles(finite, [], columns, [0.25, 0.75], "linear")), F.lit(True))
-        counts = []
+        stats = quantiles(finite, [], columns, [0.25, 0.75], "linear")
         for c in columns:
             q1, q3 = F.col(f"{c}_p25"), F.col(f"{c}_p75")
             margin = F.lit(IQR_FACTOR) * (q3 - q1)
-            counts.append(F.count_if((F.col(c) < q1 - margin) | (F.col(c) > q3 + margin)).cast("long").alias(c))
-        wide = rows.agg(*counts)
-        return wide.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("outlier_count")) for c in columns])))
-    tables = [detect_outliers(finite.select(c), c, method).agg(
-        F.lit(c).alias("column_name"), F.count_if(F.col(f"{c}_outlier")).cast("long").alias("outlier_count")) for c in columns]
-    return reduce(DataFrame.unionByName, tables)
+            flags[c] = (F.col(c) < q1 - margin) | (F.col(c) > q3 + margin)
+    elif method == "zscore":
+        stats = finite.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+        flags = {c: F.abs(F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std"))) > ZSCORE_LIMIT for c in columns}
+    elif method == "modified_zscore":
+        medians = quantiles(finite, [], columns, [0.5], "linear").first()
+        off = {c: F.col(c) - F.lit(medians[f"{c}_p50"]).cast("double") for c in columns}
+        stats = quantiles(finite.select(*[F.abs(d).alias(c) for c, d in off.items()]), [], columns, [0.5], "linear")
+        flags = {c: F.abs(F.try_divide(F.lit(MODIFIED_Z_SCALE) * d, F.col(f"{c}_p50"))) > MODIFIED_Z_LIMIT for c, d in off.items()}
+    else:
+        raise ValueError(f"Unknown outlier detection method: {method}")
+    # without keys the table of statistics is one row
+    wide = finite.join(F.broadcast(stats), F.lit(True)).agg(*[F.count_if(x).cast("long").alias(c) for c, x in flags.items()])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("outlier_count")) for c in columns])))
 
 
 def _present(items: list[Column]) -> Column:

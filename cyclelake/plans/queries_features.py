@@ -79,7 +79,7 @@ def capacity_efficiency(spark, sf):
 
 
 # ---------------------------------------------------------------- E4-E9
-def _norm_sql(method: str) -> str:
+def _norm_parts(method: str) -> list[str]:
     parts = []
     for c in NORMS:
         std_ok = f"s.{c}_std > 0"
@@ -96,10 +96,18 @@ def _norm_sql(method: str) -> str:
             e = (f"CASE WHEN {std_ok} AND s.{c}_max > s.{c}_min THEN "
                  f"(y.{c} - s.{c}_min) / (s.{c}_max - s.{c}_min) END")
         parts.append(f"round({e}, 6) AS {c}_norm_{method}")
-    stats = ", ".join(
+    return parts
+
+
+def _norm_stats(order: str) -> str:
+    return ", ".join(
         f"max({c}) AS {c}_max, min({c}) AS {c}_min, avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std, "
-        f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN regular_cycle_number END) AS {c}_first"
+        f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN {order} END) AS {c}_first"
         for c in NORMS)
+
+
+def _norm_sql(method: str) -> str:
+    parts, stats = _norm_parts(method), _norm_stats("regular_cycle_number")
     qcte = ""
     qjoin = ""
     if method.startswith("percentile"):
@@ -124,6 +132,18 @@ for _name, _method in [("norm_first_cycle", "first_cycle"), ("norm_max", "max_va
     register(_name, _norm_sql(_method))(_norm_query(_method))
 
 
+@register("norms_global", f"""
+, whole AS (SELECT 0 AS g, * FROM cycles)
+, s AS (SELECT g, {_norm_stats("cell_id * 1000000 + regular_cycle_number")} FROM whole GROUP BY g)
+""" + nearest_quantiles_cte("q", "whole", NORMS, [0.95, 0.99], key="g") + f"""
+SELECT y.cell_id, y.regular_cycle_number, {", ".join(f"y.{c}" for c in NORMS)},
+  {", ".join(p for m in FT.NORM_METHODS for p in _norm_parts(m))} FROM whole y JOIN s USING (g) JOIN q USING (g)""")
+def norms_global(spark, sf):
+    """E20 with all six normalisations: statistics of the whole table."""
+    df = FT.cycle_features(fx.cycles(spark, sf), FT.FeatureSpec(normalise=FT.NORM_METHODS), by_cell=False)
+    return _select(df, NORMS, [f"{c}_norm_{m}" for m in FT.NORM_METHODS for c in NORMS])
+
+
 # ---------------------------------------------------------------- E10-E11
 BASICS = ["charge_capacity", "discharge_capacity", "discharge_energy"]
 

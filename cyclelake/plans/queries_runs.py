@@ -1,12 +1,14 @@
-"""Rule details (I14) and the rows of a full run: its rules and report (J3, I15), with their SQL."""
+"""Rule details (I14), the rows of a full run (J3, I15), and rows of options the other queries leave out."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import predicates as P
 from ..operators import quality as Q
 from ..sources import fixtures as fx
 from . import pipeline as PL
+from . import series as SR
 from .catalog import register
 from .queries_cells import rounded
 from .queries_quality import CYCLE_COLS, RESULT_COLS, _standard_sql, _steps_sql
@@ -101,3 +103,40 @@ SELECT cell_id, regular_cycle_number, {", ".join(f"round({c}, 6) AS {c}" for c i
 def full_run_features(spark, sf):
     """The numeric columns of the feature table that a full run wrote."""
     return rounded(_run(spark, sf)["cycles"].select("cell_id", "regular_cycle_number", *map(F.col, _COLUMNS)))
+
+
+# ---------------------------------------------------------------- I22, B20, F2
+_CHECKED = ["discharge_capacity", "charge_capacity", "voltage", "temperature"]
+_SCORES = {"zscore": "abs(({c} - (SELECT avg({c}) FROM cycles)) / (SELECT nullif(stddev_pop({c}), 0) FROM cycles)) > 3",
+           "modified_zscore": "abs(0.6745 * ({c} - (SELECT median({c}) FROM cycles)) / (SELECT nullif(median(abs({c} - m)), 0) "
+                              "FROM cycles, (SELECT median({c}) AS m FROM cycles))) > 3.5"}
+
+
+def _scored_query(method: str):
+    def build(spark, sf):
+        out = Q.numeric_validation(fx.cycles(spark, sf), _CHECKED, check_outliers=True, outlier_method=method)
+        return out.select("column_name", "total_count", "null_count", "outlier_count")
+    return build
+
+
+for _method, _test in _SCORES.items():
+    register(f"numeric_validation_{_method}", "\n" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, "
+        f"count(*) FILTER (WHERE {_test.replace('{c}', c)}) AS outlier_count FROM cycles" for c in _CHECKED))(_scored_query(_method))
+
+
+@register("series_window", """
+SELECT cell_id, regular_cycle_number, round(discharge_capacity, 6) AS discharge_capacity, round(voltage, 6) AS voltage,
+  coalesce(regular_cycle_number BETWEEN 5 AND 20 AND discharge_capacity BETWEEN 10 AND 40, false) AS in_view FROM cycles""")
+def series_window(spark, sf):
+    """Limits on both axes and a second value; rows outside the view are flagged."""
+    config = SR.SeriesConfig(y2="voltage", x_min=5, x_max=20, y_min=10, y_max=40)
+    return rounded(SR.series(fx.cycles(spark, sf), config))
+
+
+@register("sorted_choices_all", "\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY choice) AS INTEGER) AS place, choice FROM "
+    f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS choice FROM cells WHERE {c} IS NOT NULL UNION SELECT '')" for c in P.FILTER_COLUMNS))
+def sorted_choices_all(spark, sf):
+    """F2 for every filter column."""
+    return P.sorted_choices(fx.cells(spark, sf))

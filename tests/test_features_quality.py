@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cyclelake.operators import features as FT
+from cyclelake.operators import ordering
 from cyclelake.operators import quality as Q
 from cyclelake.operators import schema as S
 from cyclelake.plans import pipeline as PL
@@ -203,3 +205,24 @@ def test_low_charge_ratio_is_reported(spark):
     df = spark.createDataFrame([(1.0, 0.5), (1.0, 0.8)], "discharge_capacity double, charge_capacity double")
     rows = Q.cycle_data_validation(df).collect()
     assert len(rows) == 2 and all(r.low_ratio and r.all_valid and abs(r.charge_discharge_ratio - 0.65) < 1e-12 for r in rows)
+
+
+@pytest.mark.parametrize("hot", ["16384", "0"])  # gathered and bracketed quantiles
+def test_outlier_counts_of_several_columns_by_every_method(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordering, "GATHER_ROWS", int(hot))
+    rows = [(float(i % 10), float(i * i % 7), None) for i in range(200)] + [(500.0, float("inf"), None), (-500.0, 90.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    for method in ("iqr", "zscore", "modified_zscore"):
+        got = {r[0]: r[1] for r in Q._outlier_counts(df, ["a", "b", "c"], method).collect()}
+        for c, values in (("a", [r[0] for r in rows]), ("b", [r[1] for r in rows if r[1] != float("inf")])):
+            x = np.array(values)
+            if method == "iqr":
+                q1, q3 = np.percentile(x, [25, 75])
+                far = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))
+            elif method == "zscore":
+                far = np.abs(x - x.mean()) / x.std() > 3
+            else:
+                off = x - np.median(x)
+                far = np.abs(0.6745 * off / np.median(np.abs(off))) > 3.5
+            assert got[c] == far.sum() > 0
+        assert got["c"] == 0
