@@ -8,13 +8,13 @@ Only stretches of a text that can reach ``least`` coverage are aligned. A templa
 with so many occurrences in it that any alignment reaching ``least`` uses one of them; a text without keys is done
 after one linear search. Around its keys a text is cut into stretches; one with keys over more than three template
 lengths is cut into windows of four lengths that overlap by two, and where several copies may stand short windows are
-tried too. So a repeated or very long text costs time in proportion to its length. The best window counts (ties: the
-first).
+tried too. So a repeated or very long text costs time in proportion to its length. Separate places are taken from the
+dense windows first, those with the most paired words before others (ties: the shorter, then the first).
 
 Each partition is scanned by itself, without a shuffle. Defined results: a null or empty text has no hits; repeated
-rows have hits each; a text that holds a template several times is one hit, at one of its best
-places; other columns
-are not read; an empty table gives no rows.
+rows have hits each; a text that holds a template several times has a hit for each copy; hits of different templates may
+overlap, and one that another holds (BSD's two clauses in the three, a notice in a header) names it in ``within``; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +49,12 @@ TEMPLATES = {
         OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
         WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
         except in compliance with the License. You may obtain a copy of the License at
         http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
@@ -60,12 +65,73 @@ TEMPLATES = {
         GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or
         (at your option) any later version. This program is distributed in the hope that it will be useful, but
         WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
-        PURPOSE. See the GNU General Public License for more details.""",
+        PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+        License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "gpl-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option)
+        any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+        more details. You should have received a copy of the GNU General Public License along with this program; if not, write
+        to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+        your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+        General Public License for more details. You should have received a copy of the GNU Lesser General Public License along
+        with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA
+        02110-1301 USA""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the
+        GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+        your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero
+        General Public License for more details. You should have received a copy of the GNU Affero General Public License along
+        with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
         provided that the following conditions are met: 1. Redistributions of source code must retain the above
         copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
         reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-        documentation and/or other materials provided with the distribution.""",
+        documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS
+        AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+        NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the
+        names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+        OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+        copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+        FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information,
+        please refer to <https://unlicense.org>""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+        is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+        original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "cc0-1.0-notice": """To the extent possible under law, the author(s) have dedicated all copyright and related and
+        neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.""",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
         of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
@@ -149,34 +215,62 @@ class Template:
             if word is not None:
                 start, last = (i if start is None else start), i
 
-    def best(self, words: list[str]) -> tuple[int, int, int] | None:
-        """Most paired words, and the text's places from the first to past the last of them."""
-        found = None
+    def places(self, words: list[str], least: float) -> list[tuple[int, int, int]]:
+        """Separate places that reach ``least`` coverage: paired words, and the text's places from the first to past the last."""
+        n, found = len(self.words), set()
         for a, b in self.windows(words):
             pairs = align(words[a:b], self.words)
-            if pairs and (found is None or len(pairs) > found[0]):
-                found = (len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1)
-        return found
+            if len(pairs) >= least * n - 1e-9:
+                found.add((len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
+        # a wide place may join parts of two copies, so it comes after the dense ones
+        taken: list[tuple[int, int, int]] = []
+        starts: list[int] = []  # of the places taken, ascending
+        for matched, a, b in sorted(found, key=lambda x: (x[2] - x[1] > n + n // 2, -x[0], x[2] - x[1], x[1])):
+            i = bisect_left(starts, a)
+            if (i == len(starts) or taken[i][1] >= b) and (i == 0 or taken[i - 1][2] <= a):
+                starts.insert(i, a)
+                taken.insert(i, (matched, a, b))
+        return taken
+
+
+def holders(hits: list[tuple[str, int, int, int, int]]) -> list[str | None]:
+    """Per hit (license, paired words, template's words, from, to) of a text: the license whose hit holds it, if any does.
+
+    That hit's place covers this one's, and more words are paired (or as many of a shorter template): the text is the
+    other license's, which this one's is a part of or much like. The largest such hit names it.
+    """
+    best: list[str | None] = [None] * len(hits)
+    rank = lambda h: (h[1], -h[2])
+    open_hits: list[int] = []
+    # by start, the widest first: all that may hold a hit come before it, and those that ended before it are let go
+    for i in sorted(range(len(hits)), key=lambda i: (hits[i][3], -hits[i][4], -hits[i][1], hits[i][2])):
+        open_hits = [j for j in open_hits if hits[j][4] > hits[i][3]]
+        over = [j for j in open_hits if hits[j][4] >= hits[i][4] and rank(hits[j]) > rank(hits[i])]
+        if over:
+            best[i] = hits[max(over, key=lambda j: (rank(hits[j]), hits[j][0]))][0]
+        open_hits.append(i)
+    return best
 
 
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """One row per text and template with a coverage of ``least`` or more.
+    """One row per text, template and separate place with a coverage of ``least`` or more.
 
     Columns: id, license_id, coverage, matched (words), template_words, start and length (characters of the place in
-    the text), verbatim (every word of the template, and nothing between them).
+    the text), verbatim (every word of the template, and nothing between them), within (license_id of the hit that holds this
+    one, see ``holders``, else null).
     """
     ship(df.sparkSession)
     known = [Template(name, text, least) for name, text in templates.items()]
     search = "|".join(sorted({w for t in known for w in t.keys}))
     kind = df.schema[id_col].dataType.simpleString()
     schema = (f"`{id_col}` {kind}, license_id string, coverage double, matched long, template_words long, start long, "
-              "length long, verbatim boolean")
+              "length long, verbatim boolean, within string")
     names = [c.split()[0].strip("`") for c in schema.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            types = [part.schema.field(0).type, pa.string(), pa.float64(), *[pa.int64()] * 4, pa.bool_()]
+            types = [part.schema.field(0).type, pa.string(), pa.float64(), *[pa.int64()] * 4, pa.bool_(), pa.string()]
             texts = pc.fill_null(part.column(1).cast(pa.string()), "")
             hits = pc.match_substring_regex(pc.utf8_lower(texts), search)
             out: list[tuple] = []
@@ -184,16 +278,14 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.
                 places = [m.span() for m in WORD.finditer(text)]
                 words = [text[a:b].lower() for a, b in places]
                 present = set(words)
+                hits_here = []
                 for template in known:
-                    if template.keys.isdisjoint(present):
-                        continue
-                    found = template.best(words)
-                    n = len(template.words)
-                    if found and found[0] >= least * n - 1e-9:
-                        matched, a, b = found
-                        begin = places[a][0]
-                        out.append((doc, template.name, matched / n, matched, n, begin, places[b - 1][1] - begin,
-                                    matched == n == b - a))
+                    if not template.keys.isdisjoint(present):
+                        hits_here += [(template.name, matched, len(template.words), a, b)
+                                      for matched, a, b in template.places(words, least)]
+                for (name, matched, n, a, b), within in zip(hits_here, holders(hits_here)):
+                    begin = places[a][0]
+                    out.append((doc, name, matched / n, matched, n, begin, places[b - 1][1] - begin, matched == n == b - a, within))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 

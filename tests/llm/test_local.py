@@ -202,11 +202,42 @@ def test_templates_are_found_in_repeated_and_long_texts():
     known = license_scan.Template("mit", license_scan.TEMPLATES["mit"], 0.8)
     words = license_scan.WORD.findall(license_scan.TEMPLATES["mit"].lower())
     for before, after, times in ((0, 0, 1), (3000, 10, 1), (5, 4000, 3), (17, 23, 2), (40, 9, 12)):
-        found = known.best(["filler"] * before + words * times + ["filler"] * after)
-        assert found[0] == len(words) and (found[1] - before) % len(words) == 0
+        found = known.places(["filler"] * before + words * times + ["filler"] * after, 0.8)
+        n = len(words)
+        assert found == [(n, before + i * n, before + (i + 1) * n) for i in range(times)]
     worn = [w for i, w in enumerate(words) if i % 7]
-    assert known.best(worn)[0] >= 0.8 * len(words)
-    assert known.best(["filler"] * 100) is None
+    assert known.places(worn, 0.8)[0][0] >= 0.8 * len(words)
+    assert known.places(["filler"] * 100, 0.8) == []
+
+
+def test_coverage_is_no_more_than_the_longest_common_subsequence_and_all_of_it_for_distinct_words():
+    rng = np.random.default_rng(5)
+    template = [f"w{i}" for i in range(40)]
+    for _ in range(200):  # distinct words: the alignment is the longest common subsequence
+        text = [w for w in template if rng.random() > 0.3]
+        for at in sorted(rng.integers(0, len(text) + 1, 10), reverse=True):
+            text.insert(at, "other")
+        if len(text) > 4 and rng.random() < 0.5:
+            i, j = sorted(rng.choice(len(text), 2, replace=False))
+            text[i], text[j] = text[j], text[i]
+        longest = np.zeros((len(text) + 1, len(template) + 1), int)
+        for i, x in enumerate(text):
+            for j, y in enumerate(template):
+                longest[i + 1, j + 1] = longest[i, j] + 1 if x == y else max(longest[i, j + 1], longest[i + 1, j])
+        assert len(license_scan.align(text, template)) == longest[-1, -1]
+
+
+def test_holders_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        hits = [(f"t{rng.integers(4)}", int(rng.integers(1, 6)), int(rng.integers(6, 9)), int(a), int(a + rng.integers(1, 8)))
+                for a in rng.integers(0, 12, rng.integers(1, 9))]
+        rank = lambda h: (h[1], -h[2])
+        want = []
+        for h in hits:
+            over = [o for o in hits if o[3] <= h[3] and o[4] >= h[4] and rank(o) > rank(h)]
+            want.append(max(over, key=lambda o: (rank(o), o[0]))[0] if over else None)
+        assert license_scan.holders(hits) == want
 
 
 @pytest.mark.parametrize("before", [0, 700, 1111, 2500])
@@ -215,10 +246,9 @@ def test_interleaved_copies_are_found_among_recurring_keys(before):
     n, key = len(known.words), max(known.keys, key=len)
     copy = [x for w in known.words for x in (w, "other")][:-1]
     text = ["filler"] * before + copy + ["filler"] * (3000 - before)
-    sparse = known.best(text)
-    assert sparse[0] >= 0.8 * n
+    assert known.places(text, 0.8)
     often = [key if x == "filler" and i % n == 0 else x for i, x in enumerate(text)]
-    assert known.best(often)[0] >= 0.8 * n
+    assert known.places(often, 0.8)
     for a, b in known.windows(often):
         assert b - a <= 4 * n
     for at in range(0, len(often) - 2 * n, 50):

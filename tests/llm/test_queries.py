@@ -400,13 +400,28 @@ def test_license_scan_rows(spark):
             (31, ("Licensed under CC BY-NC 4.0. " * 50), "en", "a"), (31, "licensed UNDER cc by-nc 4.0", "en", "a")]
     got = frame(license_scan.scan(table(spark, rows)))
     assert sorted((r["doc_id"], r["license_id"]) for r in got) == [
-        (4, "mit-notice"), (30, "mit"), (31, "cc-by-nc-4.0-notice"), (31, "cc-by-nc-4.0-notice")]
+        (4, "mit-notice"), (30, "mit"), *[(31, "cc-by-nc-4.0-notice")] * 51]  # every copy of a text
+    repeats = sorted(r["start"] for r in got if r["doc_id"] == 31)
+    assert repeats == [0, *range(0, 50 * 29, 29)]
     assert all(r["coverage"] == 1.0 and r["verbatim"] for r in got)
     mit = next(r for r in got if r["doc_id"] == 30)
     assert rows[-3][1][mit["start"]:].startswith("Permission is hereby granted") and mit["start"] == 6000
     assert frame(license_scan.scan(table(spark, []))) == []
 
 
+def test_license_texts_name_their_own_license(spark):
+    filler = "nothing of note here " * 40
+    names = list(license_scan.TEMPLATES)
+    rows = [(i, filler + license_scan.TEMPLATES[n] + " " + filler, "en", "a") for i, n in enumerate(names)]
+    mixed = license_scan.TEMPLATES["bsd-3-clause"] + filler + license_scan.TEMPLATES["mit"] + license_scan.TEMPLATES["mit"]
+    got = frame(license_scan.scan(table(spark, [*rows, (99, mixed, "en", "a")])))
+    for i, name in enumerate(names):
+        own = [r for r in got if r["doc_id"] == i and r["within"] is None]
+        assert [(r["license_id"], r["verbatim"]) for r in own] == [(name, True)], name
+    assert sorted(r["license_id"] for r in got if r["doc_id"] == 99 and r["within"] is None) == ["bsd-3-clause", "mit", "mit"]
+    assert {r["within"] for r in got if r["doc_id"] == 99 and r["license_id"] == "bsd-2-clause"} == {"bsd-3-clause"}
+
+
 def test_every_operator_and_the_pipeline_are_registered():
     from __spark_entry__ import queries as registered
 
