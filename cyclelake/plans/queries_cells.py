@@ -191,6 +191,14 @@ def cells_result_documents(spark, sf):
     return rounded(TB.read_query_result(spark, path, cells.schema, multi_line=False))
 
 
+@register("cells_result_variant", CELLS_SELECT)
+def cells_result_variant(spark, sf):
+    """A1 without a row schema: the result documents read as variants, their fields taken by name."""
+    cells = fx.cells_rollup(spark, sf).select(*CELL_COLS)
+    path = written_once(spark, "cell_documents", fx.input_key(spark, sf), lambda p: TB.write_query_result(cells, p))
+    return rounded(TB.typed_rows(TB.read_query_rows(spark, path, multi_line=False), cells.schema, strict=True))
+
+
 @register("cycles_export_partitioned", f"""
 SELECT {_sql_cols(CYCLE_COLS)}, CAST(year(test_date) AS INTEGER) AS test_year
 FROM cycles""")

@@ -1,11 +1,17 @@
-"""Rule details (I14), the rows of a full run (J3, I15), and rows of options the other queries leave out."""
+"""Rule details (I14), the rows of a full run (J3, I15), merged profiles (D4, D6), and
+rows of options that the other queries leave out (B20, F2, I22)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import predicates as P
+from ..operators import profiles as PR
 from ..operators import quality as Q
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from . import pipeline as PL
 from . import series as SR
@@ -105,6 +111,21 @@ def full_run_features(spark, sf):
     return rounded(_run(spark, sf)["cycles"].select("cell_id", "regular_cycle_number", *map(F.col, _COLUMNS)))
 
 
+# ---------------------------------------------------------------- D4, D6
+@register("profile_by_file", "\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, CAST(0 AS BIGINT) AS inf_count, "
+    f"round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, "
+    f"round(count({c}) / count(*), 6) AS completeness FROM cycles" for c in CYCLE_COLS[3:]))
+def profile_by_file(spark, sf):
+    """D4 + D6 merged from one state per file of the cycle table; files that came later are read alone."""
+    cycles = fx.cycles(spark, sf)
+    files = sorted(cycles.inputFiles())
+    path = os.path.join(checkpoint_dir(spark), f"profile-{uuid.uuid4().hex}")
+    for known in (files[:len(files) // 2 + 1], files):
+        PR.update_states(spark.read.schema(cycles.schema).parquet(*known), path, CYCLE_COLS[3:])
+    return rounded(PR.merged_profile(spark, path, files))
+
+
 # ---------------------------------------------------------------- I22, B20, F2
 _CHECKED = ["discharge_capacity", "charge_capacity", "voltage", "temperature"]
 _SCORES = {"zscore": "abs(({c} - (SELECT avg({c}) FROM cycles)) / (SELECT nullif(stddev_pop({c}), 0) FROM cycles)) > 3",

@@ -56,6 +56,28 @@ def read_query_result(spark: SparkSession, path: str, rows_schema: T.StructType
     return raw.select(F.inline(F.when(F.col("query_result.data").isNull(), broken).otherwise(rows)))
 
 
+def read_query_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A1 without a row schema: one VARIANT column ``row`` per entry of the documents.
+
+    The files are read once and nothing is guessed, so rows may differ in fields and types. Broken documents fail the query as in
+    :func:`read_query_result`. ``multi_line=True`` holds one file's document in a task at a time.
+    """
+    text = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "")
+    docs = text.select(F.parse_json("value").alias("doc"))
+    data = F.variant_get("doc", "$.query_result.data", "variant")
+    rows = F.variant_get("doc", "$.query_result.data.rows", "array<variant>")
+    broken = F.raise_error(F.lit("query result document has no 'query_result.data'")).cast("array<variant>")
+    missing = data.isNull() | F.is_variant_null(data)
+    return docs.select(F.explode(F.when(missing, broken).otherwise(F.coalesce(rows, F.array().cast("array<variant>")))).alias("row"))
+
+
+def typed_rows(rows: DataFrame, schema: T.StructType, strict: bool = False) -> DataFrame:
+    """The fields of ``schema`` out of :func:`read_query_rows`. An absent field is NULL; a value of another type is NULL, or
+    fails the query if ``strict``."""
+    value = F.variant_get if strict else F.try_variant_get
+    return rows.select(*[value("row", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in schema.fields])
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """A2: a table from files (parquet by default)."""
     reader = spark.read.format(fmt)

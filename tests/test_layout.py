@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cyclelake.operators import paging as PG
+from cyclelake.operators import profiles as PR
 from cyclelake.operators import quality as Q
+from cyclelake.operators import summary as SM
 from cyclelake.session import checkpoint_dir
 from cyclelake.sources import fixtures as fx
 from cyclelake.sources import layout as LY
@@ -123,3 +125,42 @@ def test_rules_measured_by_a_write_equal_rules_read_back(spark):
     assert _rows(spark.read.parquet(path)) == _rows(df)
     assert Q.validate_while_writing(df.where("cell_id < 0"), Q.battery_standards(), _path(spark)).collect() == []
     assert Q.validate_while_writing(df.limit(0), Q.battery_standards(), _path(spark)).collect() == []
+
+
+def test_profiles_follow_added_and_removed_files(spark):
+    path, states = _path(spark), _path(spark)
+    rows = [(i, float("inf") if i % 50 == 0 else None if i % 7 == 0 else 1e9 + i % 13 / 8) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b double")
+    df.where("a < 200").repartition(3).write.parquet(path)
+    assert PR.update_states(spark.read.parquet(path), states) == 3
+    df.where("a >= 200").coalesce(1).write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    assert PR.update_states(table, states) == 1 and PR.update_states(table, states) == 0
+    got = {r["column_name"]: r for r in PR.merged_profile(spark, states, table.inputFiles()).collect()}
+    for r in SM.column_profile(table, ["a", "b"]).collect():
+        mine = got[r["column_name"]]
+        assert all(mine[c] == r[c] for c in ("total_count", "null_count", "inf_count", "min", "max"))
+        assert abs(mine["mean"] - r["mean"]) < 1e-6 and abs(mine["std"] - r["std"]) < 1e-6
+    kept = table.inputFiles()[:2]
+    part = PR.merged_profile(spark, states, kept).where("column_name = 'a'").first()
+    assert part["total_count"] == spark.read.parquet(*kept).count()
+
+
+def test_documents_without_a_row_schema(spark):
+    folder = _path(spark)
+    lines = ['{"query_result": {"data": {"rows": [{"a": 1, "b": "x"}, {"a": 2.5, "c d": [1]}]}}}',
+             '{"query_result": {"data": {"rows": [{"a": "three"}, {}]}}}', "", '{"query_result": {"data": {"rows": null}}}',
+             '{"query_result": {"data": {}}}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(folder)
+    rows = TB.read_query_rows(spark, folder, multi_line=False)
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.StringType()),
+                           T.StructField("c d", T.ArrayType(T.LongType()))])
+    assert _rows(TB.typed_rows(rows, schema)) == sorted([(1.0, "x", None), (2.5, None, [1]), (None, None, None),
+                                                         (None, None, None)], key=str)
+    with pytest.raises(Exception, match="INVALID_VARIANT_CAST|CAST"):
+        TB.typed_rows(rows, schema, strict=True).collect()
+    for bad in ("{not json", '{"query_result": {"data": null}}', '{"other": 1}'):
+        broken = _path(spark)
+        spark.createDataFrame([(bad,)], "value string").write.text(broken)
+        with pytest.raises(Exception):
+            TB.read_query_rows(spark, broken).collect()
