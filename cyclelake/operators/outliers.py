@@ -1,8 +1,8 @@
 """Whole-column outlier tests (H9-H11), exact and without gathering a column into one task.
 
 Quartiles and medians come from :func:`~cyclelake.operators.ordering.quantiles` (linear interpolation,
-NumPy's default), which ranks values through a range-partitioned positions pass. The one-row statistics are
-attached to the rows as scalar subqueries, so no join and no single-partition window is involved.
+NumPy's default), which narrows brackets around the wanted ranks. The one-row statistics are attached to the rows as
+scalar subqueries, so no join and no single-partition window over rows is involved.
 """
 
 from __future__ import annotations
