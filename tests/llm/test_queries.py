@@ -426,7 +426,7 @@ def test_every_operator_and_the_pipeline_are_registered():
     from __spark_entry__ import queries as registered
 
     names = registered()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark):
