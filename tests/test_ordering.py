@@ -126,3 +126,21 @@ def test_means_do_not_depend_on_partitioning(spark):
     got = {n: battery_metrics(df.repartition(n)).select("cell_id", "capacity_mean").orderBy("cell_id").collect()
            for n in (1, 3, 7)}
     assert got[1] == got[3] == got[7]
+
+
+def test_positions_agree_on_every_path(spark):
+    df = _frame(spark, _null_rows() + [(5, i % 50, float(i)) for i in range(400)])
+    seen = []
+    for hot in (10 ** 6, 150, 0):
+        got = O.with_positions(df.repartition(5), ["cell_id"], ["regular_cycle_number"], hot_rows=hot)
+        assert got.columns == [*df.columns, "_group_rows", "_pos"] and got.schema["_pos"].dataType.typeName() == "long"
+        seen.append(sorted(map(repr, got.collect())))
+    assert len(seen[0]) == df.count() and seen[0] == seen[1] == seen[2]
+
+
+def test_positions_of_small_groups_take_one_exchange(spark):
+    df = _frame(spark, [(c, i, float(i)) for c in range(50) for i in range(20)])
+    plan = O.with_positions(df, ["cell_id"], ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(cell_id" in plan and "Scan ExistingRDD[cell_id" in plan
+    exchanged = next(line for line in plan.splitlines() if "Exchange" in line)
+    assert "_tie" not in exchanged and "Join" not in plan
