@@ -2,6 +2,11 @@
 
 import os
 
+import pytest
+
+from cyclelake.operators.enrich import join_metadata
+from cyclelake.operators.skew import hot_keys
+from cyclelake.plans import pipeline as PL
 from cyclelake.plans import queries_surface
 from cyclelake.session import checkpoint_dir
 from cyclelake.sources import fixtures as fx
@@ -18,3 +23,38 @@ def test_the_search_reads_cycles_that_were_not_checkpointed(spark, monkeypatch):
     before = _checkpointed(spark)
     assert queries_surface.cells_search_substring(spark, SMALL).count() > 0
     assert _checkpointed(spark) == before
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _exchanged(df) -> list[str]:
+    """Every exchange of the plan with its columns."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_features_are_not_exchanged_again_for_metadata(spark, no_broadcasts):
+    plan = _exchanged(PL.process_cycle_data(fx.cycles(spark, SMALL), fx.cells(spark, SMALL)))
+    assert plan and not any("coalesce(" in line for line in plan)
+    rows = PL.process_cycle_data(fx.cycles(spark, SMALL), None)
+    assert len(plan) == len(_exchanged(rows)) + 1  # the cells
+
+
+def test_features_keep_rows_without_cells_and_hot_cells(spark):
+    cycles = fx.cycles(spark, SMALL).where("cell_id < 30")
+    cells = fx.cells(spark, SMALL).where("cell_id < 20")
+    hot = hot_keys(cycles, "cell_id", 10)
+    assert hot.parts is not None
+    ways = [join_metadata(cycles, cells), join_metadata(cycles, cells, hot=hot), join_metadata(cycles, cells, hot=hot_keys(cycles, "cell_id"))]
+    assert ways[0].columns == ways[1].columns == ways[2].columns
+    rows = [sorted(map(repr, way.collect())) for way in ways]
+    assert len(rows[0]) == cycles.count() and rows[0] == rows[1] == rows[2]
