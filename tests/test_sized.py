@@ -3,8 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from cyclelake.operators.enrich import join_metadata
+from cyclelake.operators.enrich import join_metadata, semi_join_ids
 from cyclelake.operators.skew import hot_keys
 from cyclelake.plans import pipeline as PL
 from cyclelake.plans import queries_surface
@@ -58,3 +59,21 @@ def test_features_keep_rows_without_cells_and_hot_cells(spark):
     assert ways[0].columns == ways[1].columns == ways[2].columns
     rows = [sorted(map(repr, way.collect())) for way in ways]
     assert len(rows[0]) == cycles.count() and rows[0] == rows[1] == rows[2]
+
+
+def test_a_full_run_deals_its_cycles_by_cell_once(spark, no_broadcasts, monkeypatch):
+    built, write = [], PL.Q.validate_while_writing
+    monkeypatch.setattr(PL.Q, "validate_while_writing", lambda df, *more: built.append(df) or write(df, *more))
+    config = PL.create_processing_config(["max_value"], min_cycles=30, add_degradation=False, add_rolling=False)
+    out = PL.load_and_process(fx.cells_rollup(spark, SMALL), fx.cycles(spark, SMALL), filters={"test_status": "active"}, config=config)
+    plan = _exchanged(built[0])
+    assert out["cycles"].count() > 0 and plan and not any("coalesce(" in line for line in plan)
+
+
+def test_chosen_ids_keep_the_same_rows_with_hot_cells(spark):
+    cycles = fx.cycles(spark, SMALL).where("cell_id < 30").unionByName(fx.cycles(spark, SMALL).where("cell_id = 1").withColumn(
+        "cell_id", F.lit(None).cast("long")))
+    ids = spark.sql("SELECT * FROM VALUES (1L), (1L), (7L), (NULL), (9999999L) AS t(cell_id)")
+    ways = [semi_join_ids(cycles, ids)] + [semi_join_ids(cycles, ids, hot=hot_keys(cycles, "cell_id", n)) for n in (10, 10 ** 6)]
+    rows = [sorted(map(repr, way.select(*cycles.columns).collect())) for way in ways]
+    assert len(rows[0]) == cycles.where("cell_id IN (1, 7)").count() > 0 and rows[0] == rows[1] == rows[2]
