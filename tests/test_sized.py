@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from cyclelake.operators import sequence as SEQ
 from cyclelake.operators.enrich import join_metadata, semi_join_ids
 from cyclelake.operators.skew import hot_keys
 from cyclelake.plans import pipeline as PL
@@ -77,3 +78,26 @@ def test_chosen_ids_keep_the_same_rows_with_hot_cells(spark):
     ways = [semi_join_ids(cycles, ids)] + [semi_join_ids(cycles, ids, hot=hot_keys(cycles, "cell_id", n)) for n in (10, 10 ** 6)]
     rows = [sorted(map(repr, way.select(*cycles.columns).collect())) for way in ways]
     assert len(rows[0]) == cycles.where("cell_id IN (1, 7)").count() > 0 and rows[0] == rows[1] == rows[2]
+
+
+def test_days_come_from_one_exchange_of_the_rows(spark, no_broadcasts, monkeypatch):
+    built = []
+    monkeypatch.setattr(fx, "materialise", lambda spark, name, key, build: built.append((name, build())) or built[-1][1])
+    days = fx.cycles_by_day(spark, SMALL)
+    assert [name for name, _ in built] == ["cycles_by_day"]  # not the cycles, to be read back
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_COL" in plan  # the rows; first dates
+    monkeypatch.undo()
+    cyc = fx.cycles(spark, SMALL)
+    first = cyc.groupBy("cell_id").agg(F.min("test_date").alias("t0"))
+    old = cyc.join(first, "cell_id").select("cell_id", F.col("regular_cycle_number").alias("cycle_index"), "test_date",
+                                            (F.datediff(F.to_date("test_date"), F.to_date("t0")) + 1).cast("long").alias("regular_cycle_number"))
+    both = ["cell_id", "cycle_index", "test_date", "regular_cycle_number"]
+    assert days.count() == old.count() and days.select(both).exceptAll(old.select(both)).count() == 0
+
+
+def test_steps_of_numbers_carry_no_row_hash(spark, no_broadcasts):
+    steps = SEQ.cycle_steps(fx.cycles_by_day(spark, SMALL), hot_rows=10 ** 6)
+    assert "_tie" not in steps._jdf.queryExecution().executedPlan().toString()
+    split = SEQ.cycle_steps(fx.cycles_by_day(spark, SMALL), hot_rows=0)
+    assert sorted(map(repr, steps.collect())) == sorted(map(repr, split.collect()))
