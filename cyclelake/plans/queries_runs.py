@@ -81,7 +81,8 @@ _RUN_SQL = f"""
 
 def _run(spark, sf):
     config = PL.create_processing_config(["max_value"], min_cycles=30, add_degradation=False, add_rolling=False)
-    return PL.load_and_process(fx.cells_rollup(spark, sf), fx.cycles(spark, sf), filters={"test_status": "active"}, config=config)
+    cycles = fx.cycles(spark, sf)
+    return PL.load_and_process(fx.cells_rollup(spark, sf, cycles), cycles, filters={"test_status": "active"}, config=config)
 
 
 @register("full_run_rules", _RUN_SQL + _rules_sql("feats", _COLUMNS))

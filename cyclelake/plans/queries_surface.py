@@ -152,4 +152,5 @@ UNION ALL SELECT 'cycles', count(*), CAST(54 AS INTEGER) FROM kept
 UNION ALL SELECT 'rules', CAST(9 AS BIGINT), CAST(9 AS INTEGER)""")
 def full_run(spark, sf):
     """Cells by filter, their cycles with all features, the rules over them, and the counts of each."""
-    return PL.load_and_process(fx.cells_rollup(spark, sf), fx.cycles(spark, sf), filters={"test_status": "active"})["counts"]
+    cyc = fx.cycles(spark, sf)
+    return PL.load_and_process(fx.cells_rollup(spark, sf, cyc), cyc, filters={"test_status": "active"})["counts"]

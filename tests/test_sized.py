@@ -1,8 +1,10 @@
 """What the derived tables and the feature pipeline exchange: no wide row twice, no checkpoint of bounded groups."""
 
 import os
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclelake.operators import sequence as SEQ
@@ -27,6 +29,42 @@ def test_the_search_reads_cycles_that_were_not_checkpointed(spark, monkeypatch):
     assert _checkpointed(spark) == before
 
 
+def test_the_search_neither_exchanges_nor_writes_cycles(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(fx, "materialise", lambda spark, name, key, build: built.append((name, build())) or built[-1][1])
+    queries_surface.cells_search_substring(spark, SMALL)
+    assert [name for name, _ in built] == ["cells_rollup"]
+    plan = built[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan and "REPARTITION_BY_COL" not in plan
+
+
+@pytest.mark.parametrize("hot_rows", ["0", "30", str(1 << 20)])
+def test_the_roll_up_is_that_of_the_numbered_cycles(spark, monkeypatch, tmp_path, hot_rows):
+    """With cycles that tie in the order, with NULL order values, and without a capacity; and cells without one, or without a cycle."""
+    rows = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    tied = rows.where("l_partkey < 60").withColumns({"l_quantity": F.expr("IF(l_orderkey % 3 = 0, NULL, l_quantity + 7)"), "l_tax": F.lit(0.5)})
+    undated = rows.where("l_partkey % 4 = 0").withColumns({"l_shipdate": F.expr("CAST(NULL AS timestamp)"), "l_quantity": F.lit(-3.0)})
+    empty = rows.where("l_partkey = 61").withColumns({"l_partkey": F.lit(62).cast("long"), "l_quantity": F.expr("CAST(NULL AS double)")})
+    nowhere = rows.where("l_partkey = 63").withColumn("l_partkey", F.expr("CAST(NULL AS bigint)"))
+    reduce(DataFrame.unionByName, [rows.where("l_partkey NOT IN (62, 65)"), tied, undated, empty, nowhere]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SMALL}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(fx, "materialise", lambda spark, name, key, build: build())
+    spark.conf.set("spark.cyclelake.hotGroupRows", hot_rows)
+    try:
+        cyc, number = fx.cycles(spark, str(tmp_path)), F.col("regular_cycle_number")
+        has_cap = F.when(F.col("discharge_capacity").isNotNull(), number)
+        want = cyc.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.max(number).alias("m"), F.max_by("discharge_capacity", has_cap).alias("l"),
+                                          F.min_by("discharge_capacity", has_cap).alias("f")).collect()
+        ways = [fx.cells_rollup(spark, str(tmp_path)).collect(), fx.cells_rollup(spark, str(tmp_path), cyc).collect()]
+    finally:
+        spark.conf.unset("spark.cyclelake.hotGroupRows")
+    want = {r.cell_id: (r.n, r.m, r.l, r.l / r.f if r.f and r.f > 0 else None) for r in want}
+    for way in ways:
+        got = {r.cell_id: (r.regular_cycles, r.total_cycles, r.last_discharge_capacity, r.discharge_capacity_retention) for r in way}
+        assert len(way) == len(got) == 200 and got[62][2:] == (None, None) and got[65] == (None,) * 4
+        assert {k: v for k, v in got.items() if v[0]} == {k: v for k, v in want.items() if k is not None}
+
+
 @pytest.fixture
 def no_broadcasts(spark):
     names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
